@@ -1,0 +1,25 @@
+"""Registered feature queries (W01–W52) over the ``bars`` fixture view."""
+
+from __future__ import annotations
+
+from tsengine.frames import SeriesWindow
+from tsengine.plans import bundles, fixtures
+from tsengine.plans.registry import register
+from tsengine.plans.sql_features import engineer_past_sql, quick_features_sql
+
+SW = SeriesWindow("series", "dt")
+BAR_EXACT = ["series", "dt", "volume"]
+
+
+@register("w52_quick_features", quick_features_sql(), exact=BAR_EXACT, ts=["dt"])
+def q_quick(spark, d):
+    return bundles.quick_features(fixtures.bars(spark, d), SW)
+
+
+_PAST_SQL, _ = engineer_past_sql()
+
+
+@register("w50_engineer_past", _PAST_SQL,
+          exact=["series", "dt", "day_of_week", "month", "quarter", "year", "day_of_year"], ts=["dt"])
+def q_past(spark, d):
+    return bundles.engineer_past(fixtures.bars(spark, d), SW)
