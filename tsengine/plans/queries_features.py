@@ -23,3 +23,287 @@ _PAST_SQL, _ = engineer_past_sql()
           exact=["series", "dt", "day_of_week", "month", "quarter", "year", "day_of_year"], ts=["dt"])
 def q_past(spark, d):
     return bundles.engineer_past(fixtures.bars(spark, d), SW)
+
+
+# ---- single operators (each over all series of the bars view) ---------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from tsengine.functions.calendar import calendar_parts, cyclical, period_end_flags  # noqa: E402
+from tsengine.operators import features as W  # noqa: E402
+from tsengine.operators.stages import Stages  # noqa: E402
+from tsengine.plans.oracle import (MEDIAN, PW, SQRT252, TWO_PI, div, ewm, incl, lag, lead, ln,  # noqa: E402
+                                   mp, past, rows)
+from tsengine.plans.sql_features import staged_sql  # noqa: E402
+
+EPS = "1e-8"
+
+
+def _bars_op(stages_fn):
+    def fn(spark, d):
+        df = fixtures.bars(spark, d)
+        out = stages_fn().apply(df)
+        return out.drop(*[c for c in out.columns if c.startswith("_")])
+    return fn
+
+
+def _reg(name, stages_fn, sql_stages, exact=BAR_EXACT, where=None):
+    register(name, staged_sql(sql_stages, where=where), exact=exact, ts=["dt"])(_bars_op(stages_fn))
+
+
+_reg("w01_lag_features", lambda: W.lag_features(SW, "price"),
+     [{f"price_lag_{k}": lag("price", k) for k in (1, 2, 3, 5, 10, 20)}])
+_reg("w02_lag_features_long", lambda: W.lag_features(SW, "price", (1, 2, 3, 5, 7, 10, 14, 21, 30)),
+     [{f"price_lag_{k}": lag("price", k) for k in (1, 2, 3, 5, 7, 10, 14, 21, 30)}])
+_reg("w03_lag_filled", lambda: W.lag_filled(SW, "close"),
+     [{"price_lag_1": f"coalesce({lag('close', 1)}, close)"}])
+_reg("w04_lead_target", lambda: W.lead_target(SW, "price", 1) + W.lead_target(SW, "price", 5, "target_5"),
+     [{"target": lead("price", 1), "target_5": lead("price", 5)}])
+
+_QS = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max", "median": MEDIAN}
+
+
+def _q(stat):
+    if stat == "q25":
+        return "quantile_cont", ", 0.25"
+    if stat == "q75":
+        return "quantile_cont", ", 0.75"
+    return _QS[stat], ""
+
+
+def _mpq(stat, x, frame, k):
+    agg, extra = _q(stat)
+    if k <= 0:
+        return f"{agg}({x}{extra}) OVER {frame}"
+    return f"(CASE WHEN count({x}) OVER {frame} >= {k} THEN {agg}({x}{extra}) OVER {frame} END)"
+
+
+_STATS = ("mean", "std", "min", "max", "median", "q25", "q75")
+_reg("w05_w09_rolling_strict", lambda: W.rolling_stats(SW, "price"),
+     [{f"price_rolling_{s}_{k}": _mpq(s, "price", incl(k), k) for k in (5, 10, 20, 50) for s in _STATS}])
+_reg("w12_rolling_suite_mp1",
+     lambda: W.rolling_stats(SW, "close", (5, 10, 20, 50), ("mean", "min", "max", "median", "q25", "q75"),
+                             min_periods=1, prefix="price_rolling")
+     + Stages([{f"sma_{k}": W.sma(SW, "close", k, 1) for k in (5, 10, 20, 50)}]),
+     [{**{f"price_rolling_{s}_{k}": _mpq(s, "close", incl(k), 1) for k in (5, 10, 20, 50)
+          for s in ("mean", "min", "max", "median", "q25", "q75")},
+       **{f"sma_{k}": _mpq("mean", "close", incl(k), 1) for k in (5, 10, 20, 50)}}])
+
+
+def _past_rolling_sql():
+    out, l1 = {}, lag("price", 1)
+    for k in (3, 5, 7, 10, 14, 21, 30, 60):
+        f, m = past(k), max(1, k // 2)
+        mn, mx = _mpq("min", "price", f, m), _mpq("max", "price", f, m)
+        out[f"price_sma_{k}"] = _mpq("mean", "price", f, m)
+        out[f"price_std_{k}"] = _mpq("std", "price", f, m)
+        out[f"price_min_{k}"] = mn
+        out[f"price_max_{k}"] = mx
+        out[f"price_median_{k}"] = _mpq("median", "price", f, m)
+        out[f"price_position_{k}"] = f"({l1} - {mn}) / ({mx} - {mn} + {EPS})"
+    return [out]
+
+
+_reg("w10_w11_past_rolling", lambda: W.past_rolling(SW, "price"), _past_rolling_sql())
+
+
+def _pz_sql(soft):
+    out = {}
+    for k in (20, 50, 100):
+        m = 1 if soft else k
+        mn, mx = _mpq("min", "close", incl(k), m), _mpq("max", "close", incl(k), m)
+        mean, sd = _mpq("mean", "close", incl(k), m), _mpq("std", "close", incl(k), m)
+        if soft:
+            out[f"price_position_{k}"] = f"(close - {mn}) / ({mx} - {mn} + {EPS})"
+            out[f"price_zscore_{k}"] = f"(close - {mean}) / ({sd} + {EPS})"
+        else:
+            out[f"price_position_{k}"] = div(f"close - {mn}", f"{mx} - {mn}")
+            out[f"price_zscore_{k}"] = div(f"close - {mean}", sd)
+    return [out]
+
+
+_reg("w13_position_zscore_soft", lambda: W.position_zscore(SW, "close", soft=True), _pz_sql(True))
+_reg("w14_w15_position_zscore_strict", lambda: W.position_zscore(SW, "close", soft=False), _pz_sql(False))
+
+
+def _pct(x, k):
+    return f"({div(x, lag(x, k))} - 1.0)"
+
+
+_reg("w16_w18_momentum", lambda: W.momentum_features(SW, "price"),
+     [{**{f"price_roc_{k}": _pct("price", k) for k in (1, 5, 10, 20)},
+       **{f"price_momentum_{k}": f"price - {lag('price', k)}" for k in (5, 10, 20)}},
+      {"price_acceleration": f"price_roc_1 - {lag('price_roc_1', 1)}"}])
+
+
+def _past_returns_sql():
+    out, l1 = {}, lag("price", 1)
+    for k in (1, 2, 3, 5, 7, 10, 14, 21, 30):
+        r = div(l1, lag("price", k + 1))
+        out[f"return_{k}d"] = f"{r} - 1.0"
+        out[f"log_return_{k}d"] = ln(r)
+    for k in (5, 10, 20, 50):
+        out[f"momentum_{k}"] = f"{div(l1, lag('price', k + 1))} - 1.0"
+    for k in (5, 10, 20):
+        out[f"roc_{k}"] = f"{div(f'{l1} - {lag('price', k + 1)}', lag('price', k + 1))} * 100.0"
+    return [out]
+
+
+_reg("w19_w22_past_returns", lambda: W.past_returns(SW, "price"), _past_returns_sql())
+_reg("w23_w25_annualised_vol", lambda: W.annualised_vol(SW, "price"),
+     [{"_r": _pct("price", 1)},
+      {f"price_volatility_{k}": f"{_mpq('std', '_r', incl(k), k)} * {SQRT252}" for k in (5, 10, 20, 50)},
+      {"price_vol_ratio_5_20": div("price_volatility_5", "price_volatility_20"),
+       "price_vol_ratio_10_50": div("price_volatility_10", "price_volatility_50"),
+       "price_vol_of_vol": _mpq("std", "price_volatility_20", incl(20), 20)}])
+_reg("w26_price_std", lambda: W.price_std(SW, "price"),
+     [{f"volatility_{k}": _mpq("std", "price", incl(k), k) for k in (5, 10, 20)}])
+
+
+def _past_vol_sql():
+    s1 = {}
+    for k in (5, 10, 20, 30, 60):
+        m = max(1, k // 2)
+        s1[f"volatility_{k}"] = f"{_mpq('std', '_r', incl(k), m)} * {SQRT252}"
+        s1[f"realized_vol_{k}"] = mp("sum", "_r * _r", incl(k), m)
+    s1["vol_clustering"] = mp("avg", "abs(_r)", incl(10), 1)
+    return [{"_r": f"{div(lag('price', 1), lag('price', 2))} - 1.0"}, s1]
+
+
+_reg("w27_w29_past_volatility", lambda: W.past_volatility(SW, "price"), _past_vol_sql())
+
+
+def _sma_adaptive_sql():
+    k = "least(50, floor(count(*) OVER (PARTITION BY series) / 3))::BIGINT"
+    lst = f"list(price) OVER {incl(50)}"
+    return [{"_k": k, "_l": lst},
+            {"sma_50": ("CASE WHEN _k >= 20 AND len(_l) >= _k AND "
+                        "list_count(_l[len(_l) - _k + 1:]) = _k THEN "
+                        "list_sum(_l[len(_l) - _k + 1:]) / _k END")}]
+
+
+_reg("w30_sma_adaptive", lambda: W.sma_adaptive(SW, "price"), _sma_adaptive_sql())
+_reg("w31_ema", lambda: Stages([{"ema_12": W.ema(SW, "price", 12), "ema_26": W.ema(SW, "price", 26)}]),
+     [{"ema_12": ewm("price", 12), "ema_26": ewm("price", 26)}])
+_reg("w32_macd", lambda: W.macd(SW, "price"),
+     [{"ema_12": ewm("price", 12), "ema_26": ewm("price", 26)}, {"macd": "ema_12 - ema_26"},
+      {"macd_signal": ewm("macd", 9)}])
+_reg("w33_macd_past", lambda: W.macd(SW, "price", past=True),
+     [{"_p1": lag("price", 1)}, {"ema_12": ewm("_p1", 12), "ema_26": ewm("_p1", 26)},
+      {"macd": "ema_12 - ema_26"}, {"macd_signal": ewm("macd", 9)},
+      {"macd_histogram": "macd - macd_signal"}])
+
+
+def _gl(x, xl):
+    d = f"({x} - {xl})"
+    return (f"CASE WHEN {d} > 0 THEN {d} ELSE 0.0::DOUBLE END",
+            f"CASE WHEN {d} < 0 THEN -{d} ELSE 0.0::DOUBLE END")
+
+
+_g, _l = _gl("price", lag("price", 1))
+_reg("w34_rsi", lambda: W.rsi(SW, "price", 14, "rsi"),
+     [{"_g": _g, "_l": _l},
+      {"_ag": mp("avg", "_g", incl(14), 14), "_al": mp("avg", "_l", incl(14), 14)},
+      {"rsi": "CASE WHEN _al = 0 THEN (CASE WHEN _ag > 0 THEN 100.0::DOUBLE END) "
+              "ELSE 100.0 - 100.0 / (1.0 + _ag / _al) END"}])
+_pg, _pl = _gl(lag("price", 1), lag("price", 2))
+_reg("w35_rsi_past", lambda: W.rsi_past(SW, "price"),
+     [{"_g": _pg, "_l": _pl},
+      {f"rsi_{k}": f"100.0 - 100.0 / (1.0 + {mp('avg', '_g', incl(k), 1)} / ({mp('avg', '_l', incl(k), 1)} + {EPS}))"
+       for k in (14, 30)}])
+_reg("w36_bollinger", lambda: W.bollinger(SW, "price", 20, 2.0, width=True),
+     [{"bb_middle": mp("avg", "price", incl(20), 20), "_sd": mp("stddev_samp", "price", incl(20), 20)},
+      {"bb_upper": "bb_middle + 2.0 * _sd", "bb_lower": "bb_middle - 2.0 * _sd", "bb_width": "4.0 * _sd"}])
+
+
+def _bb_past_sql():
+    out, l1 = {}, lag("price", 1)
+    for w in (20, 50):
+        mid, sd = mp("avg", "price", past(w), 1), mp("stddev_samp", "price", past(w), 1)
+        up, lo = f"({mid} + 2.0 * {sd})", f"({mid} - 2.0 * {sd})"
+        out.update({f"bb_upper_{w}": up, f"bb_lower_{w}": lo, f"bb_width_{w}": f"({up} - {lo})",
+                    f"bb_position_{w}": f"({l1} - {lo}) / (({up} - {lo}) + {EPS})"})
+    return [out]
+
+
+_reg("w37_bollinger_past", lambda: W.bollinger_past(SW, "price"), _bb_past_sql())
+_LL, _HH = mp("min", "low", past(14), 1), mp("max", "high", past(14), 1)
+_reg("w38_stochastic_past", lambda: W.stochastic_past(SW, "price"),
+     [{"stoch_k": f"100.0 * ({lag('price', 1)} - {_LL}) / ({_HH} - {_LL} + {EPS})"},
+      {"stoch_d": mp("avg", "stoch_k", incl(3), 1)}])
+_reg("w39_stochastic_close", lambda: W.stochastic_close(SW, "price"),
+     [{"stoch_k": "100.0 * " + div(f"price - {mp('min', 'price', incl(14), 14)}",
+                                    f"{mp('max', 'price', incl(14), 14)} - {mp('min', 'price', incl(14), 14)}")},
+      {"stoch_d": mp("avg", "stoch_k", incl(3), 3)}])
+_reg("w40_williams_r", lambda: W.williams_r(SW, "price"),
+     [{"williams_r": f"-100.0 * ({_HH} - {lag('price', 1)}) / ({_HH} - {_LL} + {EPS})"}])
+_H1, _L1, _C2 = lag("high", 1), lag("low", 1), lag("price", 2)
+_reg("w41_atr", lambda: W.atr(SW, "price"),
+     [{"_tr": f"CASE WHEN {_H1} IS NULL OR {_L1} IS NULL OR {_C2} IS NULL THEN NULL ELSE "
+              f"greatest({_H1} - {_L1}, abs({_H1} - {_C2}), abs({_L1} - {_C2})) END"},
+      {"atr": mp("avg", "_tr", incl(14), 1)}])
+
+
+def _trend_sql():
+    s0 = {"_idx": f"(row_number() OVER ({PW}) - 1)::DOUBLE"}
+    s1 = {}
+    for k in (5, 10, 20):
+        m = mp("avg", "price", incl(k), k)
+        s1[f"price_trend_{k}"] = f"CASE WHEN price > {m} THEN 1 WHEN price < {m} THEN -1 ELSE 0 END"
+        s1[f"price_slope_{k}"] = f"CASE WHEN count(price) OVER {incl(k)} >= {k} THEN regr_slope(price, _idx) OVER {incl(k)} END"
+    return [s0, s1]
+
+
+register("w42_w43_trend_slope", staged_sql(_trend_sql()),
+         exact=BAR_EXACT + ["price_trend_5", "price_trend_10", "price_trend_20"], ts=["dt"])(
+    _bars_op(lambda: W.trend_features(SW, "price")))
+register("w44_row_index", staged_sql([{"row_idx": f"(row_number() OVER ({PW}) - 1)",
+                                       "n_rows": "count(*) OVER (PARTITION BY series)"}]),
+         exact=BAR_EXACT + ["row_idx", "n_rows"], ts=["dt"])(_bars_op(lambda: W.row_index(SW)))
+
+
+@register("w45_sequences",
+          staged_sql([{"_s": f"list(price) OVER {past(20)}", "label": lead("price", 0)}],
+                     keep=["series", "dt"],
+                     where="len(_s) = 20").replace(
+              "SELECT series, dt, label FROM st0",
+              "SELECT series, dt, label, len(_s)::BIGINT AS seq_len, _s[1] AS seq_first, "
+              "_s[20] AS seq_last, list_sum(_s) AS seq_sum FROM st0"),
+          exact=["series", "dt", "seq_len"], ts=["dt"])
+def q_sequences(spark, d):
+    st = W.sequences(SW, ["price"], 20, 1, "price")
+    out = W.complete_sequences(st.apply(fixtures.bars(spark, d)), 20)
+    return out.select("series", "dt", "label", F.size("seq").cast("long").alias("seq_len"),
+                      F.col("seq")[0]["price"].alias("seq_first"), F.col("seq")[19]["price"].alias("seq_last"),
+                      F.aggregate("seq", F.lit(0.0), lambda a, e: a + e["price"]).alias("seq_sum"))
+
+
+_reg("w46_recent_trend", lambda: W.recent_trend(SW, "price", 5),
+     [{"trend_5": f"(price - first_value(price) OVER {incl(5)}) / 5.0"},
+      {"naive_forecast_5": "price + trend_5"}])
+
+
+@register("w47_two_feature_fallback",
+          staged_sql([{"price_lag_1": lag("price", 1), "sma_5": mp("avg", "price", incl(5), 5)}],
+                     where="price_lag_1 IS NOT NULL AND sma_5 IS NOT NULL"),
+          exact=BAR_EXACT, ts=["dt"])
+def q_two_feature(spark, d):
+    st = W.lag_features(SW, "price", (1,)) + Stages([{"sma_5": W.sma(SW, "price", 5)}])
+    return st.apply(fixtures.bars(spark, d)).na.drop("any", subset=["price_lag_1", "sma_5"])
+
+
+def _cal_sql():
+    return [{"year": "year(dt)", "month": "month(dt)", "day": "day(dt)", "day_of_week": "(isodow(dt) - 1)",
+             "day_of_year": "dayofyear(dt)", "week_of_year": "weekofyear(dt)", "quarter": "quarter(dt)",
+             "month_sin": f"sin({TWO_PI} * month(dt) / 12.0)", "month_cos": f"cos({TWO_PI} * month(dt) / 12.0)",
+             "day_of_week_sin": f"sin({TWO_PI} * (isodow(dt) - 1) / 7.0)",
+             "day_of_week_cos": f"cos({TWO_PI} * (isodow(dt) - 1) / 7.0)",
+             "day_of_year_sin": f"sin({TWO_PI} * dayofyear(dt) / 365.25)",
+             "day_of_year_cos": f"cos({TWO_PI} * dayofyear(dt) / 365.25)",
+             "is_month_end": "(day(dt) >= 28)::INT", "is_quarter_end": "(month(dt) IN (3, 6, 9, 12))::INT",
+             "is_year_end": "(month(dt) = 12)::INT"}]
+
+
+register("c01_c04_calendar", staged_sql(_cal_sql()),
+         exact=BAR_EXACT + ["year", "month", "day", "day_of_week", "day_of_year", "week_of_year", "quarter",
+                            "is_month_end", "is_quarter_end", "is_year_end"], ts=["dt"])(
+    _bars_op(lambda: Stages([{**calendar_parts("dt"), **cyclical("dt", 365.25), **period_end_flags("dt")}])))

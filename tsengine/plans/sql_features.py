@@ -133,3 +133,23 @@ def engineer_past_sql(bars_cte: str = BARS, horizon: int = 1, min_history: int =
            f"SELECT series, dt, {', '.join(order)}, target FROM s5\n"
            f"WHERE _idx >= {min_history} AND _idx < _n - {horizon} AND {not_null(order + ['target'])}")
     return sql, order
+
+
+BAR_COLS = ["series", "dt", "open", "high", "low", "close", "volume", "price"]
+
+
+def staged_sql(stages: list[dict[str, str]], cte: str = BARS, src: str = "bars",
+               keep: list[str] | None = None, where: str | None = None) -> str:
+    """Nested selects, one per stage (a later stage may read earlier columns); the final
+    projection keeps ``keep`` + every stage column not starting with '_'."""
+    parts, prev = [], src
+    for i, st in enumerate(stages):
+        sel = ",\n  ".join(f"{v} AS {k}" for k, v in st.items())
+        parts.append(f"st{i} AS (SELECT *, {sel} FROM {prev})")
+        prev = f"st{i}"
+    out_cols = list(keep if keep is not None else BAR_COLS)
+    out_cols += [k for st in stages for k in st if not k.startswith("_") and k not in out_cols]
+    sql = f"WITH {cte},\n" + ",\n".join(parts) + f"\nSELECT {', '.join(out_cols)} FROM {prev}"
+    if where:
+        sql += f"\nWHERE {where}"
+    return sql
