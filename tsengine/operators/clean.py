@@ -51,16 +51,16 @@ def ffill(df: DataFrame, sw: SeriesWindow, cols: Sequence[str]) -> DataFrame:
 
 
 def bfill(df: DataFrame, sw: SeriesWindow, cols: Sequence[str]) -> DataFrame:
-    """First non-null value at or after the row."""
+    """First non-null value at or after the row (last one of the reversed running frame)."""
     f = sw.after()
-    return df.select(*[F.first(c, ignorenulls=True).over(f).alias(c) if c in cols else F.col(c)
+    return df.select(*[F.last(c, ignorenulls=True).over(f).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
 
 
 def ffill_bfill(df: DataFrame, sw: SeriesWindow, cols: Sequence[str]) -> DataFrame:
     """P04 then P05 in one window stage: coalesce(last-before, first-after)."""
     up, after = sw.upto(), sw.after()
-    return df.select(*[F.coalesce(F.last(c, True).over(up), F.first(c, True).over(after)).alias(c)
+    return df.select(*[F.coalesce(F.last(c, True).over(up), F.last(c, True).over(after)).alias(c)
                        if c in cols else F.col(c) for c in df.columns])
 
 
@@ -69,7 +69,7 @@ def fill_forward_backward_zero(df: DataFrame, sw: SeriesWindow, cols: Sequence[s
     up, after = sw.upto(), sw.after()
     keys = set(sw.series_cols) | {sw.time_col}
     return df.select(*[
-        F.coalesce(F.last(c, True).over(up), F.first(c, True).over(after), F.lit(0)).alias(c)
+        F.coalesce(F.last(c, True).over(up), F.last(c, True).over(after), F.lit(0)).alias(c)
         if (c in cols and c not in keys) else F.col(c) for c in df.columns])
 
 
