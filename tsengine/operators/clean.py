@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType, NumericType
 
 from tsengine.frames import SeriesWindow
 
@@ -79,10 +79,16 @@ def series_stats(df: DataFrame, sw: SeriesWindow, aggs: dict[str, Column]) -> Da
 
 def fill_median(df: DataFrame, sw: SeriesWindow, cols: Sequence[str]) -> DataFrame:
     """NULLs take the series median (exact, linear interpolation) of their column."""
+    types = {f.name: f.dataType for f in df.schema.fields}
     med = series_stats(df, sw, {f"_med_{c}": F.percentile(c, 0.5) for c in cols})
     j = df.join(med, sw.series_cols, "left")
-    return j.select(*[F.coalesce(F.col(c), F.col(f"_med_{c}")).alias(c) if c in cols else F.col(c)
-                      for c in df.columns])
+
+    def fill(c):
+        m = F.col(f"_med_{c}")
+        if isinstance(types[c], IntegralType):  # integer columns keep their type
+            m = F.round(m).cast(types[c])
+        return F.coalesce(F.col(c), m).alias(c)
+    return j.select(*[fill(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def fill_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -146,8 +152,8 @@ def select_features(df: DataFrame, target: str = "target",
 
 def trim_history(df: DataFrame, sw: SeriesWindow, min_periods: int = 60, horizon: int = 1) -> DataFrame:
     """Drop the first ``min_periods`` and last ``horizon`` rows of each series."""
-    idx, n = sw.row_idx(), sw.n_rows()
-    return df.filter((idx >= min_periods) & (idx < n - horizon))
+    t = df.select("*", sw.row_idx().alias("_i"), sw.n_rows().alias("_n"))
+    return t.filter((F.col("_i") >= min_periods) & (F.col("_i") < F.col("_n") - horizon)).drop("_i", "_n")
 
 
 def to_numeric(df: DataFrame, col: str) -> DataFrame:

@@ -41,9 +41,9 @@ def bars_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
     rn = F.row_number().over(Window.partitionBy("series").orderBy("dt"))
     b = b.withColumn("_rn", rn)
-    dup = b.filter(F.col("_rn") % 11 == 0).withColumn("seq", F.lit(1)).withColumn(
+    dup = b.filter(F.col("_rn") % 11 == 0).withColumn("seq", F.lit(1).cast("long")).withColumn(
         "price", F.col("price") + 1.0)
-    out = b.withColumn("seq", F.lit(0)).unionByName(dup).drop("_rn")
+    out = b.withColumn("seq", F.lit(0).cast("long")).unionByName(dup).drop("_rn")
     price = (F.when(F.dayofmonth("dt") % 7 == 0, F.lit(None).cast("double"))
               .when(F.dayofyear("dt") == 200, F.col("price") * 50.0)
               .otherwise(F.col("price")))

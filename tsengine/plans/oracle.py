@@ -29,9 +29,9 @@ BARS_ONE = """bars AS (
 BARS_DIRTY = BARS + """,
 bars_n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY dt) AS rn FROM bars),
 bars_u AS (
-  SELECT series, dt, open, high, low, close, volume, price, 0 AS seq FROM bars_n
+  SELECT series, dt, open, high, low, close, volume, price, 0::BIGINT AS seq FROM bars_n
   UNION ALL
-  SELECT series, dt, open, high, low, close, volume, price + 1.0, 1 AS seq FROM bars_n WHERE rn % 11 = 0),
+  SELECT series, dt, open, high, low, close, volume, price + 1.0, 1::BIGINT AS seq FROM bars_n WHERE rn % 11 = 0),
 bars_dirty AS (
   SELECT series, dt, open, high, low, close, volume,
          CASE WHEN day(dt) % 7 = 0 THEN NULL WHEN dayofyear(dt) = 200 THEN price * 50.0 ELSE price END AS price,
