@@ -1,6 +1,6 @@
 """Output normalisation for cross-engine comparison (Spark result vs DuckDB oracle).
 
-Both sides round every DOUBLE to 8 significant digits with the same IEEE steps, print
+Both sides round every DOUBLE to 32 significant bits with the same exact IEEE steps, print
 timestamps as text and widen integers to BIGINT, so an order-insensitive hash of the two results
 agrees when the values agree to ~1e-8 relative.
 """
@@ -13,21 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SIG_DIGITS = 10  # significant digits kept
+SIG_BITS = 32    # significant bits kept (~9.6 decimal digits)
 TINY = 1e-10     # magnitudes below this print as 0 (trig of exact multiples of pi etc.)
 TS_FMT_SPARK = "yyyy-MM-dd HH:mm:ss"
 TS_FMT_SQL = "%Y-%m-%d %H:%M:%S"
 
 
 def sig_round(c):
-    """Round to SIG_DIGITS significant digits with IEEE steps that both engines perform
-    identically: scale by an exact power of ten, floor(z + 0.5), divide by the same power."""
+    """Round to SIG_BITS significant *binary* digits: scaling by a power of two, floor(z + 0.5)
+    and the inverse scaling are exact in IEEE arithmetic, so equal inputs give equal outputs in
+    both engines, and decimal inputs never sit on a binary half-way point (no tie flips)."""
     a = F.abs(c)
-    k = F.lit(SIG_DIGITS - 1) - F.floor(F.log10(a))
-    p = F.pow(F.lit(10.0), F.abs(k))
-    z = F.when(k >= 0, a * p).otherwise(a / p)
-    m = F.floor(z + F.lit(0.5)).cast("double")
-    r = F.when(k >= 0, m / p).otherwise(m * p)
+    p = F.pow(F.lit(2.0), F.lit(SIG_BITS) - F.floor(F.log2(a)))
+    r = F.floor(a * p + F.lit(0.5)).cast("double") / p
     return F.when(a < F.lit(TINY), F.lit(0.0)).otherwise(F.signum(c) * r)
 
 
@@ -48,10 +46,8 @@ def finish(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-SIG_SQL = (f"CASE WHEN abs(x) < {TINY!r} THEN 0.0 ELSE sign(x) * (CASE WHEN k >= 0 "
-           "THEN floor(abs(x) * pow(10, k) + 0.5) / pow(10, k) "
-           "ELSE floor(abs(x) / pow(10, -k) + 0.5) * pow(10, -k) END) END")
-SIG_SQL = SIG_SQL.replace("k", f"({SIG_DIGITS - 1} - floor(log10(abs(x))))")
+SIG_SQL = (f"CASE WHEN abs(x) < {TINY!r} THEN 0.0 ELSE sign(x) * floor(abs(x) * pow(2, {SIG_BITS} - floor(log2(abs(x)))) + 0.5)"
+           f" / pow(2, {SIG_BITS} - floor(log2(abs(x)))) END")
 
 
 def wrap_sql(sql: str, exact: Sequence[str] = (), ts: Sequence[str] = (), all_exact: bool = False) -> str:
