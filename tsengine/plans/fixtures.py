@@ -100,7 +100,7 @@ def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.lit(', "rates": {"XAU": '), F.format_string("%.6f", v / 31.1035 - 0.05),
                   F.lit("}}"))
     j2 = F.concat(F.lit('{"Global Quote": {"05. price": "'), s(v), F.lit('", "09. change": "'),
-                  s(v - pc), F.lit('", "10. change percent": "'), s(F.round((v - pc) / pc * 100.0, 4)),
+                  s(v - pc), F.lit('", "10. change percent": "'), F.format_string("%.4f", (v - pc) / pc * 100.0),
                   F.lit('%"}}'))
     hlo = F.when(F.col("user_id") % 3 == 0, F.lit("")).otherwise(
         F.concat(F.lit(', "h": '), s(v + 2.0), F.lit(', "l": '), s(v - 2.0), F.lit(', "o": '), s(pc)))

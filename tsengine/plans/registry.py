@@ -35,5 +35,5 @@ def register(name: str, sql: str | None = None, exact=(), ts=(), all_exact: bool
 
 def load_all() -> dict[str, Entry]:
     # importing the query modules fills REGISTRY
-    from tsengine.plans import queries_eval, queries_features, queries_tables  # noqa: F401
+    from tsengine.plans import queries_eval, queries_features, queries_io, queries_models, queries_tables  # noqa: F401
     return REGISTRY
