@@ -19,13 +19,13 @@ BAR_EXACT = ["series", "dt", "volume"]
 
 
 @register("s03_standardise_vendor_columns",
-          f"WITH {BARS}\nSELECT series, dt AS date, open, high, low, close, volume, round(price * 0.99, 2) AS price FROM bars",
+          f"WITH {BARS}\nSELECT series, dt AS date, open, high, low, close, volume, price * 0.99 AS price FROM bars",
           exact=["series", "date", "volume"], ts=["date"])
 def q_vendor(spark, d):
     b = fixtures.bars(spark, d)
     vendor = b.select("series", F.col("dt").alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"),
                       F.col("low").alias("Low"), F.col("close").alias("Close"),
-                      F.round(F.col("price") * 0.99, 2).alias("Adj Close"), F.col("volume").alias("Volume"))
+                      (F.col("price") * 0.99).alias("Adj Close"), F.col("volume").alias("Volume"))
     return SB.standardise_vendor_columns(vendor)
 
 
@@ -126,8 +126,8 @@ AS_OF = "2024-01-30 23:30:00"
 
 
 @register("s16_freshness_gate",
-          f"SELECT event_type AS source, max(ts) AS last_refresh, (epoch(TIMESTAMP '{AS_OF}') - epoch(max(ts))) / 60.0 AS age_minutes, "
-          f"max(ts) IS NULL OR (epoch(TIMESTAMP '{AS_OF}') - epoch(max(ts))) / 60.0 >= 60 AS needs_refresh FROM events GROUP BY event_type",
+          f"SELECT event_type AS source, max(ts) AS last_refresh, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts))) / 60e6 AS age_minutes, "
+          f"max(ts) IS NULL OR (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts))) / 60e6 >= 60 AS needs_refresh FROM events GROUP BY event_type",
           exact=["source", "last_refresh", "needs_refresh"], ts=["last_refresh"])
 def q_fresh(spark, d):
     ledger = fixtures.table(spark, d, "events").select(F.col("event_type").alias("source"), F.col("ts").alias("refreshed_at"))
@@ -186,7 +186,8 @@ def q_tick_bars(spark, d):
 @register("t05b_bars_from_ticks_stream", TICK_BARS_SQL, exact=BAR_EXACT, ts=["dt"])
 def q_tick_bars_stream(spark, d):
     """T05 as a Structured Streaming job over the events file (AvailableNow, complete mode)."""
-    src = spark.readStream.schema(fixtures.table(spark, d, "events").schema).parquet(f"{d}/events.parquet")
+    src = spark.readStream.schema(fixtures.table(spark, d, "events").schema).option(
+        "pathGlobFilter", "events.parquet").parquet(d)
     ticks = src.select(F.col("event_type").alias("series"), "ts", F.col("value").alias("price"),
                        F.lit(1).cast("long").alias("size"), F.col("event_id").alias("seq"))
     bars = T.bars_from_ticks_stream(ticks, "1 hour", "10 minutes")
@@ -198,15 +199,16 @@ def q_tick_bars_stream(spark, d):
           "SELECT event_type AS source, max(ts) AS ts, arg_max(value, ts) AS price FROM events GROUP BY event_type",
           exact=["source", "ts"], ts=["ts"])
 def q_latest_stream(spark, d):
-    src = spark.readStream.schema(fixtures.table(spark, d, "events").schema).parquet(f"{d}/events.parquet")
+    src = spark.readStream.schema(fixtures.table(spark, d, "events").schema).option(
+        "pathGlobFilter", "events.parquet").parquet(d)
     q = src.select(F.col("event_type").alias("source"), "ts", F.col("value").alias("price"))
     table = T.run_available_now(T.latest_per_source_stream(q), "t02", "complete")
     return spark.table(table)
 
 
 @register("t03_windowed_summary",
-          "SELECT make_timestamp((epoch_us(ts) // 30000000) * 30000000) AS window_start, round(avg(value), 2) AS average, max(value) AS highest, "
-          "min(value) AS lowest, round(max(value) - min(value), 2) AS spread, count(*)::BIGINT AS quotes FROM events WHERE value > 0 GROUP BY 1",
+          "SELECT make_timestamp((epoch_us(ts) // 30000000) * 30000000) AS window_start, avg(value) AS average, max(value) AS highest, "
+          "min(value) AS lowest, max(value) - min(value) AS spread, count(*)::BIGINT AS quotes FROM events WHERE value > 0 GROUP BY 1",
           exact=["window_start", "quotes"], ts=["window_start"])
 def q_window_summary(spark, d):
     q = fixtures.quotes(spark, d)

@@ -11,7 +11,7 @@ def freshness_gate(ledger: DataFrame, as_of, max_age_minutes: int, key: str = "s
     """Per key, refresh needed when the last refresh is missing or older than the limit."""
     a = F.lit(as_of).cast("timestamp_ntz")
     last = ledger.groupBy(key).agg(F.max(ts).alias("last_refresh"))
-    age = (F.unix_timestamp(a.cast("timestamp")) - F.unix_timestamp(F.col("last_refresh").cast("timestamp"))) / 60.0
+    age = (F.unix_micros(a.cast("timestamp")) - F.unix_micros(F.col("last_refresh").cast("timestamp"))) / 60e6
     return last.select(key, "last_refresh", age.alias("age_minutes"),
                        (F.col("last_refresh").isNull() | (age >= max_age_minutes)).alias("needs_refresh"))
 
