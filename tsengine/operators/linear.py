@@ -249,7 +249,16 @@ def coefficient_table(spark, fits: dict[tuple, LinearFit], key_names: Sequence[s
     for k, fit in fits.items():
         rows.append((*k, float(fit.intercept), *[float(v) for v in fit.coef]))
     cols = [*key_names, "intercept", *[f"b_{c}" for c in features]]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=cols))
+    first = next(iter(fits), None)
+
+    def ktype(i, name):
+        if first is not None:
+            v = first[i]
+            return "bigint" if isinstance(v, (int, np.integer)) else ("double" if isinstance(v, float) else "string")
+        return "bigint" if name in ("fold", "_blk") else "string"
+    ddl = ", ".join([f"`{n}` {ktype(i, n)}" for i, n in enumerate(key_names)]
+                    + ["intercept double"] + [f"`b_{c}` double" for c in features])
+    return spark.createDataFrame(pd.DataFrame(rows, columns=cols), ddl)
 
 
 def score(df: DataFrame, coefs: DataFrame, join_keys: Sequence[str], features: Sequence[str],
