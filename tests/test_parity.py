@@ -27,6 +27,8 @@ def _frame(spark, n=300, seed=1, nulls=True):
                          None if np.isnan(v) else float(v) + 1.0, None if np.isnan(v) else float(v) - 1.0))
     pdf = pd.DataFrame(rows, columns=["series", "dt", "price", "high", "low"])
     df = spark.createDataFrame(pdf).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
+    for c in ("price", "high", "low"):  # NaN from pandas -> NULL (the library's only missing marker)
+        df = df.withColumn(c, F.when(~F.isnan(c), F.col(c)))
     return df, pdf
 
 
@@ -36,8 +38,10 @@ def _cmp(spark_df, pdf, cols, fn):
         exp = fn(g.reset_index(drop=True))
         sub = got[got.series == s].reset_index(drop=True)
         for c in cols:
-            np.testing.assert_allclose(sub[c].astype(float).values, exp[c].astype(float).values,
-                                       rtol=1e-9, atol=1e-9, equal_nan=True, err_msg=c)
+            a, b = sub[c].astype(float).values, exp[c].astype(float).values
+            bad = np.where(np.isnan(a) != np.isnan(b))[0]
+            assert len(bad) == 0, (c, s, bad[:5].tolist(), a[bad[:3]].tolist(), b[bad[:3]].tolist())
+            np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9, equal_nan=True, err_msg=c)
 
 
 def test_rolling_strict_and_past(spark):
@@ -86,7 +90,7 @@ def test_rsi_atr_past_match_pandas(spark):
 
 
 def test_strict_rsi_flat_series(spark):
-    rows = [("a", pd.Timestamp("2020-01-01") + pd.Timedelta(days=i), 5.0) for i in range(20)]
+    rows = [("a", (pd.Timestamp("2020-01-01") + pd.Timedelta(days=i)).to_pydatetime(), 5.0) for i in range(20)]
     df = spark.createDataFrame(rows, "series string, dt timestamp_ntz, price double")
     out = W.rsi(SW, "price", 14).apply(df).orderBy("dt").toPandas()
     assert out.rsi.isna().all()  # 0/0 -> NULL, never NaN or an error
@@ -107,3 +111,14 @@ def test_pct_change(spark, k):
     df, pdf = _frame(spark, nulls=False)
     out = Stages([{"pc": W.pct_change(SW, "price", k)}]).apply(df)
     _cmp(out, pdf, ["pc"], lambda g: pd.DataFrame({"pc": g.price.pct_change(k)}))
+
+
+def test_blocked_ewm_matches_pandas(spark):
+    from tsengine.functions.ewm import ewm_stages
+    df, pdf = _frame(spark, n=700)
+    st = ewm_stages(SW, "price", "e12", span=12, block=64) + ewm_stages(SW, "price", "e26", span=26, block=64) \
+        + ewm_stages(SW, "price", "e9", span=9)
+    out = st.apply(df)
+    _cmp(out, pdf, ["e12", "e26", "e9"], lambda g: pd.DataFrame({
+        "e12": g.price.ewm(span=12, min_periods=1).mean(), "e26": g.price.ewm(span=26, min_periods=1).mean(),
+        "e9": g.price.ewm(span=9, min_periods=1).mean()}))
