@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tsengine.frames import SeriesWindow
 from tsengine.functions.core import EPS, safe_div, safe_ln, strict_greatest
-from tsengine.functions.ewm import ewm_mean
+from tsengine.functions.ewm import ewm_mean, ewm_stages
 from tsengine.operators.stages import Stages
 
 SQRT_252 = math.sqrt(252.0)
@@ -196,27 +196,38 @@ def past_volatility(sw: SeriesWindow, col: str = "price",
 # -- moving averages, MACD ----------------------------------------------------------------------
 
 def ema(sw: SeriesWindow, col: str, span: float, min_periods: int = 1) -> Column:
-    """Pandas ``ewm(span, adjust=True).mean()`` (exact, bounded frame)."""
+    """Pandas ``ewm(span, adjust=True).mean()`` as ONE column (exact, bounded frame of
+    K rows folded with ``aggregate``; O(n K)). Bundles use :func:`ema_stages` (O(n))."""
     return ewm_mean(col, sw, span=span, min_periods=min_periods)
 
 
+def ema_stages(sw: SeriesWindow, col: str, span: float, out: str, min_periods: int = 1) -> Stages:
+    """W31 as linear-time window stages (block-relative running sums + block carries)."""
+    return ewm_stages(sw, col, out, span=span, min_periods=min_periods)
+
+
 def macd(sw: SeriesWindow, col: str = "price", fast: int = 12, slow: int = 26, signal: int = 9,
          past: bool = False, names: dict[str, str] | None = None) -> Stages:
-    """W32 (on the price) / W33 (``past``: on lag 1, with histogram)."""
+    """W32 (on the price) / W33 (``past``: on lag 1, with histogram). EMAs are linear-time
+    stages; MACD and its signal follow in later stages of the same window spec."""
     n = {"ema_fast": f"ema_{fast}", "ema_slow": f"ema_{slow}", "macd": "macd",
          "signal": "macd_signal", "hist": "macd_histogram"}
     n.update(names or {})
     src = col
     s = Stages()
+    base = 0
     if past:
         src = f"_{col}_lag1"
         s.add(0, {src: sw.lag(col, 1)})
-    lvl = 1 if past else 0
-    s.add(lvl, {n["ema_fast"]: ema(sw, src, fast), n["ema_slow"]: ema(sw, src, slow)})
-    s.add(lvl + 1, {n["macd"]: F.col(n["ema_fast"]) - F.col(n["ema_slow"])})
-    s.add(lvl + 2, {n["signal"]: ema(sw, n["macd"], signal)})
+        base = 1
+    emas = ema_stages(sw, src, fast, n["ema_fast"]) + ema_stages(sw, src, slow, n["ema_slow"])
+    s = s + emas.shifted(base)
+    lvl = base + emas.depth
+    s.add(lvl, {n["macd"]: F.col(n["ema_fast"]) - F.col(n["ema_slow"])})
+    sig = ema_stages(sw, n["macd"], signal, n["signal"])
+    s = s + sig.shifted(lvl + 1)
     if past:
-        s.add(lvl + 3, {n["hist"]: F.col(n["macd"]) - F.col(n["signal"])})
+        s.add(lvl + 1 + sig.depth, {n["hist"]: F.col(n["macd"]) - F.col(n["signal"])})
     return s
 
 

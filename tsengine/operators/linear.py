@@ -58,7 +58,7 @@ def gram_blocks(df: DataFrame, features: Sequence[str], target: str, block_cols:
     iu = np.triu_indices(d2)
     keys = list(block_cols)
     key_fields = [f for f in df.schema.fields if f.name in keys]
-    out_schema = T.StructType([*key_fields, T.StructField("g", T.ArrayType(T.DoubleType()))])
+    out_schema = T.StructType([*key_fields, T.StructField("_gram", T.ArrayType(T.DoubleType()))])
     shifts = np.array([center.get(c, 0.0) for c in cols])
 
     def part(it):
@@ -75,19 +75,19 @@ def gram_blocks(df: DataFrame, features: Sequence[str], target: str, block_cols:
                 m = z.T @ z
                 acc[k] = acc[k] + m if k in acc else m
         if acc:
-            yield pd.DataFrame([(*k, m[iu].tolist()) for k, m in acc.items()], columns=[*keys, "g"])
+            yield pd.DataFrame([(*k, m[iu].tolist()) for k, m in acc.items()], columns=[*keys, "_gram"])
 
     sel = df.select(*keys, *cols)
     partial = sel.mapInPandas(part, out_schema)
     # at most one partial array per (task, block): merge element-wise
     size = len(iu[0])
     zero = F.array_repeat(F.lit(0.0), size)
-    merged = partial.groupBy(*keys).agg(F.aggregate(F.collect_list("g"), zero,
-                                                    lambda a, x: F.zip_with(a, x, lambda p, q: p + q)).alias("g"))
+    merged = partial.groupBy(*keys).agg(F.aggregate(F.collect_list("_gram"), zero,
+                                                    lambda a, x: F.zip_with(a, x, lambda p, q: p + q)).alias("_gram"))
     blocks: dict[tuple, Gram] = {}
     for r in merged.collect():  # one row per block: (d+2)(d+3)/2 numbers each, never data rows
         m = np.zeros((d2, d2))
-        m[iu] = r["g"]
+        m[iu] = r["_gram"]
         m = m + np.triu(m, 1).T
         blocks[tuple(r[c] for c in keys)] = Gram(m)
     return blocks

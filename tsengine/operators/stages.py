@@ -31,6 +31,14 @@ class Stages:
             out.add(i, s)
         return out
 
+    def shifted(self, levels: int) -> Stages:
+        """The same stages starting ``levels`` stages later."""
+        return Stages([{} for _ in range(levels)] + self.stages)
+
+    @property
+    def depth(self) -> int:
+        return len(self.stages)
+
     @property
     def names(self) -> list[str]:
         return [n for s in self.stages for n in s]

@@ -110,8 +110,6 @@ def feature_contract_50(df: DataFrame, sw: SeriesWindow, has_date: bool = True)
         df = df.select("*", *[v.alias(k) for k, v in base.items()])
     c = "close"
     s0 = {f"sma_{k}": W.sma(sw, c, k, 1) for k in (5, 10, 20, 50)}
-    s0["ema_12"] = W.ema(sw, c, 12)
-    s0["ema_26"] = W.ema(sw, c, 26)
     s0.update(W.bollinger(sw, c, 20, 2.0, min_periods=1).stages[0])
     s0.update(W.lag_filled(sw, c).stages[0])
     s0.update(W.rolling_stats(sw, c, (5, 10, 20, 50), ("mean", "min", "max", "median", "q25", "q75"),
@@ -125,7 +123,7 @@ def feature_contract_50(df: DataFrame, sw: SeriesWindow, has_date: bool = True)
                    "month_cos": cyc["month_cos"], "day_of_year_cos": cyc["day_of_year_cos"]})
     else:
         s0.update(default_calendar())
-    s = Stages([s0])
+    s = Stages([s0]) + W.ema_stages(sw, c, 12, "ema_12") + W.ema_stages(sw, c, 26, "ema_26")
     out = _drop_private(s.apply(df))
     from tsengine.operators.clean import fill_forward_backward_zero
     num = [f.name for f in out.schema.fields if isinstance(f.dataType, NumericType)]

@@ -182,7 +182,7 @@ def _sma_adaptive_sql():
 
 
 _reg("w30_sma_adaptive", lambda: W.sma_adaptive(SW, "price"), _sma_adaptive_sql())
-_reg("w31_ema", lambda: Stages([{"ema_12": W.ema(SW, "price", 12), "ema_26": W.ema(SW, "price", 26)}]),
+_reg("w31_ema", lambda: W.ema_stages(SW, "price", 12, "ema_12") + W.ema_stages(SW, "price", 26, "ema_26"),
      [{"ema_12": ewm("price", 12), "ema_26": ewm("price", 26)}])
 _reg("w32_macd", lambda: W.macd(SW, "price"),
      [{"ema_12": ewm("price", 12), "ema_26": ewm("price", 26)}, {"macd": "ema_12 - ema_26"},

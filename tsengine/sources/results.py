@@ -64,7 +64,8 @@ def save_pipeline(model, path: str, feature_spec: Sequence[str] | None = None) -
     """Spark ML pipeline model + the ordered feature list next to it."""
     model.write().overwrite().save(path)
     if feature_spec is not None:
-        spark = model.stages[0].sparkSession if hasattr(model, "stages") else None
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
         if spark is not None:
             spark.createDataFrame([(i, c) for i, c in enumerate(feature_spec)], "pos int, feature string") \
                 .coalesce(1).write.mode("overwrite").json(path.rstrip("/") + "_features")
