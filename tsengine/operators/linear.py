@@ -156,9 +156,9 @@ def solve_elastic_net_batch(gs: Sequence[Gram], alpha: float, l1_ratio: float =
     ybar = np.array([c[4] for c in cs])
     n = np.array([g.n for g in gs])
     P, d = sxy.shape
-    B = np.zeros((P, d))
     l1, l2 = n * alpha * l1_ratio, n * alpha * (1.0 - l1_ratio)
     diag = np.einsum("pii->pi", Sxx)
+    B = np.zeros((P, d))
     active = np.ones(P, dtype=bool)
     for _ in range(max_iter):
         delta = np.zeros(P)
@@ -244,11 +244,8 @@ def fold_grams(blocks: dict[tuple, Gram], group_keys: int, n_folds_of, expanding
 
 
 def coefficient_table(spark, fits: dict[tuple, LinearFit], key_names: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """(keys..., model, intercept, b_<feature>...) — folds x models rows."""
-    rows = []
-    for k, fit in fits.items():
-        rows.append((*k, float(fit.intercept), *[float(v) for v in fit.coef]))
-    cols = [*key_names, "intercept", *[f"b_{c}" for c in features]]
+    """(keys..., intercept, coef array) — folds x models rows (small: never data rows). The
+    coefficients stay one array column so the scoring join stays narrow."""
     first = next(iter(fits), None)
 
     def ktype(i, name):
@@ -256,18 +253,20 @@ def coefficient_table(spark, fits: dict[tuple, LinearFit], key_names: Sequence[s
             v = first[i]
             return "bigint" if isinstance(v, (int, np.integer)) else ("double" if isinstance(v, float) else "string")
         return "bigint" if name in ("fold", "_blk") else "string"
-    ddl = ", ".join([f"`{n}` {ktype(i, n)}" for i, n in enumerate(key_names)]
-                    + ["intercept double"] + [f"`b_{c}` double" for c in features])
-    return spark.createDataFrame(pd.DataFrame(rows, columns=cols), ddl)
+    ddl = ", ".join([f"`{n}` {ktype(i, n)}" for i, n in enumerate(key_names)] + ["intercept double", "coef array<double>"])
+
+    def norm(v):
+        return int(v) if isinstance(v, (int, np.integer)) else (float(v) if isinstance(v, (float, np.floating)) else v)
+    rows = [(*[norm(x) for x in k], float(fit.intercept), [float(v) for v in fit.coef]) for k, fit in fits.items()]
+    return spark.createDataFrame(rows, ddl)
 
 
 def score(df: DataFrame, coefs: DataFrame, join_keys: Sequence[str], features: Sequence[str],
           out: str = "pred") -> DataFrame:
     """One pass: join rows to their fold's coefficients (a table of folds x models rows) and
-    evaluate intercept + sum b_j x_j as a column expression."""
+    evaluate intercept + sum b_j x_j (``zip_with`` of the coefficient array and the features)."""
     j = df.join(coefs, list(join_keys), "inner")
-    expr = F.col("intercept")
-    for c in features:
-        expr = expr + F.col(f"b_{c}") * F.col(c)
-    return j.select(*df.columns, *[c for c in coefs.columns if c not in join_keys and not c.startswith("b_")
-                                   and c != "intercept"], expr.alias(out))
+    x = F.array(*[F.col(c).cast("double") for c in features])
+    dot = F.aggregate(F.zip_with(F.col("coef"), x, lambda b, v: b * v), F.lit(0.0), lambda acc, t: acc + t)
+    extra = [c for c in coefs.columns if c not in join_keys and c not in ("intercept", "coef")]
+    return j.select(*df.columns, *extra, (F.col("intercept") + dot).alias(out))

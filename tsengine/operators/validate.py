@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tsengine.frames import SeriesWindow
 from tsengine.operators import linear as L
+from tsengine.session import cut_lineage
 
 
 def with_walk_forward_blocks(df: DataFrame, sw: SeriesWindow, initial: int, step: int, horizon: int = 1) -> DataFrame:
@@ -35,7 +36,9 @@ def walk_forward_linear(df: DataFrame, sw: SeriesWindow, features: Sequence[str]
     walk-forward test row. ``models``: name -> (solver, params) with solver in
     :data:`linear.SOLVERS`."""
     spark = df.sparkSession
-    b = with_walk_forward_blocks(df, sw, initial, step, horizon).cache()
+    # the feature table is read by several jobs (means, Grams, scoring): cut its lineage once into
+    # the shared checkpoint folder (reliable: survives executor loss; later plans stay small)
+    b = cut_lineage(with_walk_forward_blocks(df, sw, initial, step, horizon))
     means = L.column_means(b, [*features, target])
     blocks = L.gram_blocks(b, features, target, [*sw.series_cols, "_blk"], means)
     nf = {tuple(r[c] for c in sw.series_cols): int(r["nf"] or 0) for r in
@@ -51,7 +54,6 @@ def walk_forward_linear(df: DataFrame, sw: SeriesWindow, features: Sequence[str]
     test = b.filter(F.col("fold").isNotNull()).select(*sw.series_cols, sw.time_col, "row_idx", "fold",
                                                       F.col(target).alias("y"), *features)
     scored = L.score(test, coefs, [*sw.series_cols, "fold"], features)
-    b.unpersist()
     return scored.select(*sw.series_cols, sw.time_col, "row_idx", "fold", "model", "y", "pred")
 
 
@@ -61,7 +63,7 @@ def holdout_linear(df: DataFrame, sw: SeriesWindow, features: Sequence[str], tar
     predict the rest. Returns (predictions, fits)."""
     idx, n = sw.row_idx(), sw.n_rows()
     t = df.select("*", idx.alias("row_idx"), n.alias("_n"))
-    t = t.withColumn("_blk", (F.col("row_idx") >= F.floor(F.col("_n") * (1 - test_frac))).cast("int"))
+    t = cut_lineage(t.withColumn("_blk", (F.col("row_idx") >= F.floor(F.col("_n") * (1 - test_frac))).cast("int")))
     means = L.column_means(t.filter("_blk = 0"), [*features, target])
     blocks = L.gram_blocks(t, features, target, ["_blk"], means)
     g = blocks[(0,)]
@@ -82,7 +84,8 @@ def walk_forward_ml(df: DataFrame, sw: SeriesWindow, features: Sequence[str], ta
     b = with_walk_forward_blocks(df, sw, initial, step, horizon)
     va = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
     data = va.transform(b.filter(F.col(target).isNotNull())).select(
-        *sw.series_cols, sw.time_col, "row_idx", "_blk", "fold", F.col(target).alias("y"), "_features").cache()
+        *sw.series_cols, sw.time_col, "row_idx", "_blk", "fold", F.col(target).alias("y"), "_features")
+    data = cut_lineage(data)
     n_folds = data.agg(F.max("fold")).first()[0]
     n_folds = 0 if n_folds is None else int(n_folds) + 1
     if max_folds is not None:
