@@ -26,22 +26,28 @@ class SeriesWindow:
         self.series_cols = list(series_cols)
         self.time_col = time_col
         self.order_cols = [time_col, *tiebreak]
+        self._cache: dict = {}  # window specs are immutable: build each once (fewer JVM calls)
 
     @property
     def w(self) -> WindowSpec:
-        if self.series_cols:
-            return Window.partitionBy(*self.series_cols).orderBy(*self.order_cols)
-        return Window.orderBy(*self.order_cols)
+        if "w" not in self._cache:
+            self._cache["w"] = (Window.partitionBy(*self.series_cols).orderBy(*self.order_cols)
+                                if self.series_cols else Window.orderBy(*self.order_cols))
+        return self._cache["w"]
 
     @property
     def part(self) -> WindowSpec:
         """Whole-series frame (for counts / positions)."""
-        if self.series_cols:
-            return Window.partitionBy(*self.series_cols)
-        return Window.partitionBy()
+        if "part" not in self._cache:
+            self._cache["part"] = (Window.partitionBy(*self.series_cols) if self.series_cols
+                                   else Window.partitionBy())
+        return self._cache["part"]
 
     def rows(self, start: int, end: int) -> WindowSpec:
-        return self.w.rowsBetween(start, end)
+        key = ("rows", start, end)
+        if key not in self._cache:
+            self._cache[key] = self.w.rowsBetween(start, end)
+        return self._cache[key]
 
     def incl(self, k: int) -> WindowSpec:
         return self.rows(-(k - 1), 0)

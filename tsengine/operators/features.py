@@ -201,8 +201,16 @@ def ema(sw: SeriesWindow, col: str, span: float, min_periods: int = 1) -> Column
     return ewm_mean(col, sw, span=span, min_periods=min_periods)
 
 
+# EWM implementation used by the bundles: "stages" = O(n) block-carry stages (6 window levels),
+# "frame" = one column over a bounded exact frame (O(n K) work, one level)
+EWM_IMPL = "stages"
+
+
 def ema_stages(sw: SeriesWindow, col: str, span: float, out: str, min_periods: int = 1) -> Stages:
-    """W31 as linear-time window stages (block-relative running sums + block carries)."""
+    """W31 as window stages (block-relative running sums + block carries), or a single
+    bounded-frame column when ``EWM_IMPL == "frame"``."""
+    if EWM_IMPL == "frame":
+        return Stages([{out: ewm_mean(col, sw, span=span, min_periods=min_periods)}])
     return ewm_stages(sw, col, out, span=span, min_periods=min_periods)
 
 

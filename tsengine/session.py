@@ -21,6 +21,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
+         # feature bundles are wide projections of window aliases; inferring constraints over
+         # hundreds of aliases costs planner time quadratic in the column count and adds nothing
+         .config("spark.sql.constraintPropagation.enabled", "false")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
