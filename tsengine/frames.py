@@ -20,13 +20,14 @@ class SeriesWindow:
     """
 
     def __init__(self, series_cols: Sequence[str] | str = ("series",), time_col: str = "dt",
-                 tiebreak: Sequence[str] = ()):
+                 tiebreak: Sequence[str] = (), pos_col: str | None = None):
         if isinstance(series_cols, str):
             series_cols = [series_cols]
         self.series_cols = list(series_cols)
         self.time_col = time_col
         self.order_cols = [time_col, *tiebreak]
         self._cache: dict = {}  # window specs are immutable: build each once (fewer JVM calls)
+        self.pos_col = pos_col  # a precomputed global row position (halo blocks), if any
 
     @property
     def w(self) -> WindowSpec:
@@ -89,7 +90,10 @@ class SeriesWindow:
         return F.lead(col, k).over(self.w)
 
     def row_idx(self) -> Column:
-        """0-based position inside the series (pandas ``iloc`` index)."""
+        """0-based position inside the series (pandas ``iloc`` index); the global position
+        column when the frame is a halo block of a longer series."""
+        if self.pos_col:
+            return F.col(self.pos_col).cast("long")
         return (F.row_number().over(self.w) - 1).cast("long")
 
     def n_rows(self) -> Column:

@@ -164,3 +164,30 @@ def technical_indicators(df: DataFrame, sw: SeriesWindow, price: str = "price")
               "price_change_10": W.pct_change(sw, price, 10)})
     s = s + W.price_std(sw, price, (5, 10, 20))
     return _drop_private(s.apply(df))
+
+
+def engineer_past_long(df: DataFrame, sw: SeriesWindow, price: str = "price", horizon: int = 1,
+                       min_history: int = 60, max_interactions: int = 15, halo: int = 1024,
+                       block_rows: int = 8192) -> DataFrame:
+    """W50 for few, very long series (the reference's own single-series case) without a
+    one-task window: features run on halo blocks (every frame / lag / EWM carry reaches back
+    less than ``halo`` rows; EWM weights at ``halo`` rows are below 1e-17), the target is an equi
+    join on the global row position (pos + horizon) and the trims use per-series counts."""
+    from tsengine.plans.halo import add_blocks, drop_halo
+    order = past_feature_order(sw, price)
+    inter = capped_interactions(order, 10, max_interactions)
+    blocked, bsw = add_blocks(df, sw, block_rows, halo)
+    st = past_feature_stages(bsw, price, sw.time_col)
+    st.add(len(st.stages), inter)
+    feats_df = drop_halo(st.apply(blocked), keep_pos=True).withColumnRenamed("_pos", "_gpos")
+    feats = [c for c in order if c not in RAW_COLS] + list(inter)
+    pos = feats_df.select(*sw.series_cols, sw.time_col, "_gpos", *feats)
+    nxt = blocked.filter(~F.col("_halo")).select(*[F.col(c).alias(f"_t_{c}") for c in sw.series_cols],
+                                                 (F.col("_pos") - horizon).alias("_tpos"), F.col(price).alias("target"))
+    cond = [F.col(c) == F.col(f"_t_{c}") for c in sw.series_cols] + [F.col("_gpos") == F.col("_tpos")]
+    j = pos.join(nxt, cond, "left")
+    n = df.groupBy(*sw.series_cols).agg(F.count(F.lit(1)).alias("_n"))
+    j = j.join(n, sw.series_cols)
+    out = j.filter((F.col("_gpos") >= min_history) & (F.col("_gpos") < F.col("_n") - horizon))
+    out = out.na.drop("any", subset=feats + ["target"])
+    return out.select(*sw.series_cols, sw.time_col, *feats, "target")

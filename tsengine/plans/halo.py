@@ -52,12 +52,13 @@ def add_blocks(df: DataFrame, sw: SeriesWindow, block_rows: int, halo: int) -> t
     nxt = (own.filter(F.col("_pos") % block_rows >= block_rows - halo)
               .withColumn("_blk", F.col("_blk") + 1).withColumn("_halo", F.lit(True)))
     blocked = own.unionByName(nxt)
-    bsw = SeriesWindow([*sw.series_cols, "_blk"], sw.time_col, sw.order_cols[1:])
+    bsw = SeriesWindow([*sw.series_cols, "_blk"], sw.time_col, sw.order_cols[1:], pos_col="_pos")
     return blocked, bsw
 
 
-def drop_halo(df: DataFrame) -> DataFrame:
-    return df.filter(~F.col("_halo")).drop("_halo", "_blk", "_pos")
+def drop_halo(df: DataFrame, keep_pos: bool = False) -> DataFrame:
+    out = df.filter(~F.col("_halo")).drop("_halo", "_blk")
+    return out if keep_pos else out.drop("_pos")
 
 
 def global_row_index(df: DataFrame, sw: SeriesWindow, bucket: Callable[[Column], Column] = F.year) -> DataFrame:

@@ -404,3 +404,14 @@ def _tech_sql():
 
 register("w51_technical_indicators", _tech_sql(), exact=BAR_EXACT, ts=["dt"])(
     lambda spark, d: bundles.technical_indicators(fixtures.bars(spark, d), SW))
+
+
+_LONG_SQL, _ = engineer_past_sql(__import__("tsengine.plans.oracle", fromlist=["BARS_ONE"]).BARS_ONE)
+
+
+@register("w50b_engineer_past_long_series", _LONG_SQL,
+          exact=["series", "dt", "day_of_week", "month", "quarter", "year", "day_of_year"], ts=["dt"])
+def q_past_long(spark, d):
+    """W50 on ONE long series (all orders together) through halo blocks + position joins:
+    no single-task window; equal to the direct window form (same oracle)."""
+    return bundles.engineer_past_long(fixtures.bars_one(spark, d), SW, halo=1024, block_rows=1024)
