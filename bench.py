@@ -19,6 +19,7 @@ from tsengine.session import build_session  # noqa: E402
 HEADLINE = [
     "w52_quick_features",
     "w50_engineer_past",
+    "w50b_engineer_past_long_series",
     "w48_feature_contract_50",
     "w51_technical_indicators",
     "w10_w11_past_rolling",
