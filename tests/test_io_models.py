@@ -166,3 +166,13 @@ def test_walk_forward_ml_smoke(spark):
     out = V.walk_forward_ml(q, SW, ["ma_5", "price_lag_1"], "target", lambda: MD.random_forest(numTrees=5, maxDepth=3),
                             initial=150, step=50, max_folds=2, name="rf")
     assert out.count() > 0
+
+
+def test_standardized_gram_solution_maps_back(spark):
+    df, X, y = _xy(spark)
+    feats = [f"x{i}" for i in range(4)]
+    g = L.gram_blocks(df, feats, "y", ["g"])[(0,)]
+    a = L.solve_many("ridge", [g], {"alpha": 0.0}, standardize=True)[0]
+    b = L.solve_ridge(g, 0.0)
+    np.testing.assert_allclose(a.coef, b.coef, rtol=1e-8)
+    np.testing.assert_allclose(a.intercept, b.intercept, rtol=1e-8)

@@ -178,8 +178,28 @@ def solve_elastic_net_batch(gs: Sequence[Gram], alpha: float, l1_ratio: float =
     return [LinearFit(B[p], float(ybar[p] - xbar[p] @ B[p])) for p in range(P)]
 
 
-def solve_many(solver: str, gs: Sequence[Gram], params: dict) -> list[LinearFit]:
-    """Solve one model on many Grams; lasso / elastic net run batched."""
+def standardized(g: Gram) -> tuple[Gram, np.ndarray]:
+    """The Gram of [1, x / s, y] with s = population std of x over the same rows (a scaler fit on
+    exactly these rows), and s. Constant columns keep s = 1."""
+    n = g.n
+    d = g.G.shape[0] - 2
+    Sxx, _, _, _, _ = g.centered()
+    s = np.sqrt(np.clip(np.diag(Sxx) / max(n, 1.0), 0.0, None))
+    s[s == 0] = 1.0
+    scale = np.concatenate([[1.0], 1.0 / s, [1.0]])
+    return Gram(g.G * np.outer(scale, scale)), s
+
+
+def solve_many(solver: str, gs: Sequence[Gram], params: dict, standardize: bool = False) -> list[LinearFit]:
+    """Solve one model on many Grams; lasso / elastic net run batched. ``standardize``: fit on
+    features scaled by each Gram's own (training) std, coefficients mapped back."""
+    if standardize:
+        pairs = [standardized(g) for g in gs]
+        fits = solve_many(solver, [p[0] for p in pairs], params)
+        out = []
+        for (g, s), f in zip(pairs, fits):
+            out.append(LinearFit(f.coef / s, f.intercept))
+        return out
     if solver == "lasso":
         return solve_elastic_net_batch(gs, params.get("alpha", 0.1), 1.0)
     if solver == "elastic_net":

@@ -49,7 +49,7 @@ def feature_count_search(blocks: dict[tuple, L.Gram], ranked: Sequence[int], n_b
     return res
 
 
-def gram_cv_mse(blocks, folds, subset, solver, params):
+def gram_cv_mse(blocks, folds, subset, solver, params, standardize: bool = False):
     """Mean test MSE over folds for a feature subset, from block Grams only: the test SSE of
     coefficients b is [1 b -1] G_test [1 b -1]' (no scoring pass)."""
     idx = [0, *[i + 1 for i in subset]]
@@ -63,7 +63,7 @@ def gram_cv_mse(blocks, folds, subset, solver, params):
         trains.append(L.Gram(tr.G[np.ix_(sel, sel)]))
         tests.append(sum(t.G for t in te)[np.ix_(sel, sel)])
     mses = []
-    for fit, tg in zip(L.solve_many(solver, trains, params), tests):
+    for fit, tg in zip(L.solve_many(solver, trains, params, standardize), tests):
         w = np.concatenate([[fit.intercept], fit.coef, [-1.0]])
         mses.append(float(w @ tg @ w) / tg[0, 0])
     return float(np.mean(mses)) if mses else float("nan")

@@ -139,8 +139,8 @@ def q_mean_importance(spark, d):
 @register("m12_param_search")
 def q_search(spark, d):
     """M12 (re-aimed): seeded random search (15 trials per solver) over ridge/lasso/EN alphas,
-    scored by 3-fold expanding temporal CV (H03). Every trial's CV MSE comes from the same
-    per-block Grams — one data pass for all trials."""
+    scored by 3-fold expanding temporal CV (H03) with a scaler fit on each fold's training rows
+    (H04). Every trial's CV MSE comes from the same per-block Grams — one data pass for all."""
     past = _past(spark, d)
     feats = [c for c in past.columns if c not in ("series", "dt", "target")]
     idx = past.select("*", SW.row_idx().alias("row_idx"), SW.n_rows().alias("_n"))
@@ -153,7 +153,7 @@ def q_search(spark, d):
     folds = [([(x,) for x in range(f + 1)], [(f + 1,)]) for f in range(3)]
     rows = []
     for name, solver, params in MD.linear_search_trials(15, 42):
-        cv = R.gram_cv_mse(blocks, folds, list(range(len(feats))), solver, params)
+        cv = R.gram_cv_mse(blocks, folds, list(range(len(feats))), solver, params, standardize=True)
         rows.append((name, solver, float(params.get("alpha", 0.0)), float(params.get("l1_ratio", 1.0)), cv))
     return spark.createDataFrame(rows, "trial string, solver string, alpha double, l1_ratio double, cv_mse double")
 
