@@ -176,3 +176,16 @@ def test_standardized_gram_solution_maps_back(spark):
     b = L.solve_ridge(g, 0.0)
     np.testing.assert_allclose(a.coef, b.coef, rtol=1e-8)
     np.testing.assert_allclose(a.intercept, b.intercept, rtol=1e-8)
+
+
+def test_search_batch_equals_per_trial(spark):
+    from tsengine.operators import reduce as R
+    df, X, y = _xy(spark, n=600)
+    feats = [f"x{i}" for i in range(4)]
+    df = df.withColumn("b", (F.monotonically_increasing_id() % 4).cast("int"))
+    blocks = L.gram_blocks(df, feats, "y", ["b"])
+    folds = [([(x,) for x in range(f + 1)], [(f + 1,)]) for f in range(3)]
+    trials = [{"alpha": a} for a in (0.01, 0.1, 1.0)]
+    batch = R.gram_cv_mse_trials(blocks, folds, [0, 1, 2, 3], "lasso", trials, standardize=True)
+    one = [R.gram_cv_mse(blocks, folds, [0, 1, 2, 3], "lasso", t, standardize=True) for t in trials]
+    np.testing.assert_allclose(batch, one, rtol=1e-6)

@@ -143,7 +143,7 @@ def solve_elastic_net(g: Gram, alpha: float, l1_ratio: float = 1.0, max_iter: in
     return LinearFit(b, float(ybar - xbar @ b))
 
 
-def solve_elastic_net_batch(gs: Sequence[Gram], alpha: float, l1_ratio: float = 1.0, max_iter: int = 1000,
+def solve_elastic_net_batch(gs: Sequence[Gram], alpha, l1_ratio=1.0, max_iter: int = 1000,
                             tol: float = 1e-4) -> list[LinearFit]:
     """The same coordinate descent for many problems at once (all folds / groups): the sweep
     over coordinates is a Python loop, each coordinate update is vectorised over problems."""
@@ -190,8 +190,9 @@ def standardized(g: Gram) -> tuple[Gram, np.ndarray]:
     return Gram(g.G * np.outer(scale, scale)), s
 
 
-def solve_many(solver: str, gs: Sequence[Gram], params: dict, standardize: bool = False) -> list[LinearFit]:
-    """Solve one model on many Grams; lasso / elastic net run batched. ``standardize``: fit on
+def solve_many(solver: str, gs: Sequence[Gram], params, standardize: bool = False) -> list[LinearFit]:
+    """Solve one model on many Grams; lasso / elastic net run batched. ``params``: one dict, or
+    one dict per Gram (e.g. every trial x fold of a search in one batch). ``standardize``: fit on
     features scaled by each Gram's own (training) std, coefficients mapped back."""
     if standardize:
         pairs = [standardized(g) for g in gs]
@@ -200,11 +201,13 @@ def solve_many(solver: str, gs: Sequence[Gram], params: dict, standardize: bool
         for (g, s), f in zip(pairs, fits):
             out.append(LinearFit(f.coef / s, f.intercept))
         return out
+    plist = list(params) if isinstance(params, (list, tuple)) else [params] * len(gs)
     if solver == "lasso":
-        return solve_elastic_net_batch(gs, params.get("alpha", 0.1), 1.0)
+        return solve_elastic_net_batch(gs, [p.get("alpha", 0.1) for p in plist], 1.0)
     if solver == "elastic_net":
-        return solve_elastic_net_batch(gs, params.get("alpha", 0.1), params.get("l1_ratio", 0.5))
-    return [SOLVERS[solver](g, params) for g in gs]
+        return solve_elastic_net_batch(gs, [p.get("alpha", 0.1) for p in plist],
+                                       [p.get("l1_ratio", 0.5) for p in plist])
+    return [SOLVERS[solver](g, p) for g, p in zip(gs, plist)]
 
 
 def solve_bayesian_ridge(g: Gram, max_iter: int = 300, tol: float = 1e-3, a1: float = 1e-6, a2: float = 1e-6,

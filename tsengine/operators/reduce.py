@@ -67,3 +67,33 @@ def gram_cv_mse(blocks, folds, subset, solver, params, standardize: bool = False
         w = np.concatenate([[fit.intercept], fit.coef, [-1.0]])
         mses.append(float(w @ tg @ w) / tg[0, 0])
     return float(np.mean(mses)) if mses else float("nan")
+
+
+def gram_cv_mse_trials(blocks, folds, subset, solver, trials: Sequence[dict], standardize: bool = False) -> list[float]:
+    """CV MSE of many parameter settings of one solver: every trial x fold problem is solved in
+    ONE batch (lasso / EN coordinate descent vectorised over all of them)."""
+    idx = [0, *[i + 1 for i in subset]]
+    trains, tests = [], []
+    for train_keys, test_keys in folds:
+        tr = _sum(blocks[k] for k in train_keys if k in blocks)
+        te = [blocks[k] for k in test_keys if k in blocks]
+        if tr is None or not te:
+            continue
+        sel = [*idx, tr.G.shape[0] - 1]
+        trains.append(L.Gram(tr.G[np.ix_(sel, sel)]))
+        tests.append(sum(t.G for t in te)[np.ix_(sel, sel)])
+    nf = len(trains)
+    if nf == 0:
+        return [float("nan")] * len(trials)
+    grams = [g for _ in trials for g in trains]
+    params = [p for p in trials for _ in trains]
+    fits = L.solve_many(solver, grams, params, standardize)
+    out = []
+    for t in range(len(trials)):
+        mses = []
+        for f in range(nf):
+            fit, tg = fits[t * nf + f], tests[f]
+            w = np.concatenate([[fit.intercept], fit.coef, [-1.0]])
+            mses.append(float(w @ tg @ w) / tg[0, 0])
+        out.append(float(np.mean(mses)))
+    return out

@@ -152,9 +152,12 @@ def q_search(spark, d):
     blocks = L.gram_blocks(b, feats, "target", ["_blk"], means)
     folds = [([(x,) for x in range(f + 1)], [(f + 1,)]) for f in range(3)]
     rows = []
-    for name, solver, params in MD.linear_search_trials(15, 42):
-        cv = R.gram_cv_mse(blocks, folds, list(range(len(feats))), solver, params, standardize=True)
-        rows.append((name, solver, float(params.get("alpha", 0.0)), float(params.get("l1_ratio", 1.0)), cv))
+    trials = MD.linear_search_trials(15, 42)
+    for solver in ("ridge", "lasso", "elastic_net"):
+        ts = [t for t in trials if t[1] == solver]
+        cvs = R.gram_cv_mse_trials(blocks, folds, list(range(len(feats))), solver, [t[2] for t in ts], standardize=True)
+        for (name, _, params), cv in zip(ts, cvs):
+            rows.append((name, solver, float(params.get("alpha", 0.0)), float(params.get("l1_ratio", 1.0)), cv))
     return spark.createDataFrame(rows, "trial string, solver string, alpha double, l1_ratio double, cv_mse double")
 
 
