@@ -156,6 +156,8 @@ def solve_elastic_net_batch(gs: Sequence[Gram], alpha, l1_ratio=1.0, max_iter: i
     ybar = np.array([c[4] for c in cs])
     n = np.array([g.n for g in gs])
     P, d = sxy.shape
+    alpha = np.broadcast_to(np.asarray(alpha, dtype=float), (P,))  # one value or one per problem
+    l1_ratio = np.broadcast_to(np.asarray(l1_ratio, dtype=float), (P,))
     l1, l2 = n * alpha * l1_ratio, n * alpha * (1.0 - l1_ratio)
     diag = np.einsum("pii->pi", Sxx)
     B = np.zeros((P, d))
