@@ -120,7 +120,7 @@ def test_contract_without_dates(spark):
     assert out.select([F.sum(F.col(c).isNull().cast("int")) for c in out.columns[2:]]).first() == tuple([0] * (len(out.columns) - 2))
 
 
-def test_pipeline_save_load(spark):
+def test_model_save_load(spark):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
@@ -128,8 +128,8 @@ def test_pipeline_save_load(spark):
     pipe = Pipeline(stages=[VectorAssembler(inputCols=["x0", "x1"], outputCol="features"),
                             LinearRegression(featuresCol="features", labelCol="y")]).fit(df)
     path = tempfile.mkdtemp(prefix="tsengine-model-") + "/m"
-    RS.save_pipeline(pipe, path, ["x0", "x1"])
-    again = RS.load_pipeline(path)
+    RS.save_model(pipe, path, ["x0", "x1"])
+    again = RS.load_model(path)
     a = pipe.transform(df).select("prediction").toPandas().prediction
     b = again.transform(df).select("prediction").toPandas().prediction
     np.testing.assert_allclose(a, b)

@@ -60,7 +60,7 @@ def to_records(df: DataFrame, time_col: str = "dt") -> DataFrame:
     return t.select(F.to_json(F.struct(*t.columns), {"ignoreNullFields": "false"}).alias("record"))
 
 
-def save_pipeline(model, path: str, feature_spec: Sequence[str] | None = None) -> None:
+def save_model(model, path: str, feature_spec: Sequence[str] | None = None) -> None:
     """Spark ML pipeline model + the ordered feature list next to it."""
     model.write().overwrite().save(path)
     if feature_spec is not None:
@@ -71,6 +71,6 @@ def save_pipeline(model, path: str, feature_spec: Sequence[str] | None = None) -
                 .coalesce(1).write.mode("overwrite").json(path.rstrip("/") + "_features")
 
 
-def load_pipeline(path: str):
+def load_model(path: str):
     from pyspark.ml import PipelineModel
     return PipelineModel.load(path)
