@@ -236,3 +236,27 @@ def q_quote_stream(spark, d):
     s = T.quote_stream(spark, land, "parquet")
     table = T.run_available_now(s, "t01", "append")
     return spark.table(table).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@register("t04_enrich_messages_stream")
+def q_enrich_stream(spark, d):
+    """The message table read as a stream (AvailableNow); every micro-batch is joined in
+    ``foreachBatch`` with the current cross-source summary of the quotes (J04) and appended to a
+    table in the shared folder."""
+    import uuid
+
+    from tsengine.operators import summary as S
+    from tsengine.plans.queries_tables import KEYWORDS
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/t04_{uuid.uuid4().hex[:8]}"
+    latest = S.latest_per_source(fixtures.quotes(spark, d), "source", "ts", ["price"])
+    schema = fixtures.table(spark, d, "conversations").schema
+    src = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    msgs = src.select(F.col("role").alias("user"), F.col("conv_id").alias("room"), "turn", F.col("text").alias("message"))
+
+    def sink(batch, epoch):
+        e = T.enrich_messages_batch(batch, latest, KEYWORDS)
+        e.select("user", "room", "turn", "message", F.col("price_context.current_avg").alias("ctx_avg"),
+                 F.col("price_context.timestamp").alias("ctx_ts")).write.mode("append").parquet(out)
+
+    T.run_available_now(msgs, "t04", "append", sink=sink)
+    return spark.read.parquet(out)
