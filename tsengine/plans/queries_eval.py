@@ -262,7 +262,21 @@ def q_eval_ens(spark, d):
     return M.regression_metrics(allp, ["series", "model"])
 
 
-@register("e07_dynamic_weights")
+def _dyn_sql():
+    from tsengine.functions.core import ewm_frame_rows
+    k, r = ewm_frame_rows(0.3), 0.3
+    w = "PARTITION BY series, model ORDER BY fold"
+    return ("WITH " + SCORED_SQL + f""",
+ a AS (SELECT series, model, fold, mse, avg(mse) OVER ({w} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS avg_mse FROM fm),
+ b AS (SELECT *, (1.0 / (avg_mse + 1e-8)) / sum(1.0 / (avg_mse + 1e-8)) OVER (PARTITION BY series, fold) AS t,
+         count(*) OVER (PARTITION BY series, fold) AS m FROM a),
+ c AS (SELECT *, list(t) OVER ({w} ROWS BETWEEN {k} PRECEDING AND CURRENT ROW) AS h, row_number() OVER ({w}) AS u FROM b)
+SELECT series, model, fold::BIGINT AS "update", mse, avg_mse,
+  list_reduce(h, lambda acc, x: acc * {1.0 - r!r}::DOUBLE + {r!r}::DOUBLE * x,
+              CASE WHEN u <= {k + 1} THEN 1.0 / m ELSE 0.0 END::DOUBLE) AS weight FROM c""")
+
+
+@register("e07_dynamic_weights", _dyn_sql(), exact=["series", "model", "update"])
 def q_dyn(spark, d):
     fm = _fm(spark, d).select("series", "model", F.col("fold").alias("update"), "mse")
     return E.dynamic_weights(fm, ["series"], window=3, rate=0.3)
