@@ -81,9 +81,28 @@ class SeriesWindow:
         c = F.col(col) if isinstance(col, str) else col
         if min_periods <= 0:
             return agg(c).over(frame)
-        return F.when(F.count(c).over(frame) >= min_periods, agg(c).over(frame))
+        return F.when(SeriesWindow._count(col, c, frame) >= min_periods, agg(c).over(frame))
+
+    _counts: dict = {}
+
+    @staticmethod
+    def _count(name, c: Column, frame: WindowSpec) -> Column:
+        """count(c) over a frame, shared by every aggregate guarded on the same column / frame."""
+        if not isinstance(name, str):
+            return F.count(c).over(frame)
+        key = (name, id(frame))
+        hit = SeriesWindow._counts.get(key)
+        if hit is None or hit[0] is not frame:
+            hit = (frame, F.count(c).over(frame))
+            SeriesWindow._counts[key] = hit
+        return hit[1]
 
     def lag(self, col: Column | str, k: int = 1) -> Column:
+        if isinstance(col, str):  # Columns are immutable: reuse the same lag expression
+            key = ("lag", col, k)
+            if key not in self._cache:
+                self._cache[key] = F.lag(col, k).over(self.w)
+            return self._cache[key]
         return F.lag(col, k).over(self.w)
 
     def lead(self, col: Column | str, k: int = 1) -> Column:
