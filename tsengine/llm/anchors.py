@@ -108,7 +108,7 @@ def shared_anchors(docs: DataFrame, unit: Unit) -> DataFrame:
 
     # a stretch of one repeated gram gives an anchor a place: each is a row of its own
     found = docs.select("rid", "text").mapInArrow(run, "gram long, rid long, at int")
-    twice = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "shared-grams")
+    twice = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "shared-grams", heavy=True)
     return found.join(twice, "gram", "left_semi").groupBy("rid").agg(F.collect_set("at").alias("at"))
 
 
@@ -282,12 +282,12 @@ def repeated_runs(docs: DataFrame, unit: Unit, resolve: Resolve, keep_first: boo
     """rid and ``runs`` (array of first window, number of windows) of every row with windows that
     occur elsewhere (``keep_first``: earlier by doc_id, then start). ``docs``: rid, doc_id, text."""
     small_batches(docs.sparkSession)
-    segs = materialize(segments(docs, shared_anchors(docs, unit), unit), "segments")
+    segs = materialize(segments(docs, shared_anchors(docs, unit), unit), "segments", heavy=True)
     place = F.struct("doc_id", "start", "rid")
     distinct = materialize(
         segs.groupBy("seg_a", "seg_b").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct(place.alias("p"), "gram", "windows", "lead", "content")).alias("s"))
-        .select("seg_a", "seg_b", "n", "s.p.*", "s.gram", "s.windows", "s.lead", "s.content"), "distinct-segments")
+        .select("seg_a", "seg_b", "n", "s.p.*", "s.gram", "s.windows", "s.lead", "s.content"), "distinct-segments", heavy=True)
     hot = materialize(distinct.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > most).select("gram"), "hot-grams")
     if hot.isEmpty():
         runs = _resolve_groups(distinct, resolve, keep_first)
@@ -300,7 +300,7 @@ def repeated_runs(docs: DataFrame, unit: Unit, resolve: Resolve, keep_first: boo
     if keep_first:
         again = again.where("doc_id != d OR start != s")
     runs = runs.unionByName(again.select("rid", F.col("start").alias("first"), "windows"))
-    return materialize(runs.groupBy("rid").agg(F.collect_set(F.struct("first", "windows")).alias("runs")), "runs")
+    return materialize(runs.groupBy("rid").agg(F.collect_set(F.struct("first", "windows")).alias("runs")), "runs", heavy=True)
 
 
 def keyed(docs: DataFrame, carry: bool = False) -> DataFrame:

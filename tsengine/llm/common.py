@@ -4,6 +4,7 @@ vectorised hashing of byte and word windows (numpy, inside tasks only)."""
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -37,21 +38,25 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+def materialize(df: DataFrame, what: str, heavy: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage by files that survive lost
-    executors. The shuffle files of the finished job are given up with the driver's references."""
+    executors. After a ``heavy`` job its shuffle files are given up before the next one begins."""
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    release(spark)
+    if heavy:
+        release(spark)
     return out
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs (it acts when the driver collects garbage)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of finished jobs: it acts when the driver collects
+    garbage, the second time when the first one ran with the last job still being reported."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def row_id(*cols: str):

@@ -198,13 +198,13 @@ def similar_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     """rid, doc_id, n_shingles, component_id (least doc_id reachable by links) of every row."""
     small_batches(docs.sparkSession)
     rows = docs.select(row_id("doc_id", "text").alias("rid"), "doc_id", "text")
-    index = materialize(_index(rows, n, pct, _plain_counts(rows, n, pct)), "index")
+    index = materialize(_index(rows, n, pct, _plain_counts(rows, n, pct)), "index", heavy=True)
     flat = (index.where("n > 0").select("sid", "n", F.explode(F.arrays_zip("entries", "places")).alias("e"))
             .select(F.col("e.entries").alias("entry"), "sid", "n", F.col("e.places").alias("place")))
     # the least set of an entry is its star's centre; entries of one set alone drop out
     least = F.min(F.struct("sid", "n", "place"))
     centre = materialize(flat.groupBy("entry").agg(least.alias("c"), F.max("sid").alias("most")).where("c.sid != most").select("entry", "c"), "centres")
-    held = materialize(flat.join(centre, "entry").select("entry", "sid", "n", "place", "c"), "entries")
+    held = materialize(flat.join(centre, "entry").select("entry", "sid", "n", "place", "c"), "entries", heavy=True)
     star = materialize(held.alias("m").where("sid != c.sid").where(_may_link("m", "c", pct))
                        .select(F.col("c.sid").alias("a"), F.col("sid").alias("b")).distinct(), "star")
     if held.isEmpty():
@@ -212,8 +212,8 @@ def similar_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     else:
         members = held.select("sid").distinct()
         one = index.join(members, "sid", "left_semi").groupBy("sid").agg(F.min("rid").alias("rid")).select("rid")
-        sets = materialize(_sets(rows, one, n).dropDuplicates(["sid"]), "sets")
-        links = materialize(_verified(star, sets, pct), "links")
+        sets = materialize(_sets(rows, one, n).dropDuplicates(["sid"]), "sets", heavy=True)
+        links = materialize(_verified(star, sets, pct), "links", heavy=True)
         roots = components(links)
         named = held.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         open_ = materialize(named.groupBy("entry").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("entry"), "open")

@@ -73,7 +73,7 @@ def _whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return (cut == size)[char]
 
 
-def dedup_bytes(docs: DataFrame, length: int = 100, gram: int = 20, most: int = MOST, texts: bool = False) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = 100, gram: int = 28, most: int = MOST, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, kept and carry (the other
     columns of the row) of every row of ``docs``. ``kept`` is text: a character of which only some
     bytes are removed stays whole in it."""
