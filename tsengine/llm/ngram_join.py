@@ -6,7 +6,7 @@ tokens of that prefix are indexed alone. Where the prefix reaches the class of f
 is extended to 2 D + 2 tokens, D = floor(n (1 - t) / t) being the most that two such sets differ
 by: of the first D + 2 shared tokens, all frequent then, at least two neighbours stand side by side
 in both sets, so pairs of neighbouring frequent tokens are indexed. Sets that share an entry are
-compared in full.
+compared, first by histograms of their tokens (a bound), then in full.
 
 The class of frequent tokens is the ``CLASS`` most counted tokens in the plain prefixes, above
 ``FREQUENT`` texts each; it decides how much is compared, never what is found.
@@ -32,6 +32,7 @@ from tsengine.llm.common import Rolling, materialize, mix, row_id, small_batches
 
 FREQUENT = 64
 CLASS = 65536
+BINS = 64         # of a set's histogram: the L1 distance of two is at most the sets' symmetric difference
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -105,7 +106,7 @@ def _plain_counts(docs: DataFrame, n: int, pct: int) -> np.ndarray:
 
 
 def _index(docs: DataFrame, n: int, pct: int, frequent: np.ndarray) -> DataFrame:
-    """rid, doc_id, sid, n, entries (array of entry and place) of every row."""
+    """rid, doc_id, sid, n, entries, places and hist (tokens by their high bits) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,15 +116,18 @@ def _index(docs: DataFrame, n: int, pct: int, frequent: np.ndarray) -> DataFrame
                 token, size = token_sets(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i], n)
                 entry, row, place = entries(token, size, pct, shared.value)
                 order = np.argsort(row, kind="stable")
+                at = np.repeat(np.arange(len(size)), size) * BINS + (token >> np.uint64(57)).astype(np.int64)
+                hist = np.minimum(np.bincount(at, minlength=len(size) * BINS), 65535).astype(np.uint16).reshape(-1, BINS)
                 lists = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(set_ids(token, size)), pa.array(size.astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(lists), pa.array(entry[order])),
-                     pa.ListArray.from_arrays(pa.array(lists), pa.array(place[order].astype(np.int32)))],
-                    names=["rid", "doc_id", "sid", "n", "entries", "places"])
+                     pa.ListArray.from_arrays(pa.array(lists), pa.array(place[order].astype(np.int32))),
+                     pa.array([h.tobytes() for h in hist], pa.binary())],
+                    names=["rid", "doc_id", "sid", "n", "entries", "places", "hist"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"rid long, doc_id {kind}, sid long, n int, entries array<long>, places array<int>")
+    return docs.mapInArrow(run, f"rid long, doc_id {kind}, sid long, n int, entries array<long>, places array<int>, hist binary")
 
 
 def _may_link(a: str, b: str, pct: int):
@@ -133,7 +137,23 @@ def _may_link(a: str, b: str, pct: int):
                   f"({100 + pct}L) * (least({i}, {j}) + least({n} - {i}, {m} - {j})) >= {pct}L * ({n} + {m})")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+def _near(pairs: DataFrame, index: DataFrame, pct: int) -> DataFrame:
+    """``pairs`` (a, b) without those whose histograms are further apart than linked sets can be."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+            x, y = (np.frombuffer(utf8(b.column(k))[0].tobytes(), np.uint16).reshape(-1, BINS).astype(np.int64) for k in (4, 5))
+            apart = np.abs(x - y).sum(axis=1)
+            keep = pa.array(np.flatnonzero(apart * (100 + pct) <= (100 - pct) * (n + m)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
+
+    hist = index.select("sid", "n", "hist").dropDuplicates(["sid"])
+    return (pairs.join(hist.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("hist").alias("x")), "a")
+            .join(hist.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("y")), "b")
+            .select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long"))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, index: DataFrame, n: int, pct: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,9 +168,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
             keep = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
 
-    return (pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
-            .join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-            .mapInArrow(run, "a long, b long"))
+    near = materialize(_near(pairs, index, pct), "near")
+    sids = near.select(F.col("a").alias("sid")).unionByName(near.select(F.col("b").alias("sid"))).distinct()
+    one = materialize(index.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("rid").alias("rid")).select("rid"), "rows")
+    sets = materialize(_sets(rows, one, n).dropDuplicates(["sid"]), "sets", heavy=True)
+    return materialize(
+        near.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
+        .join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+        .mapInArrow(run, "a long, b long"), "links", heavy=True)
 
 
 def _sets(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
@@ -210,10 +235,7 @@ def similar_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     if held.isEmpty():
         roots = index.select(F.col("sid").alias("node"), F.col("sid").alias("root")).limit(0)
     else:
-        members = held.select("sid").distinct()
-        one = index.join(members, "sid", "left_semi").groupBy("sid").agg(F.min("rid").alias("rid")).select("rid")
-        sets = materialize(_sets(rows, one, n).dropDuplicates(["sid"]), "sets", heavy=True)
-        links = materialize(_verified(star, sets, pct), "links", heavy=True)
+        links = _verified(star, rows, index, n, pct)
         roots = components(links)
         named = held.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         open_ = materialize(named.groupBy("entry").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("entry"), "open")
@@ -221,7 +243,7 @@ def similar_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
         pairs = (rest.alias("x").join(rest.alias("y"), (F.col("x.entry") == F.col("y.entry")) & (F.col("x.sid") < F.col("y.sid"))
                                       & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", pct))
                  .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct())
-        more = materialize(_verified(materialize(pairs.join(star, ["a", "b"], "left_anti"), "pairs"), sets, pct), "links")
+        more = _verified(materialize(pairs.join(star, ["a", "b"], "left_anti"), "pairs"), rows, index, n, pct)
         if not more.isEmpty():
             roots = components(links.unionByName(more))
     named = index.select("rid", "doc_id", "sid", "n").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
