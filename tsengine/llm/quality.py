@@ -132,15 +132,18 @@ def held_out():
 
 
 def fit_from_tables(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, max_bytes: int = 65536) -> Model:
-    """Fit on at most ``max_rows`` labelled rows of each class outside the held-out fold, of texts of
-    at most ``max_bytes`` bytes: the one bounded sample of this operator."""
-    lab = labels.where(F.col("quality").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("_y"))
-    rows = (docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-            .select("doc_id", "text").join(lab, "doc_id"))
+    """Fit on at most ``max_rows`` labelled rows of each class outside the held-out fold, of those
+    whose texts have at most ``max_bytes`` bytes: the one bounded sample of this operator."""
+    small_batches(docs.sparkSession)
     texts, ys = [], []
     for y in (0, 1):
-        got = (rows.where((F.col("_y") > 0) if y else (F.col("_y") <= 0))
-               .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_rows).select("text").collect())
+        # ids first, by the labels alone; then only their texts come to the driver
+        ids = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+               .where((F.col("quality") > 0) if y else (F.col("quality") <= 0)).select("doc_id").distinct()
+               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+        got = (docs.where(F.octet_length("text") <= max_bytes).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+               .dropDuplicates(["doc_id"]).select("doc_id", "text").collect())
+        got.sort(key=lambda r: (r.doc_id, r.text))
         texts += [r.text for r in got]
         ys += [y] * len(got)
     return fit(texts, ys)
