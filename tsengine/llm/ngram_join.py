@@ -32,7 +32,7 @@ from tsengine.llm.common import Rolling, materialize, mix, row_id, small_batches
 
 FREQUENT = 64
 CLASS = 65536
-BINS = 64         # of a set's histogram: the L1 distance of two is at most the sets' symmetric difference
+BINS = 512        # of a set's histogram: the L1 distance of two is at most the sets' symmetric difference
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -116,8 +116,8 @@ def _index(docs: DataFrame, n: int, pct: int, frequent: np.ndarray) -> DataFrame
                 token, size = token_sets(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i], n)
                 entry, row, place = entries(token, size, pct, shared.value)
                 order = np.argsort(row, kind="stable")
-                at = np.repeat(np.arange(len(size)), size) * BINS + (token >> np.uint64(57)).astype(np.int64)
-                hist = np.minimum(np.bincount(at, minlength=len(size) * BINS), 65535).astype(np.uint16).reshape(-1, BINS)
+                at = np.repeat(np.arange(len(size)), size) * BINS + (token >> np.uint64(54)).astype(np.int64)
+                hist = np.minimum(np.bincount(at, minlength=len(size) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
                 lists = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(set_ids(token, size)), pa.array(size.astype(np.int32)),
@@ -142,7 +142,7 @@ def _near(pairs: DataFrame, index: DataFrame, pct: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, m = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
-            x, y = (np.frombuffer(utf8(b.column(k))[0].tobytes(), np.uint16).reshape(-1, BINS).astype(np.int64) for k in (4, 5))
+            x, y = (utf8(b.column(k))[0].reshape(-1, BINS).astype(np.int16) for k in (4, 5))
             apart = np.abs(x - y).sum(axis=1)
             keep = pa.array(np.flatnonzero(apart * (100 + pct) <= (100 - pct) * (n + m)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
@@ -226,10 +226,13 @@ def similar_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     index = materialize(_index(rows, n, pct, _plain_counts(rows, n, pct)), "index", heavy=True)
     flat = (index.where("n > 0").select("sid", "n", F.explode(F.arrays_zip("entries", "places")).alias("e"))
             .select(F.col("e.entries").alias("entry"), "sid", "n", F.col("e.places").alias("place")))
-    # the least set of an entry is its star's centre; entries of one set alone drop out
+    # entries of one row alone drop out before anything else is asked of them
+    twice = materialize(flat.groupBy("entry").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("entry"), "shared-entries", heavy=True)
+    held = materialize(flat.join(twice, "entry", "left_semi"), "entries", heavy=True)
+    # the least set of an entry is its star's centre; entries of copies of one set alone drop out
     least = F.min(F.struct("sid", "n", "place"))
-    centre = materialize(flat.groupBy("entry").agg(least.alias("c"), F.max("sid").alias("most")).where("c.sid != most").select("entry", "c"), "centres")
-    held = materialize(flat.join(centre, "entry").select("entry", "sid", "n", "place", "c"), "entries", heavy=True)
+    centre = materialize(held.groupBy("entry").agg(least.alias("c"), F.max("sid").alias("most")).where("c.sid != most").select("entry", "c"), "centres")
+    held = materialize(held.join(centre, "entry").select("entry", "sid", "n", "place", "c"), "entries")
     star = materialize(held.alias("m").where("sid != c.sid").where(_may_link("m", "c", pct))
                        .select(F.col("c.sid").alias("a"), F.col("sid").alias("b")).distinct(), "star")
     if held.isEmpty():
