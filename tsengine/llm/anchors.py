@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsengine.llm.common import Rolling, byte_values, materialize, row_id, sliding_min, small_batches, spread, steps, utf8, word_hashes, words
+from tsengine.llm.common import STEP_BYTES, Rolling, byte_values, materialize, row_id, sliding_min, small_batches, spread, steps, utf8, word_hashes, words
 
 MOST = 2048             # segments of a group that one task orders whole
 _OTHER = np.uint64(0x5851F42D4C957F2D)  # a second, independent hash
-GROUP_BYTES = 8 << 20   # segments that one step of a task orders together
+GROUP_BYTES = 2 << 20   # segments that one step of a task orders together
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _batches(unit: Unit, most: int = 2 << 20):
+def _batches(unit: Unit, most: int = STEP_BYTES):
     """Step through the text column of a batch; yields (first row of the step, data, offsets)."""
     def each(col):
         data, offs = utf8(col)

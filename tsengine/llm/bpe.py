@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from tsengine.llm.common import small_batches
 
 LEAF = 16          # bytes of a leaf
-KEEP = 800_000     # matches whose ids a worker remembers
+KEEP = 300_000     # matches whose ids a worker remembers
 
 
 def _finder(pattern: str) -> Callable[[str], list[str]]:

@@ -18,7 +18,7 @@ from tsengine.session import ensure_checkpoint_dir
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Bytes of text that one vectorised step of a task looks at (a longer text is a step of its own).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,7 +102,7 @@ def _pow(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n <= 8 * STEP_BYTES:
+        if n <= (4 << 20):
             _powers[base] = have
     return have[:n]
 
