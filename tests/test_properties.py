@@ -105,3 +105,18 @@ def test_time_window_filter_reaches_the_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan
     assert "o_custkey" not in plan.split("ReadSchema")[1]
+
+
+def test_ols_on_columns_of_unlike_magnitude():
+    """Least squares from a Gram agrees with numpy's on the rows when columns differ by 1e7."""
+    import numpy as np
+
+    from tsengine.operators import linear as L
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 6)) * np.array([1e5, 1e5, 1.0, 1e-2, 1e3, 1.0])
+    x[:, 1] = x[:, 0] + rng.normal(size=400)
+    y = x @ np.array([2.0, -1.0, 30.0, 500.0, 0.1, -7.0]) + rng.normal(size=400)
+    m = np.column_stack([np.ones(400), x - x.mean(0), y - y.mean()])
+    fit = L.solve_ridge(L.Gram(m.T @ m), 0.0).shifted(x.mean(0), y.mean())
+    want = np.linalg.lstsq(np.column_stack([np.ones(400), x]), y, rcond=None)[0]
+    assert np.allclose(x @ fit.coef + fit.intercept, np.column_stack([np.ones(400), x]) @ want, rtol=1e-6, atol=1e-4)

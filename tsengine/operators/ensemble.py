@@ -75,8 +75,8 @@ def dynamic_weights(update_mse: DataFrame, group: Sequence[str], window: int = 3
                     order: str = "update", model: str = "model") -> DataFrame:
     """Per update u, target weights t_u = (1/(mse_u + 1e-8)) normalised over models, with mse
     averaged over the last ``window`` updates; w_u = (1 - r) w_{u-1} + r t_u from equal
-    weights. The recursion is a fold over the (bounded) update history of each (group, model):
-    w_u = (1-r)^u w_0 + sum_j r (1-r)^(u-j) t_j — expressed with a running list and
+    weights, from the second update on (one update alone changes nothing). The recursion is a fold over the (bounded) update history of each (group, model):
+    w_u = (1-r)^(u-1) w_0 + sum_{j>1} r (1-r)^(u-j) t_j — expressed with a running list and
     ``aggregate`` (ordered by update)."""
     w = Window.partitionBy(*group, model).orderBy(order)
     m = update_mse.withColumn("_avg_mse", F.avg("mse").over(w.rowsBetween(-(window - 1), 0)))
@@ -85,8 +85,8 @@ def dynamic_weights(update_mse: DataFrame, group: Sequence[str], window: int = 3
     m = m.withColumn("_t", inv / F.sum(inv).over(wg)).withColumn("_m", F.count(F.lit(1)).over(wg))
     # (1 - r)^K < 1e-17: older updates cannot change a double weight -> bounded history frame
     k = ewm_frame_rows(rate)
-    m = m.withColumn("_h", F.collect_list(F.col("_t")).over(w.rowsBetween(-k, 0)))
     m = m.withColumn("_u", F.row_number().over(w))
+    m = m.withColumn("_h", F.collect_list(F.when(F.col("_u") > 1, F.col("_t"))).over(w.rowsBetween(-k, 0)))
     w0 = F.when(F.col("_u") <= k + 1, F.lit(1.0) / F.col("_m")).otherwise(F.lit(0.0))
     weight = F.aggregate("_h", w0, lambda acc, t: acc * F.lit(1.0 - rate) + F.lit(rate) * t)
     return m.select(*group, model, order, "mse", F.col("_avg_mse").alias("avg_mse"), weight.alias("weight"))

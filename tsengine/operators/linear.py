@@ -110,10 +110,17 @@ class LinearFit:
 
 
 def solve_ridge(g: Gram, alpha: float) -> LinearFit:
-    """alpha = 0: OLS (minimum-norm least squares); alpha > 0: sklearn Ridge with intercept."""
-    Sxx, sxy, _, xbar, ybar = g.centered()
-    A = Sxx + alpha * np.eye(len(sxy))
-    coef = np.linalg.lstsq(A, sxy, rcond=None)[0] if alpha == 0 else np.linalg.solve(A, sxy)
+    """alpha = 0: OLS (minimum-norm least squares); alpha > 0: sklearn Ridge with intercept. OLS is
+    solved on the standardised Gram: columns of magnitudes 1e10 and 1 in one matrix would lose
+    directions to rounding."""
+    if alpha == 0:
+        scaled, s = standardized(g)
+        Sxx, sxy, *_ = scaled.centered()
+        coef = np.linalg.lstsq(Sxx, sxy, rcond=None)[0] / s
+        _, _, _, xbar, ybar = g.centered()
+    else:
+        Sxx, sxy, _, xbar, ybar = g.centered()
+        coef = np.linalg.solve(Sxx + alpha * np.eye(len(sxy)), sxy)
     return LinearFit(coef, float(ybar - xbar @ coef))
 
 

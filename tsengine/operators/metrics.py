@@ -68,9 +68,9 @@ def walk_forward_summary(scored: DataFrame, fm: DataFrame, keys: Sequence[str])
 
 def best_model(df: DataFrame, group: Sequence[str], metric: str = "r2", model: str = "model",
                maximize: bool = True) -> DataFrame:
-    """Arg-best model per group ignoring NULL metrics; ties broken by model name."""
+    """Arg-best model per group ignoring NULL metrics; of equals the last by model name."""
     v = df.filter(F.col(metric).isNotNull())
-    key = F.struct(F.col(metric) if maximize else -F.col(metric), -F.hash(F.col(model)), F.col(model))
+    key = F.struct(F.col(metric) if maximize else -F.col(metric), F.col(model))
     pick = F.max_by(F.struct(F.col(model).alias("best_model"), F.col(metric).alias(f"best_{metric}")), key)
     g = v.groupBy(*group).agg(pick.alias("_b"))
     return g.select(*group, "_b.best_model", f"_b.best_{metric}")

@@ -93,8 +93,9 @@ def weekly_change_trend(df: DataFrame, sw: SeriesWindow, price: str = "price", b
 
 def latest_per_source(quotes: DataFrame, source: str = "source", ts: str = "ts",
                       cols: Sequence[str] = ("price",)) -> DataFrame:
-    """T02 batch twin: last quote per source (max_by on the timestamp, map-side partials)."""
-    last = F.max_by(F.struct(*[F.col(c) for c in [ts, *cols]]), F.col(ts)).alias("_l")
+    """T02 batch twin: last quote per source (max_by on the timestamp, then the values, so that
+    quotes with one timestamp give one answer; map-side partials)."""
+    last = F.max_by(F.struct(*[F.col(c) for c in [ts, *cols]]), F.struct(*[F.col(c) for c in [ts, *cols]])).alias("_l")
     return quotes.groupBy(source).agg(last).select(source, *[F.col(f"_l.{c}").alias(c) for c in [ts, *cols]])
 
 

@@ -71,7 +71,8 @@ def holdout_linear(df: DataFrame, sw: SeriesWindow, features: Sequence[str], tar
     fits = {(name,): L.SOLVERS[s](g, p).shifted(shift, means[target]) for name, (s, p) in models.items()}
     coefs = L.coefficient_table(df.sparkSession, fits, ["model"], features)
     test = t.filter("_blk = 1").select(*sw.series_cols, sw.time_col, "row_idx", F.col(target).alias("y"), *features)
-    scored = L.score(test.withColumn("_one", F.lit(1)), coefs.withColumn("_one", F.lit(1)), ["_one"], features)
+    # one row a model: the coefficients are what is broadcast, never the test rows
+    scored = L.score(test.withColumn("_one", F.lit(1)), F.broadcast(coefs.withColumn("_one", F.lit(1))), ["_one"], features)
     return scored.select(*sw.series_cols, sw.time_col, "row_idx", "model", "y", "pred"), fits
 
 

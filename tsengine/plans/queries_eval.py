@@ -270,10 +270,11 @@ def _dyn_sql():
  a AS (SELECT series, model, fold, mse, avg(mse) OVER ({w} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS avg_mse FROM fm),
  b AS (SELECT *, (1.0 / (avg_mse + 1e-8)) / sum(1.0 / (avg_mse + 1e-8)) OVER (PARTITION BY series, fold) AS t,
          count(*) OVER (PARTITION BY series, fold) AS m FROM a),
- c AS (SELECT *, list(t) OVER ({w} ROWS BETWEEN {k} PRECEDING AND CURRENT ROW) AS h, row_number() OVER ({w}) AS u FROM b)
+ b2 AS (SELECT *, row_number() OVER ({w}) AS u FROM b),
+ c AS (SELECT *, list_filter(list(CASE WHEN u > 1 THEN t END) OVER ({w} ROWS BETWEEN {k} PRECEDING AND CURRENT ROW), lambda x: x IS NOT NULL) AS h FROM b2)
 SELECT series, model, fold::BIGINT AS "update", mse, avg_mse,
-  list_reduce(h, lambda acc, x: acc * {1.0 - r!r}::DOUBLE + {r!r}::DOUBLE * x,
-              CASE WHEN u <= {k + 1} THEN 1.0 / m ELSE 0.0 END::DOUBLE) AS weight FROM c""")
+  CASE WHEN u = 1 THEN 1.0::DOUBLE / m ELSE list_reduce(h, lambda acc, x: acc * {1.0 - r!r}::DOUBLE + {r!r}::DOUBLE * x,
+              CASE WHEN u <= {k + 1} THEN 1.0 / m ELSE 0.0 END::DOUBLE) END AS weight FROM c""")
 
 
 @register("e07_dynamic_weights", _dyn_sql(), exact=["series", "model", "update"])
