@@ -6,14 +6,16 @@ tokens of that prefix are indexed alone. Where the prefix reaches the class of f
 is extended to 2 D + 2 tokens, D = floor(n (1 - t) / t) being the most that two such sets differ
 by: of the first D + 2 shared tokens, all frequent then, at least two neighbours stand side by side
 in both sets, so pairs of neighbouring frequent tokens are indexed. Sets that share an entry are
-compared, first by histograms of their tokens (a bound), then in full.
+compared, first by histograms of their tokens (a bound; within the join by their parity),
+then in full.
 
 The class of frequent tokens is the ``CLASS`` most counted tokens in the plain prefixes, above
 ``FREQUENT`` texts each; it decides how much is compared, never what is found.
 
 Equal sets are one node. Of an entry's sets, each is first compared with the least one (a star, not
-all pairs). Entries whose sets are then not all linked together compare, in a second round, only
-sets of different components. Links are joined to components by rounds of hooking and contraction,
+all pairs). Entries whose sets are then not all linked together ask further stars, each entry with a
+centre of its own, as long as these halve the pairs of sets in different components; the last round
+compares those pairs. Links are joined to components by rounds of hooking and contraction,
 all in tables. Null or empty texts, and texts without words, have no tokens and link with nothing;
 with fewer words than n the whole sequence is the one token. Rows that share a doc_id are texts of
 their own; a null doc_id never names a component that has another. Extra columns are ignored.
@@ -32,6 +34,7 @@ from tsengine.llm.common import Rolling, materialize, mix, row_id, small_batches
 
 FREQUENT = 64
 CLASS = 65536
+PAIRS = 16         # a row of an open entry, above which further stars are asked before all pairs
 BINS = 512        # of a set's histogram: the L1 distance of two is at most the sets' symmetric difference
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -106,7 +109,8 @@ def _plain_counts(docs: DataFrame, n: int, pct: int) -> np.ndarray:
 
 
 def _index(docs: DataFrame, n: int, pct: int, frequent: np.ndarray) -> DataFrame:
-    """rid, doc_id, sid, n, entries, places and hist (tokens by their high bits) of every row."""
+    """rid, doc_id, sid, n, entries, places, hist (tokens by their high bits) and, of 128 wider
+    bins, whether each holds an odd number (bits of low and high) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,16 +122,17 @@ def _index(docs: DataFrame, n: int, pct: int, frequent: np.ndarray) -> DataFrame
                 order = np.argsort(row, kind="stable")
                 at = np.repeat(np.arange(len(size)), size) * BINS + (token >> np.uint64(54)).astype(np.int64)
                 hist = np.minimum(np.bincount(at, minlength=len(size) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+                odd = np.packbits((np.bincount(at // (BINS // 128), minlength=len(size) * 128) & 1).astype(np.uint8)).view(np.int64).reshape(-1, 2)
                 lists = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(set_ids(token, size)), pa.array(size.astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(lists), pa.array(entry[order])),
                      pa.ListArray.from_arrays(pa.array(lists), pa.array(place[order].astype(np.int32))),
-                     pa.array([h.tobytes() for h in hist], pa.binary())],
-                    names=["rid", "doc_id", "sid", "n", "entries", "places", "hist"])
+                     pa.array([h.tobytes() for h in hist], pa.binary()), pa.array(odd[:, 0]), pa.array(odd[:, 1])],
+                    names=["rid", "doc_id", "sid", "n", "entries", "places", "hist", "low", "high"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"rid long, doc_id {kind}, sid long, n int, entries array<long>, places array<int>, hist binary")
+    return docs.mapInArrow(run, f"rid long, doc_id {kind}, sid long, n int, entries array<long>, places array<int>, hist binary, low long, high long")
 
 
 def _may_link(a: str, b: str, pct: int):
@@ -137,6 +142,12 @@ def _may_link(a: str, b: str, pct: int):
                   f"({100 + pct}L) * (least({i}, {j}) + least({n} - {i}, {m} - {j})) >= {pct}L * ({n} + {m})")
 
 
+def _parity(a: str, b: str, pct: int):
+    """A bound for the condition of a join: sets differ by a token at least in each bin whose parity
+    differs, and linked ones differ by no more tokens than their sizes allow."""
+    return F.expr(f"(bit_count({a}.low ^ {b}.low) + bit_count({a}.high ^ {b}.high)) * {100 + pct}L <= {100 - pct}L * ({a}.n + {b}.n)")
+
+
 def _near(pairs: DataFrame, index: DataFrame, pct: int) -> DataFrame:
     """``pairs`` (a, b) without those whose histograms are further apart than linked sets can be."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,6 +230,44 @@ def components(links: DataFrame) -> DataFrame:
     return total if total is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
 
 
+def _open(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the entries whose sets are not all of one component, with their root."""
+    named = held.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    open_ = materialize(named.groupBy("entry").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("entry"), "open")
+    return materialize(named.join(open_, "entry").select("root", *held.columns), "rest")
+
+
+def _linked(held: DataFrame, star: DataFrame, rows: DataFrame, index: DataFrame, n: int, pct: int) -> DataFrame:
+    """node, root of the sets that link, by what they share in ``held``; ``star`` is the first round."""
+    links, seen = _verified(star, rows, index, n, pct), star
+    roots = components(links)
+    bits = index.select("sid", "low", "high").dropDuplicates(["sid"])
+    rest = _open(held.join(bits, "sid"), roots)
+    before = None
+    while True:
+        by_root = rest.groupBy("entry", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("entry").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+        left = by_root.agg(F.sum(F.col("k") * F.col("k") - F.col("kk")).alias("pairs"), F.sum("k").alias("rows")).first()
+        # a star asks one pair of each row: it pays while it halves what is left
+        stars = (left.pairs or 0) > PAIRS * (left.rows or 0) and (before is None or 2 * left.pairs <= before)
+        before = left.pairs
+        if stars:
+            pick = F.min(F.struct(F.xxhash64("entry", "sid", F.lit(before)).alias("h"), "sid", "n", "place", "root", "low", "high"))
+            found = rest.alias("x").join(rest.groupBy("entry").agg(pick.alias("y")), "entry")
+        else:
+            found = rest.alias("x").join(rest.alias("y"), (F.col("x.entry") == F.col("y.entry")) & (F.col("x.sid") < F.col("y.sid")))
+        pairs = (found.where((F.col("x.root") != F.col("y.root")) & _may_link("x", "y", pct) & _parity("x", "y", pct))
+                 .select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct())
+        pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti"), "pairs", heavy=True)
+        more = _verified(pairs, rows, index, n, pct)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
+        if not stars:
+            return roots
+        seen = seen.unionByName(pairs)
+        rest = _open(rest.drop("root"), roots)
+
+
 def similar_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     """rid, doc_id, n_shingles, component_id (least doc_id reachable by links) of every row."""
     small_batches(docs.sparkSession)
@@ -238,17 +287,7 @@ def similar_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     if held.isEmpty():
         roots = index.select(F.col("sid").alias("node"), F.col("sid").alias("root")).limit(0)
     else:
-        links = _verified(star, rows, index, n, pct)
-        roots = components(links)
-        named = held.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        open_ = materialize(named.groupBy("entry").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("entry"), "open")
-        rest = materialize(named.join(open_, "entry").select("entry", "sid", "n", "place", "root"), "rest")
-        pairs = (rest.alias("x").join(rest.alias("y"), (F.col("x.entry") == F.col("y.entry")) & (F.col("x.sid") < F.col("y.sid"))
-                                      & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", pct))
-                 .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct())
-        more = _verified(materialize(pairs.join(star, ["a", "b"], "left_anti"), "pairs"), rows, index, n, pct)
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+        roots = _linked(held.drop("c"), star, rows, index, n, pct)
     named = index.select("rid", "doc_id", "sid", "n").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     named = materialize(named.withColumn("root", F.coalesce("root", "sid")).select("rid", "doc_id", "n", "root"), "named")
     first = materialize(named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "first")
