@@ -120,3 +120,40 @@ def test_ols_on_columns_of_unlike_magnitude():
     fit = L.solve_ridge(L.Gram(m.T @ m), 0.0).shifted(x.mean(0), y.mean())
     want = np.linalg.lstsq(np.column_stack([np.ones(400), x]), y, rcond=None)[0]
     assert np.allclose(x @ fit.coef + fit.intercept, np.column_stack([np.ones(400), x]) @ want, rtol=1e-6, atol=1e-4)
+
+
+def test_blend_weights_lasso_is_a_non_negative_lasso(spark):
+    rng = np.random.default_rng(1)
+    y = rng.normal(5, 1, size=400)
+    P = np.column_stack([y + rng.normal(0, 0.3, 400), y + rng.normal(0, 0.6, 400), rng.normal(0, 1, 400)])
+    df = spark.createDataFrame(pd.DataFrame(P, columns=["m1", "m2", "m3"]).assign(y=y))
+    w = np.zeros(3)
+    for _ in range(5000):  # coordinate descent on 1 / (2 n) ||Pw - y||^2 + alpha sum(w)
+        for j in range(3):
+            r = y - P @ w + P[:, j] * w[j]
+            w[j] = max(0.0, (P[:, j] @ r - 400 * 0.1) / (P[:, j] @ P[:, j]))
+    got = ST.blend_weights(df, ["m1", "m2", "m3"], "y", "lasso")
+    np.testing.assert_allclose(list(got.values()), w / w.sum(), rtol=1e-6, atol=1e-9)
+
+
+def test_temporal_stack_fits_on_meta_rows_alone(spark):
+    rng = np.random.default_rng(2)
+    n, cut = 300, 200
+    X, p = rng.normal(3, 2, (n, 2)), rng.normal(0, 1, n)
+    y = 2 * p + X @ [0.5, -1.0] + rng.normal(0, 0.1, n)
+    df = spark.createDataFrame(pd.DataFrame({"i": range(n), "p": p, "a": X[:, 0], "b": X[:, 1], "y": y}))
+    got = ST.temporal_stack(df, ["p"], ["a", "b"], F.col("i") < cut).orderBy("i").toPandas()
+    Z = np.column_stack([p, (X - X[:cut].mean(0)) / X[:cut].std(0)])
+    c = Z[:cut] - Z[:cut].mean(0)
+    beta = np.linalg.solve(c.T @ c + np.eye(3), c.T @ (y[:cut] - y[:cut].mean()))
+    np.testing.assert_allclose(got.stack_pred, y[:cut].mean() + (Z[cut:] - Z[:cut].mean(0)) @ beta, rtol=1e-7)
+
+
+def test_a_fold_that_fails_keeps_its_rows_and_the_reason(spark):
+    from tsengine.operators import models as MD
+    from tsengine.operators import validate as V
+    q = bundles.quick_features(fixtures.bars(spark, SF), SW)
+    out = V.walk_forward_ml(q, SW, ["ma_5"], "target", lambda: MD.random_forest(numTrees=1, maxDepth=1, maxBins=2, featureSubsetStrategy="none"),
+                            initial=150, step=1000, name="rf")
+    r = out.agg(F.count(F.lit(1)).alias("n"), F.count("pred").alias("p"), F.count("error").alias("e")).first()
+    assert r.n > 0 and r.p == 0 and r.e == r.n

@@ -12,8 +12,11 @@ from tsengine.functions.core import safe_div
 
 # fixed values: model families of the reference's comparison report
 FAMILIES = {
-    "linear": ["linear_regression", "ridge", "lasso", "elastic_net", "bayesian_ridge", "huber"],
-    "tree": ["random_forest", "extra_trees", "gradient_boosting", "xgboost", "lightgbm", "catboost"],
+    "linear": ["lasso", "ridge", "elastic_net"],
+    "tree": ["random_forest", "xgboost", "lightgbm", "gradient_boosting"],
+}
+#: Types of this library's other models; the report tells deep and ensemble models by their type.
+TYPES = {
     "deep": ["lstm", "gru", "transformer"],
     "ensemble": ["voting", "stacking", "blending", "dynamic_ensemble"],
     "baseline": ["lag1", "sma5", "sma20"],
@@ -61,8 +64,9 @@ def cv_score(fm: DataFrame, keys: Sequence[str], score: str = "mse") -> DataFram
 
 
 def walk_forward_summary(scored: DataFrame, fm: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pooled metrics over all test rows + fold statistics, one row per model."""
-    pooled = regression_metrics(scored, keys)
+    """Pooled metrics over all predicted test rows + fold statistics, one row per model. Rows of
+    folds without a fit have no prediction: they count in ``total_folds`` alone."""
+    pooled = regression_metrics(scored.where(F.col("pred").isNotNull()), keys)
     return pooled.join(fold_statistics(fm, keys), list(keys), "left")
 
 
@@ -122,7 +126,7 @@ def stability_score(results: DataFrame) -> DataFrame:
 
 def family_of(model: Column) -> Column:
     expr = None
-    for fam, names in FAMILIES.items():
+    for fam, names in (FAMILIES | TYPES).items():
         cond = model.isin(*names)
         expr = F.when(cond, F.lit(fam)) if expr is None else expr.when(cond, F.lit(fam))
     return expr.otherwise(F.lit("other"))
@@ -136,8 +140,12 @@ def family_insight(results: DataFrame, model: str = "model") -> DataFrame:
         F.max("r2").alias("best_r2"), F.avg("r2").alias("avg_r2"), F.count(F.lit(1)).alias("models"))
 
 
-def mean_importance(scores: DataFrame, feature: str = "feature", score: str = "score", n: int = 10) -> DataFrame:
-    """Per feature mean, std (ddof 0) and count of |score| over models, top n by mean."""
+def mean_importance(scores: DataFrame, feature: str = "feature", score: str = "score", n: int = 20,
+                    rescale_by: str | None = None) -> DataFrame:
+    """Per feature mean, std (ddof 0) and count of |score| over models, top n by mean. With
+    ``rescale_by`` (the model column) each model's scores are first scaled to sum 1."""
+    if rescale_by is not None:
+        scores = scores.withColumn(score, safe_div(F.abs(score), F.sum(F.abs(score)).over(Window.partitionBy(rescale_by))))
     g = scores.groupBy(feature).agg(F.avg(F.abs(score)).alias("mean_importance"),
                                     F.stddev_pop(F.abs(score)).alias("std_importance"),
                                     F.count(F.lit(1)).alias("models"))

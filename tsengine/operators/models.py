@@ -19,9 +19,10 @@ from tsengine.operators import linear as L
 RF_PARAMS = {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt", "seed": 42}
 GBT_PARAMS = {"maxIter": 200, "stepSize": 0.05, "maxDepth": 8, "subsamplingRate": 0.8, "seed": 42}
 BOOSTED_PRESETS = {
-    "xgboost": {"maxIter": 200, "stepSize": 0.05, "maxDepth": 8, "subsamplingRate": 0.8, "seed": 42},
-    "lightgbm": {"maxIter": 200, "stepSize": 0.05, "maxDepth": 8, "subsamplingRate": 0.8, "seed": 42},
-    "catboost": {"maxIter": 200, "stepSize": 0.05, "maxDepth": 8, "seed": 42},
+    "xgboost": {"maxIter": 200, "stepSize": 0.05, "maxDepth": 8, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "maxBins": 256, "seed": 42},
+    # this library's public defaults: 20 rows a leaf, 255 bins; its rows are drawn only when a bagging frequency is set
+    "lightgbm": {"maxIter": 200, "stepSize": 0.05, "maxDepth": 8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20, "maxBins": 255, "seed": 42},
+    "catboost": {"maxIter": 200, "stepSize": 0.05, "maxDepth": 8, "featureSubsetStrategy": "all", "maxBins": 254, "seed": 42},
 }
 LINEAR_MODELS = {
     "linear_regression": ("linear_regression", {}),

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,16 +60,23 @@ def nnls_normal(A: np.ndarray, b: np.ndarray, max_iter: int = 500, tol: float =
     return w
 
 
+# fixed values: penalties of the blending methods
+BLEND_ALPHA = {"linear": 0.0, "ridge": 1.0, "lasso": 0.1}
+
+
 def blend_weights(wide: DataFrame, models: Sequence[str], y: str = "y", method: str = "linear",
-                  alpha: float = 1.0) -> dict[str, float]:
-    """Non-negative weights without intercept on a hold-out, normalised to sum 1
-    (``linear`` = NNLS; ``ridge`` adds alpha I; ``lasso`` approximated by NNLS + L1 shrink)."""
-    A, b, _ = normal_matrix(wide, models, y)
+                  alpha: float | None = None) -> dict[str, float]:
+    """Non-negative weights without intercept on a hold-out, normalised to sum 1. With n rows,
+    ``linear`` minimises ||Pw - y||^2, ``ridge`` that plus alpha ||w||^2, ``lasso`` its 1 / (2 n)
+    part plus alpha sum(w): for w >= 0 all three are NNLS on shifted normal equations. Equal weights
+    where all are 0."""
+    alpha = BLEND_ALPHA[method] if alpha is None else alpha
+    A, b, n = normal_matrix(wide, models, y)
     if method == "ridge":
         A = A + alpha * np.eye(len(models))
+    elif method == "lasso":
+        b = b - n * alpha
     w = nnls_normal(A, b)
-    if method == "lasso":
-        w = np.maximum(w - alpha * 1e-6, 0.0)
     s = w.sum()
     w = w / s if s > 0 else np.full(len(models), 1.0 / len(models))
     return dict(zip(models, w.tolist()))
@@ -117,6 +124,19 @@ def apply_meta(wide: DataFrame, fit: L.LinearFit, models: Sequence[str], out: st
     return wide.withColumn(out, expr)
 
 
+def temporal_stack(wide: DataFrame, models: Sequence[str], features: Sequence[str], meta_rows: Column,
+                   y: str = "y", alpha: float = 1.0, out: str = "stack_pred") -> DataFrame:
+    """Ridge meta learner on the base predictions and the features standardised on the meta rows
+    (mean, population deviation; a constant one is only centred), fitted on ``meta_rows`` alone and
+    applied to the rest. A missing feature counts as its mean, a missing prediction as 0."""
+    stats = wide.where(meta_rows).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in features for f in (F.avg, F.stddev_pop)]).first()
+    scaled = wide.select("*", *[((F.col(c) - F.lit(stats[f"avg_{c}"])) / F.lit(stats[f"stddev_pop_{c}"] or 1.0)).alias(f"_z_{c}")
+                                for c in features])
+    inputs = [*models, *[f"_z_{c}" for c in features]]
+    fit = stack_meta(scaled.where(meta_rows), inputs, y, alpha)
+    return apply_meta(scaled.where(~meta_rows), fit, inputs, out).select(*wide.columns, out)
+
+
 def bootstrap_interval(preds: DataFrame, residuals: DataFrame, keys: Sequence[str], group: Sequence[str],
                        B: int = 100, level: float = 0.95, seed: int = 42, pred: str = "pred",
                        resid: str = "resid") -> DataFrame:

@@ -80,7 +80,8 @@ def walk_forward_ml(df: DataFrame, sw: SeriesWindow, features: Sequence[str], ta
                     initial: int = 252, step: int = 21, horizon: int = 1, max_folds: int | None = None,
                     name: str = "model") -> DataFrame:
     """Tree / other Spark ML estimators: one fit per fold (pooled over series, expanding),
-    predictions on that fold's test rows. A fold whose fit fails is skipped (counted by A10)."""
+    predictions on that fold's test rows. The test rows of a fold whose fit fails stay, with a null
+    prediction and the reason in ``error``: A10 counts that fold as unsuccessful."""
     from pyspark.ml.feature import VectorAssembler
     b = with_walk_forward_blocks(df, sw, initial, step, horizon)
     va = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
@@ -97,13 +98,14 @@ def walk_forward_ml(df: DataFrame, sw: SeriesWindow, features: Sequence[str], ta
         test = data.filter(F.col("fold") == f)
         try:
             model = estimator_factory().setFeaturesCol("_features").setLabelCol("y").setPredictionCol("pred").fit(train)
-        except Exception:  # noqa: BLE001 - a failed fold is skipped, as in the reference
-            continue
-        outs.append(model.transform(test).select(*sw.series_cols, sw.time_col, "row_idx", "fold",
-                                                 F.lit(name).alias("model"), "y", "pred"))
+            scored, error = model.transform(test), None
+        except Exception as e:  # noqa: BLE001 - the fold's rows carry the reason
+            scored, error = test.withColumn("pred", F.lit(None).cast("double")), f"{type(e).__name__}: {e}"[:500]
+        outs.append(scored.select(*sw.series_cols, sw.time_col, "row_idx", "fold", F.lit(name).alias("model"), "y", "pred",
+                                  F.lit(error).cast("string").alias("error")))
     if not outs:
         return data.limit(0).select(*sw.series_cols, sw.time_col, "row_idx", "fold", F.lit(name).alias("model"),
-                                    "y", F.lit(None).cast("double").alias("pred"))
+                                    "y", F.lit(None).cast("double").alias("pred"), F.lit(None).cast("string").alias("error"))
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)

@@ -141,7 +141,7 @@ def q_best(spark, d):
 
 
 FAM_SQL = "CASE " + " ".join(f"WHEN model IN ({', '.join(repr(m) for m in ms)}) THEN '{f}'"
-                             for f, ms in M.FAMILIES.items()) + " ELSE 'other' END"
+                             for f, ms in (M.FAMILIES | M.TYPES).items()) + " ELSE 'other' END"
 RESULTS_SQL = (SUMMARY_SQL + ",\n cv AS (SELECT series, model, avg(mse) AS cv_score, stddev_pop(mse) AS cv_std FROM fm GROUP BY series, model),\n"
                f" results AS (SELECT s.series AS method, s.model, {FAM_SQL.replace('model', 's.model')} AS model_type, s.r2, s.rmse, s.mae, "
                "cv.cv_score, cv.cv_std FROM summ s JOIN cv USING (series, model))")

@@ -6,6 +6,7 @@ by row counts and by numpy property tests in ``tests/``."""
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tsengine.frames import SeriesWindow
@@ -20,6 +21,7 @@ from tsengine.operators.joins import collect_model_predictions
 from tsengine.plans import bundles, fixtures
 from tsengine.plans.registry import register
 from tsengine.plans.sql_features import quick_features_sql
+from tsengine.session import cut_lineage
 
 SW = SeriesWindow("series", "dt")
 QF = ["ma_5", "ma_10", "ma_20", "price_change", "price_change_5", "volatility", "price_lag_1", "price_lag_2", "price_lag_3"]
@@ -120,19 +122,15 @@ def q_importance(spark, d):
 
 @register("a19_mean_importance")
 def q_mean_importance(spark, d):
-    """|coefficient| of the standardised linear models + forest importances, averaged per
-    feature (mean, std ddof 0, count), top 10."""
+    """|coefficient| of the linear models + forest importances, averaged per feature
+    (mean, std ddof 0, count), top 20."""
     q = _quick(spark, d)
-    stats = q.agg(*[F.stddev_pop(c).alias(c) for c in QF]).first()
     _, fits = V.holdout_linear(q, SW, QF, "target", MD.LINEAR_MODELS)
-    rows = [(name[0], f, float(abs(b) * (stats[f] or 0.0))) for name, fit in fits.items() for f, b in zip(QF, fit.coef)]
+    rows = [(name[0], f, float(abs(b))) for name, fit in fits.items() for f, b in zip(QF, fit.coef)]
     _, rf = _holdout_ml(spark, d, MD.random_forest(), "random_forest")
     rows += [("random_forest", f, float(v)) for f, v in zip(QF, rf.featureImportances.toArray())]
     scores = spark.createDataFrame(rows, "model string, feature string, score double")
-    # scale each model's scores to sum 1 so linear and tree scores are comparable
-    from pyspark.sql import Window
-    scores = scores.withColumn("score", F.col("score") / F.sum("score").over(Window.partitionBy("model")))
-    return M.mean_importance(scores, n=10)
+    return M.mean_importance(scores)
 
 
 @register("m12_param_search")
@@ -193,20 +191,41 @@ def _base_preds_holdout(spark, d):
 BASE = ["linear_regression", "ridge", "lasso", "elastic_net"]
 
 
+def _older_half(df):
+    """``older``: the row is in the older half of its series' hold-out (what is fitted on it is never scored on it)."""
+    by_time = Window.partitionBy("series").orderBy("row_idx")
+    everything = Window.partitionBy("series")
+    return df.withColumn("older", F.row_number().over(by_time) <= F.floor(F.count(F.lit(1)).over(everything) / 2))
+
+
+def _blend(spark, d, method):
+    wide = cut_lineage(_older_half(_base_preds_holdout(spark, d)))
+    weights = ST.blend_weights(wide.where("older"), BASE, "y", method)
+    return ST.apply_weights(wide.where("NOT older"), weights).select("series", "dt", "y", "blend_pred")
+
+
 @register("e06_blending")
 def q_blend(spark, d):
-    """NNLS weights (sum 1) of the base models on the hold-out, applied to it."""
-    wide = _base_preds_holdout(spark, d)
-    w = ST.blend_weights(wide, BASE, "y", "linear")
-    return ST.apply_weights(wide, w).select("series", "dt", "y", "blend_pred")
+    """NNLS weights (sum 1) of the base models on the older half of each hold-out, applied to the rest."""
+    return _blend(spark, d, "linear")
+
+
+@register("e06_blending_ridge")
+def q_blend_ridge(spark, d):
+    return _blend(spark, d, "ridge")
+
+
+@register("e06_blending_lasso")
+def q_blend_lasso(spark, d):
+    return _blend(spark, d, "lasso")
 
 
 @register("e04_temporal_stacking")
 def q_tstack(spark, d):
-    """Base models fit on the first 80 %, ridge meta model on their hold-out predictions."""
-    wide = _base_preds_holdout(spark, d)
-    fit = ST.stack_meta(wide, BASE, "y", alpha=1.0)
-    return ST.apply_meta(wide, fit, BASE).select("series", "dt", "y", "stack_pred")
+    """Base models fit on the first 80 %; ridge meta model on their predictions and the scaled
+    features of the older half of each hold-out, applied to the rest."""
+    wide = _older_half(_base_preds_holdout(spark, d)).join(_quick(spark, d).select("series", "dt", *QF), ["series", "dt"])
+    return ST.temporal_stack(cut_lineage(wide), BASE, QF, F.col("older")).select("series", "dt", "y", "stack_pred")
 
 
 @register("e03_stacking_kfold")
@@ -234,11 +253,13 @@ def q_oof(spark, d):
 
 @register("e11_bootstrap_interval")
 def q_boot(spark, d):
-    """Residual bootstrap (B = 100) around the ridge hold-out predictions."""
+    """Residual bootstrap (B = 100) around the ridge predictions of the later half of each
+    hold-out, with the residuals of the older half."""
     q = _quick(spark, d)
     preds, _ = V.holdout_linear(q, SW, QF, "target", {"ridge": MD.LINEAR_MODELS["ridge"]})
-    res = preds.select("series", (F.col("y") - F.col("pred")).alias("resid"), F.col("row_idx").alias("_rid"))
-    return ST.bootstrap_interval(preds, res, ["series", "dt"], ["series"], B=100)
+    preds = cut_lineage(_older_half(preds))
+    res = preds.where("older").select("series", (F.col("y") - F.col("pred")).alias("resid"), F.col("row_idx").alias("_rid"))
+    return ST.bootstrap_interval(preds.where("NOT older"), res, ["series", "dt"], ["series"], B=100)
 
 
 @register("e12_recursive_forecast")
