@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsengine.llm.common import small_batches
+from tsengine.llm.common import materialize, small_batches
 
 SEGMENT = 32 * 1024        # bytes of a block in one record, at most
 FILE_RECORDS = 512         # records of an archive: bounds its size
@@ -80,6 +80,8 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000) -> None:
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     equal = (rows.where(F.octet_length("html") >= least).groupBy("digest")
              .agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("refers")).where("n > 1").select("digest", "refers"))
+    # written first, so that Spark knows its size: pages are shuffled only when it is not small
+    equal = materialize(equal, "equal-payloads")
     rows = rows.join(equal, "digest", "left").withColumn(
         "refers", F.when(~F.col("refers").eqNullSafe(F.col("page_id")), F.col("refers")))
 
