@@ -6,7 +6,7 @@ Two exact formulations are offered:
 
 * ``ewm_mean`` — bounded row frame of K rows (weights below 1e-17 are dropped, so the double
   result equals the infinite sum) folded with ``aggregate``; one window stage, no extra sort.
-* ``ewm_mean_blocked`` — O(n) form for very long series: the series is cut into blocks of B
+* ``ewm_stages`` — O(n) form for very long series: the series is cut into blocks of B
   rows, block-local sums are running sums with block-relative exponents (no overflow), and the
   carry from older blocks is a short, fixed set of ``lag``s over the per-row block totals.
 """

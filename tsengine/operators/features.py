@@ -197,7 +197,7 @@ def past_volatility(sw: SeriesWindow, col: str = "price",
 
 def ema(sw: SeriesWindow, col: str, span: float, min_periods: int = 1) -> Column:
     """Pandas ``ewm(span, adjust=True).mean()`` as ONE column (exact, bounded frame of
-    K rows folded with ``aggregate``; O(n K)). Bundles use :func:`ema_stages` (O(n))."""
+    K rows folded with ``aggregate``; O(n K)). Bundles use :func:`ema_stages`, by default in this form."""
     return ewm_mean(col, sw, span=span, min_periods=min_periods)
 
 
@@ -219,8 +219,8 @@ def ema_stages(sw: SeriesWindow, col: str, span: float, out: str, min_periods: i
 
 def macd(sw: SeriesWindow, col: str = "price", fast: int = 12, slow: int = 26, signal: int = 9,
          past: bool = False, names: dict[str, str] | None = None) -> Stages:
-    """W32 (on the price) / W33 (``past``: on lag 1, with histogram). EMAs are linear-time
-    stages; MACD and its signal follow in later stages of the same window spec."""
+    """W32 (on the price) / W33 (``past``: on lag 1, with histogram). EMAs come first (see
+    ``EWM_IMPL``); MACD and its signal follow in later stages of the same window spec."""
     n = {"ema_fast": f"ema_{fast}", "ema_slow": f"ema_{slow}", "macd": "macd",
          "signal": "macd_signal", "hist": "macd_histogram"}
     n.update(names or {})

@@ -1,8 +1,8 @@
 """Linear model family from Gram blocks (X3): OLS, ridge, lasso, elastic net, Bayesian ridge.
 
 One data pass: every task folds its rows into per-block Gram matrices of Z = [1, x, y]
-(``mapInPandas`` partial sums, numpy inside the task), a ``groupBy(block, i, j).sum`` merges
-them — the data never leaves the executors, only (blocks x (d+2)^2) numbers reach the driver.
+(``mapInPandas`` partial sums, numpy inside the task), a ``groupBy(block)`` adds the partial arrays
+element by element — the data never leaves the executors, only (blocks x (d+2)^2) numbers reach the driver.
 A fold's training Gram is a prefix sum (expanding) or a difference of prefix sums (rolling)
 over blocks; every alpha of every solver then costs a d x d solve on the driver. Scoring is one
 more pass: the coefficient table (folds x d numbers) joins back on the fold key.
