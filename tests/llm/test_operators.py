@@ -280,3 +280,19 @@ def test_empty_tables(spark, ranks, tmp_path):
         assert df.count() == 0
     one = corpus(spark, [(1, "some text")], 1)
     assert decontaminate.find_items(one, bench).count() == 0 and anchors.keyed(one).count() == 1
+
+
+def test_html_names():
+    keep = lambda inner: html.main_text(f"<article><p>before</p>{inner}<p>after</p></article>")
+    for inner in ('<p>a <a href="/the-hidden-life">b</a> c</p>', '<p title="A hidden history">a b c</p>', '<p aria-hidden="false">a b c</p>',
+                  '<p>a <a href="/p?id=comments-5">b</a> c</p>', '<section data-id="search-3">a b c</section>', '<h2 id="side-effects">a b c</h2>',
+                  '<section id="discussion">a b c</section>', '<p>a <span class="share">b</span> c</p>', '<section id="legal-history">a b c</section>'):
+        assert keep(inner) == "before a b c after", inner
+    for inner in ("<p hidden>x</p>", '<p style="display: none">x</p>', '<section id="comments">x</section>', '<div class="site-footer">x</div>', "<div id=ad-3>x</div>"):
+        assert keep(inner) == "before after", inner
+    body = "<p>The first part.</p><p>The second part.</p>"
+    for page in ('<article class="post no-sidebar">%s</article>', '<main class="has-sidebar">%s</main>', '<div class="sidebar-page"><article>%s</article></div>',
+                 '<div class="layout with-sidebar"><div class="content">%s</div></div>', '<section class="sidebar-left"><main>%s</main></section>',
+                 "<html><head><title>T</title><script>var a='<p>';</script><body>%s</body></html>", "<head><meta charset=utf-8><title>T</title>%s"):
+        assert html.main_text(page % body) == "The first part. The second part.", page
+    assert html.main_text(f"<main>{body}<ol class='commentlist'><li><article class='comment'>x</article></ol></main>") == "The first part. The second part."

@@ -27,39 +27,80 @@ WINDOW = 3
 SHARE = 0.3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"\s+")
+_MARKED = re.compile(r"<(?:article|main)(?=[\s/>])|<[a-z][^<>]*\s(?:role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articlebody\b)", re.I)
+_FOREIGN = re.compile(r"comment|disqus|respond|repl(?:y|ies)|related|recommend|newsletter|promo|sponsor|\bads?\b|advert", re.I)
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select",
-       "head", "datalist"}
+       "datalist"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "label", "legend", "option"}
 BLOCK = {"address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1",
          "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td",
          "tfoot", "th", "thead", "tr", "ul"} | BOILER
 MAIN = {"article", "main"}
-#: Words of class, id, role and label names that mark a region as not the article's.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small",
+          "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+#: Parts of class, id, role and label names that mark a region as not the article's.
 WORDS = re.compile(
-    r"(?:^|[\s_\-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|banner|footer|sidebar|side|aside|complementary|contentinfo|"
+    r"nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|banner|footer|sidebar|aside|complementary|contentinfo|"
     r"ads?|advert\w*|adsbygoogle|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|"
-    r"comments?|commentlist|disqus|respond|repl(?:y|ies)|reader|discussion|share|sharing|social|related|recommend\w*|widget|search|toolbar|"
-    r"pagination|pager|skip|toc|copyright|legal|disclaimer)(?=$|[\s_\-\d])", re.I)
-
-
-def _marks(attrs: str) -> tuple[bool, bool]:
-    """(says it is not the article, says it is the main text) by attributes."""
-    boiler = main = False
-    for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id", "role", "aria-label"):
-            boiler |= bool(WORDS.search(value))
-            main |= name == "role" and value.lower() == "main"
-        elif name == "itemprop":
-            main |= value.lower() == "articlebody"
-        elif name == "hidden":
-            boiler = True
-        elif name == "style":
-            boiler |= bool(re.search(r"display\s*:\s*none", value, re.I))
-    return boiler, main
+    r"comments?|commentlist|disqus|respond|repl(?:y|ies)|reader|share|sharing|social|related|recommend\w*|widget|search|toolbar|"
+    r"pagination|pager|skip|toc|copyright|legal|disclaimer")
+#: Parts beside such a word that leave an id or a label the name of a region, not of a subject.
+PLACES = re.compile(r"site|page|main|top|bottom|left|right|primary|secondary|global|post|article|entry|content|area|bar|block|box|container|form|inner|"
+                    r"item|links?|list|module|outer|panel|region|section|slot|unit|wrap|wrapper|\d*")
+#: Parts that make a class a statement about the layout of what it stands on.
+LAYOUT = {"no", "not", "non", "has", "have", "with", "without", "hide", "show"}
+#: Words that are headings of articles, too: as the id or label of a section they name its subject.
+SUBJECTS = {"alert", "consent", "copyright", "cookie", "cookies", "disclaimer", "legal", "menu", "navigation", "notice", "reader", "recommendations", "search",
+            "sharing", "social"}
+#: Classes that say of an article element that it is another's: a reader's comment or a teaser.
+OTHERS = {"ad", "advert", "comment", "comments", "promo", "related", "reply", "sponsored"}
+
+
+def _word(part: str) -> bool:
+    return bool(WORDS.fullmatch(part.rstrip("0123456789")))
+
+
+def _class_says(value: str) -> bool:
+    """A class with a part that is such a word and none that makes it the layout's."""
+    names = (re.split(r"[_\-]+", c) for c in value.lower().split())
+    return any(any(map(_word, parts)) and LAYOUT.isdisjoint(parts) for parts in names)
+
+
+def _name_says(value: str) -> bool:
+    """An id, role or label of such words and places only."""
+    parts = [x for x in re.split(r"[\s_\-]+", value.lower()) if x]
+    return any(map(_word, parts)) and all(_word(x) or PLACES.fullmatch(x) for x in parts)
+
+
+def _marks(name: str, attrs: str) -> tuple[bool, bool, bool]:
+    """(says it is not the article, is hidden, says it is the main text) of an element by its attributes."""
+    has: dict[str, str] = {}
+    for key, value in _ATTR.findall(attrs):
+        has.setdefault(key.lower(), value.strip("\"'"))
+    hidden = "hidden" in has or bool(re.search(r"display\s*:\s*none", has.get("style", ""), re.I))
+    main = has.get("role", "").lower() == "main" or has.get("itemprop", "").lower() == "articlebody"
+    if name in MAIN:
+        return name == "article" and not OTHERS.isdisjoint(has.get("class", "").lower().split()), hidden, True
+    if main or name in HEADINGS or name in INLINE:
+        return False, hidden, main
+    said = [x for x in (has.get(k, "") for k in ("id", "aria-label")) if name != "section" or x.lower() not in SUBJECTS]
+    return _class_says(has.get("class", "")) or any(map(_name_says, [*said, has.get("role", "")])), hidden, main
+
+
+def _wraps(page: str, name: str, at: int, marks: list[int]) -> bool:
+    """Whether the element ``name`` whose content begins at ``at`` closes after all of the page's main marks."""
+    if not marks or marks[0] < at:
+        return False
+    depth = 1
+    for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])", page[at:], re.I):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return at + m.start() > marks[-1]
+    return False
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
@@ -70,6 +111,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     stack: list[tuple[str, bool, bool]] = []   # name, starts a region to skip, starts the article
     skip = main = link = 0
     raw: str | None = None
+    marks: list[int] | None = None             # where the page's main marks stand, once asked for
 
     def end_line() -> None:
         t = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
@@ -121,7 +163,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         selfclosed = m[3].endswith("/") and name not in BLOCK
         if name in RAW:
             if name != "title" or not skip:
-                end_line() if name in ("head", "textarea", "select") else None
+                end_line() if name in ("textarea", "select") else None
             if not selfclosed:
                 raw = name
             continue
@@ -129,8 +171,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             end_line()
         if name in VOID or selfclosed:
             continue
-        said_boiler, said_main = _marks(m[3])
-        article = not said_boiler and (name in MAIN or said_main)
+        said_boiler, hidden, said_main = _marks(name, m[3])
+        if said_boiler and not skip and name not in BOILER and name not in MAIN and not _FOREIGN.search(m[3]):
+            if marks is None:
+                marks = [x.start() for x in _MARKED.finditer(page)]
+            said_boiler = not _wraps(page, name, at, marks)
+        said_boiler |= hidden
+        article = not said_boiler and said_main
         if article and skip and not any(s for n, s, _ in stack if n in BOILER or n == "section") and not main:
             # an advert or notice left open before the article ends with it
             close(next(i for i, x in enumerate(stack) if x[1]))
