@@ -296,3 +296,11 @@ def test_html_names():
                  "<html><head><title>T</title><script>var a='<p>';</script><body>%s</body></html>", "<head><meta charset=utf-8><title>T</title>%s"):
         assert html.main_text(page % body) == "The first part. The second part.", page
     assert html.main_text(f"<main>{body}<ol class='commentlist'><li><article class='comment'>x</article></ol></main>") == "The first part. The second part."
+
+
+def test_html_removed_region_ends_no_stretch():
+    long, last = " ".join(["Some words of the long part."] * 70), "A short closing paragraph."
+    menu = "<div><a href=/a>One</a> | <a href=/b>Two</a></div>"
+    for page in ("<div class=content><p>%s</p><div class=ad>Buy</div><p>%s</p></div>", "<p>%s</p><form>Mail</form><p>%s</p>",
+                 "<div class=content><div class=part><p>%s</p></div><aside>More</aside><p>%s</p></div>"):
+        assert html.main_text(f"<body>{menu * 4}{page % (long, last)}<footer>x</footer>{menu}</body>") == f"{long} {last}", page

@@ -4,9 +4,11 @@ Markup is stripped: each block element starts a line, scripts and the like vanis
 say what they are (menus, headers, footers, asides, forms, adverts, notices, comments) leave a gap
 of empty lines. The sum of text lengths over a sliding window of ``WINDOW`` lines then has surge
 points, where it leaves zero, and dive points, where it falls back; the text between a surge and its
-dive is a stretch. In a page that marks its article, the stretches inside it are the main text;
-without such a mark, link text counts for nothing and the stretches with at least ``SHARE`` of the
-largest one's length are. Unclosed elements end where an enclosing one or the article ends.
+dive is a stretch. In a page that marks its article, the lines inside it are the main text; without
+such a mark, link text counts for nothing. The content's container is the innermost one that holds more than half of the text of the one around
+it; regions removed inside it end no stretch. The main text is the heaviest stretch, the stretches in
+that container, and those elsewhere with no less text than links, whatever their length. Unclosed
+elements end where an enclosing one or the article ends.
 
 Null html gives the empty text; an unclosed tag or comment runs to the end of the page. A page
 without any stretch has an empty text. Rows are independent; repeated rows give equal results.
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +27,6 @@ from pyspark.sql import DataFrame
 from tsengine.llm.common import small_batches
 
 WINDOW = 3
-SHARE = 0.3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -39,6 +41,7 @@ BLOCK = {"address", "article", "blockquote", "body", "br", "caption", "center",
          "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td",
          "tfoot", "th", "thead", "tr", "ul"} | BOILER
 MAIN = {"article", "main"}
+BOXES = MAIN | {"div", "section", "td", "center"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small",
           "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
@@ -103,38 +106,49 @@ def _wraps(page: str, name: str, at: int, marks: list[int]) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length outside links, inside a marked article) of every line; a gap is WINDOW empty lines."""
-    lines: list[tuple[str, int, bool]] = []
+class Line(NamedTuple):
+    """A line, or with ``gap`` the place of a region that was removed."""
+    text: str
+    plain: int     # length outside links
+    inside: bool   # an article or another main mark
+    box: int       # the container it stands in
+    gap: bool = False
+
+
+def lines_of(page: str) -> tuple[list[Line], list[tuple[int, bool]]]:
+    """The lines of a page, and of each container (0 is the page, an outer one stands before those in
+    it) the next outer one and whether it is marked as main."""
+    lines: list[Line] = []
+    boxes = [(0, False)]
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []   # name, starts a region to skip, starts the article
-    skip = main = link = 0
+    stack: list[tuple[str, bool, bool, int]] = []   # name, starts a region to skip, starts the article, container around it
+    skip = main = link = box = 0
     raw: str | None = None
     marks: list[int] | None = None             # where the page's main marks stand, once asked for
 
     def end_line() -> None:
         t = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
         if t:
-            inside = len(_SPACE.sub(" ", entities.unescape("".join(linked))).strip())
-            lines.append((t, max(0, len(t) - inside), main > 0))
+            inside = _SPACE.sub(" ", entities.unescape("".join(linked))).strip()
+            # separators between links are no text
+            plain = len(t) - len(inside) if not inside or sum(map(str.isalnum, t)) > sum(map(str.isalnum, inside)) else 0
+            lines.append(Line(t, max(0, plain), main > 0, box))
         text.clear()
         linked.clear()
 
-    def gap() -> None:
-        lines.extend([("", 0, main > 0)] * WINDOW)
-
     def close(upto: int) -> None:
-        nonlocal skip, main, link
+        nonlocal skip, main, link, box
         while len(stack) > upto:
-            name, skipped, article = stack.pop()
+            name, skipped, article, around = stack.pop()
             if name in BLOCK or skipped or article:
                 end_line()
             skip -= skipped
             main -= article
             link -= name == "a"
+            box = around
             if skipped:
-                gap()
+                lines.append(Line("", 0, main > 0, box, True))
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -178,7 +192,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             said_boiler = not _wraps(page, name, at, marks)
         said_boiler |= hidden
         article = not said_boiler and said_main
-        if article and skip and not any(s for n, s, _ in stack if n in BOILER or n == "section") and not main:
+        if article and skip and not any(s for n, s, *_ in stack if n in BOILER or n == "section") and not main:
             # an advert or notice left open before the article ends with it
             close(next(i for i, x in enumerate(stack) if x[1]))
         if name == "a" and link:
@@ -187,8 +201,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         boiler = (said_boiler and name not in ("html", "body")) or (name in BOILER and not (name == "header" and main))
         if boiler and not skip:
             end_line()
-            gap()
-        stack.append((name, boiler, article))
+            lines.append(Line("", 0, main > 0, box, True))
+        if article:
+            end_line()
+        stack.append((name, boiler, article, box))
+        if not skip and not boiler and (name in BOXES or article):
+            boxes.append((box, article))
+            box = len(boxes) - 1
         skip += boiler
         main += article
         link += name == "a"
@@ -198,7 +217,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         text.append(rest[:cut.start()] if cut else rest)
     close(0)
     end_line()
-    return lines
+    return lines, boxes
 
 
 def stretches(weights: list[int]) -> list[tuple[int, int]]:
@@ -220,16 +239,54 @@ def stretches(weights: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def content_box(lines: list[Line], boxes: list[tuple[int, bool]], weights: list[int]) -> int:
+    """The container of the content: from the page inwards, as long as one container holds more than
+    half of the text and none is marked."""
+    mass = [0] * len(boxes)
+    for line, w in zip(lines, weights, strict=True):
+        mass[line.box] += w
+    for k in range(len(boxes) - 1, 0, -1):
+        mass[boxes[k][0]] += mass[k]
+    at = 0
+    for k in range(1, len(boxes)):
+        if boxes[k][0] == at and not boxes[at][1] and 2 * mass[k] > mass[at]:
+            at = k
+    return at
+
+
 def main_text(page: str) -> str:
     """The article's blocks in page order, joined by one space."""
-    lines = lines_of(page)
-    marked = any(inside and n for _, n, inside in lines) or any(inside and t for t, _, inside in lines)
-    weights = [(len(t) if inside else 0) if marked else n for t, n, inside in lines]
-    found = stretches(weights)
-    if not marked and found:
-        mass = [sum(weights[a:b]) for a, b in found]
-        found = [s for s, m in zip(found, mass, strict=True) if m >= SHARE * max(mass)]
-    return " ".join(t for a, b in found for t, _, inside in lines[a:b] if t and (inside or not marked))
+    lines, boxes = lines_of(page)
+    if any(x.inside for x in lines if not x.gap):
+        return " ".join(x.text for x in lines if x.inside and not x.gap)
+    weights = [len(x.text) if x.inside else x.plain for x in lines]
+    content = content_box(lines, boxes, weights)
+    held = [content == 0] * len(boxes)   # inside the content's container
+    held[content] = True
+    for k in range(content + 1, len(boxes)):
+        held[k] |= held[boxes[k][0]]
+    row: list[Line | None] = []
+    before = None
+    for x in lines:
+        # a removed region inside the content ends nothing
+        edge = not held[x.box] if x.gap else before is not None and x.inside != before
+        if edge:
+            row.extend([None] * WINDOW)
+        if not x.gap:
+            row.append(x)
+            before = x.inside
+    weights = [0 if x is None else len(x.text) if x.inside else x.plain for x in row]
+    found = [([x for x in row[a:b] if x], sum(weights[a:b])) for a, b in stretches(weights)]
+    most = max((w for _, w in found), default=0)
+    return " ".join(x.text for part, w in found if w == most or _is_text(part, held if content else None) for x in part)
+
+
+def _is_text(part: list[Line], held: list[bool] | None) -> bool:
+    """Whether a stretch stands in the content's container ``held``, or is no less text than links;
+    of a page without such a container (None) the mark lets links count as text."""
+    if held and any(held[x.box] for x in part):
+        return True
+    return 2 * sum(len(x.text) if x.inside and not held else x.plain for x in part) >= sum(len(x.text) for x in part)
 
 
 def extract(pages: DataFrame) -> DataFrame:
