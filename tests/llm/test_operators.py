@@ -304,3 +304,14 @@ def test_html_removed_region_ends_no_stretch():
     for page in ("<div class=content><p>%s</p><div class=ad>Buy</div><p>%s</p></div>", "<p>%s</p><form>Mail</form><p>%s</p>",
                  "<div class=content><div class=part><p>%s</p></div><aside>More</aside><p>%s</p></div>"):
         assert html.main_text(f"<body>{menu * 4}{page % (long, last)}<footer>x</footer>{menu}</body>") == f"{long} {last}", page
+
+
+def test_html_mark_is_one_weight():
+    body = "The body of the page. " * 20 + "Its last words."
+    cards = '<article><h3><a href="/1">A first teaser</a></h3></article><article><h3><a href="/2">Another teaser</a></h3></article>'
+    assert html.main_text(f"<body><div>{cards}</div><div class=content><p>{body}</p></div></body>") == body
+    assert html.main_text(f"<body><div class=content><p>{body}</p></div><main></main>{cards}</body>") == body
+    # links of a marked article are its text, links around it are not
+    refs = "<ul>" + "<li><a href=/r>Reference</a></li>" * 5 + "</ul>"
+    page = f"<body><div><a href=/>Home</a> | <a href=/n>News</a></div><article><p>{body}</p>{refs}</article><div><a href=/m>More</a></div></body>"
+    assert html.main_text(page) == body + " Reference" * 5

@@ -4,9 +4,9 @@ Markup is stripped: each block element starts a line, scripts and the like vanis
 say what they are (menus, headers, footers, asides, forms, adverts, notices, comments) leave a gap
 of empty lines. The sum of text lengths over a sliding window of ``WINDOW`` lines then has surge
 points, where it leaves zero, and dive points, where it falls back; the text between a surge and its
-dive is a stretch. In a page that marks its article, the lines inside it are the main text; without
-such a mark, link text counts for nothing. The content's container is the innermost one that holds more than half of the text of the one around
-it; regions removed inside it end no stretch. The main text is the heaviest stretch, the stretches in
+dive is a stretch. Link text counts for nothing, but inside <article>, <main> and the like, whose
+edges end a stretch. The content's container is the innermost one that holds more than half of the text of the one around
+it, or a marked one on the way; regions removed inside it end no stretch. The main text is the heaviest stretch, the stretches in
 that container, and those elsewhere with no less text than links, whatever their length. Unclosed
 elements end where an enclosing one or the article ends.
 
@@ -31,6 +31,7 @@ WINDOW = 3
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"\s+")
+_SLASH = re.compile(r"=\s*[^\s\"']*/\Z")   # the end of an unquoted value, not of the element
 _MARKED = re.compile(r"<(?:article|main)(?=[\s/>])|<[a-z][^<>]*\s(?:role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articlebody\b)", re.I)
 _FOREIGN = re.compile(r"comment|disqus|respond|repl(?:y|ies)|related|recommend|newsletter|promo|sponsor|\bads?\b|advert", re.I)
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select",
@@ -174,7 +175,7 @@ def lines_of(page: str) -> tuple[list[Line], list[tuple[int, bool]]]:
                 if name in BLOCK:
                     end_line()
             continue
-        selfclosed = m[3].endswith("/") and name not in BLOCK
+        selfclosed = m[3].endswith("/") and not _SLASH.search(m[3]) and name not in BLOCK
         if name in RAW:
             if name != "title" or not skip:
                 end_line() if name in ("textarea", "select") else None
@@ -257,8 +258,6 @@ def content_box(lines: list[Line], boxes: list[tuple[int, bool]], weights: list[
 def main_text(page: str) -> str:
     """The article's blocks in page order, joined by one space."""
     lines, boxes = lines_of(page)
-    if any(x.inside for x in lines if not x.gap):
-        return " ".join(x.text for x in lines if x.inside and not x.gap)
     weights = [len(x.text) if x.inside else x.plain for x in lines]
     content = content_box(lines, boxes, weights)
     held = [content == 0] * len(boxes)   # inside the content's container
