@@ -101,6 +101,13 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 7]
 
 
+def test_keep_one_without_identities(spark):
+    text = lambda x: " ".join(f"{x}{k}" for k in range(80))
+    rows = [(None, text("a")), (None, text("b")), (1, text("c")), (1, text("d")), (2, text("d")), (None, text("e")), (None, text("e") + " end"), (3, text("a"))]
+    kept = ngram_join.keep_one(corpus(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in kept) == [(0, "b"), (0, "e"), (1, "c"), (1, "d"), (3, "a")]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = dict(ngram_join.components(links).collect())

@@ -269,7 +269,8 @@ def _linked(held: DataFrame, star: DataFrame, rows: DataFrame, index: DataFrame,
 
 
 def similar_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
-    """rid, doc_id, n_shingles, component_id (least doc_id reachable by links) of every row."""
+    """rid, doc_id, n_shingles, component_id (least doc_id reachable by links) and root (the
+    component's identity, also where doc_ids are null or repeat) of every row."""
     small_batches(docs.sparkSession)
     rows = docs.select(row_id("doc_id", "text").alias("rid"), "doc_id", "text")
     index = materialize(_index(rows, n, pct, _plain_counts(rows, n, pct)), "index", heavy=True)
@@ -293,7 +294,7 @@ def similar_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     first = materialize(named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "first")
     return named.join(first, "root", "left").select(
         "rid", "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
 
 
 def keep_one(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
@@ -301,7 +302,7 @@ def keep_one(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     row stays, the least doc_id's (of rows equal in that, one). Rows without tokens all stay."""
     keyed = docs.withColumn("_rid", row_id("doc_id", "text"))
     found = similar_components(docs, n, pct).where("n_shingles > 0")
-    stay = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("s")).select(F.col("s.rid").alias("_rid"))
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("s")).select(F.col("s.rid").alias("_rid"))
     gone = found.select(F.col("rid").alias("_rid")).join(stay, "_rid", "left_anti").distinct()
     rest = keyed.join(gone, "_rid", "left_anti")
     # equal rows share their identity: one of them stays
