@@ -141,6 +141,16 @@ def test_decontaminate(spark):
     assert sorted(r.doc_id for r in clean.collect()) == sorted({d for d, _ in rows} - {d for d, _ in want})
 
 
+def test_decontaminate_short_items_and_null_ids(spark):
+    long = "an item of more than twenty-four bytes in all"
+    bench = spark.createDataFrame([(1, "Two  plus two"), (2, " 7 "), (3, "\t"), (4, "日本"), (None, long), (None, "null id"), (6, "été")], "item_id long, text string")
+    rows = [(1, "what is TWO\t\tplus two? ask"), (2, "two  plus twofold, 77"), (3, "(7) it is 7"), (4, "あ日本語"), (5, f"see {long} here"), (6, "a null id."),
+            (7, "vétété l'été"), (8, "\t7x "), (9, None), (10, "two  plus tw"), (11, "o")]
+    got = sorted((r.doc_id, r.item_id or 0, r.edits, r.start, r.end) for r in decontaminate.find_items(corpus(spark, rows, 1), bench).collect())
+    assert got == [(1, 1, 0, 8, 21), (3, 2, 0, 1, 2), (4, 4, 0, 3, 9), (5, 0, 0, 4, 4 + len(long)), (6, 0, 0, 2, 9), (7, 6, 0, 12, 17)]
+    assert sorted(r.doc_id for r in decontaminate.clean_documents(corpus(spark, rows), bench).collect()) == [2, 8, 9, 10, 11]
+
+
 def test_sharding(spark):
     rng = random.Random(4)
     rows = [(k, "x" * rng.randint(0, 300)) for k in range(400)] + [(1000 + k, "same" * 50) for k in range(30)] + [(2000, None), (2001, None)]

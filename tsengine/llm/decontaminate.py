@@ -10,9 +10,10 @@ as UTF-8 bytes with A-Z in lower case and every white-space byte as a space.
 The items are the stated query set: they go to the tasks in blocks of about ``BLOCK_BYTES`` (any
 number of blocks), every block meets every whole text, and no pairs are made before the filter.
 
-Null or empty texts and items match nothing; items under ``least`` bytes name no benchmark and are
-not searched. Items that repeat are items of their own; rows that repeat give repeated results.
-Extra columns are ignored.
+Items under ``least`` bytes are too short for edits: they match where they stand as whole words, byte
+by byte after folding (white space around them does not count). Null, empty or blank short items and
+null or empty texts match nothing. Items that repeat or have a null item_id are items of their own (the
+result then has a null item_id); rows that repeat give repeated results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsengine.llm.common import small_batches, steps, utf8
+from tsengine.llm.common import Rolling, byte_values, small_batches, steps, utf8
 
 Q, RATE, LEAST = 8, 0.08, 24
 BLOCK_BYTES = 2 << 20
+_UNSPACED = [("\u0e00", "\u109f"), ("\u1780", "\u17ff"), ("\u2e80", "\uabff"), ("\uf900", "\ufaff"), ("\U00020000", "\U0003ffff")]
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -46,9 +48,9 @@ def grams(data: np.ndarray) -> np.ndarray:
 class Index:
     """q-grams of a block of items: where each occurs."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.ids = np.array([i for i, _ in items], np.int64)
-        self.raw = [_FOLD[np.frombuffer(t.encode(), np.uint8)] for _, t in items]
+    def __init__(self, items: list[str], rate: float):
+        self.ids = np.arange(len(items))
+        self.raw = [_FOLD[np.frombuffer(t.encode(), np.uint8)] for t in items]
         self.size = np.array([len(r) for r in self.raw], np.int64)
         self.edits = np.floor(self.size * rate + 1e-9).astype(np.int64)
         self.edits = np.minimum(self.edits, np.maximum(self.size - Q, 0) // Q)  # the lemma asks for one shared gram
@@ -101,6 +103,44 @@ class Index:
         return np.stack([r[keep], i[keep], b[keep] * (self.edits[i[keep]] + 1) - shift], axis=1)
 
 
+def _joins(c: str) -> bool:
+    """Whether a character is part of a word that goes on beside it (scripts without spaces have none)."""
+    return c.isalnum() and not any(a <= c <= b for a, b in _UNSPACED)
+
+
+class Short:
+    """Short items by their bytes: where each stands as whole words."""
+
+    def __init__(self, items: list[str]):
+        self.items: dict[int, dict[bytes, list[int]]] = {}   # by length
+        for k, t in enumerate(items):
+            raw = _FOLD[np.frombuffer(t.encode(), np.uint8)].tobytes().strip(b" ")
+            if raw:
+                self.items.setdefault(len(raw), {}).setdefault(raw, []).append(k)
+        self.hash = {n: np.concatenate([Rolling(byte_values(np.frombuffer(r, np.uint8))).grams(n) for r in named]) for n, named in self.items.items()}
+
+    def first(self, data: np.ndarray, offs: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(0, start, end) of the first place by (row, item), for folded bytes of many rows."""
+        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        if not self.items:
+            return out
+        roll, raw = Rolling(byte_values(data)), data.tobytes()
+        for n, named in self.items.items():
+            pos = np.flatnonzero(np.isin(roll.grams(n), self.hash[n]))
+            row = np.searchsorted(offs, pos, side="right") - 1
+            inside = pos + n <= offs[row + 1]
+            for p, r in zip(pos[inside].tolist(), row[inside].tolist(), strict=True):
+                items = named.get(raw[p:p + n], [])
+                if not items or (r, items[0]) in out:
+                    continue
+                low, high = int(offs[r]), int(offs[r + 1])
+                t = raw[p:p + n].decode()
+                before, after = raw[max(low, p - 4):p].decode(errors="ignore")[-1:], raw[p + n:min(high, p + n + 4)].decode(errors="ignore")[:1]
+                if not (_joins(before) and _joins(t[0])) and not (_joins(after) and _joins(t[-1])):
+                    out.update({(r, k): (0, p - low, p + n - low) for k in items})
+        return out
+
+
 def banded(item: np.ndarray, text: np.ndarray, first: int, last: int, edits: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best place of ``item`` in ``text`` on diagonals first..last (the
     place of the item's byte i is i + diagonal), or None beyond ``edits``; the earliest end of equals."""
@@ -144,10 +184,10 @@ def _verify(index: Index, raw: np.ndarray, item: int, band: int) -> tuple[int, i
 
 def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
     """doc_id, item_id, edits, start, end (bytes of the text): the best place of every benchmark item
-    in every text that holds it within its edit budget."""
+    in every text that holds it within its edit budget, for items under ``least`` bytes the first."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.where(F.octet_length("text") >= least).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where(F.octet_length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -157,24 +197,26 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least:
         shared = spark.sparkContext.broadcast(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held = [(i, t) for i, t in shared.value if i is not None]
-            if not held:
+            whole = sorted(shared.value, key=lambda x: len(x[1].encode()) < least)   # short ones after the others
+            if not whole:
                 return
-            index = Index(held, rate)
+            long = [t for _, t in whole if len(t.encode()) >= least]
+            index = Index(long, rate) if long else None
+            short = Short([t for _, t in whole[len(long):]])
             for b in batches:
                 data, offs = utf8(b.column(1))
                 data = _FOLD[data]
                 at, found = [], []
                 for i, j in steps(offs):
                     part, po = data[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
-                    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                    for r, item, band in index.candidates(part, po).tolist():
+                    best = {(r, len(long) + k): got for (r, k), got in short.first(part, po).items()}
+                    for r, item, band in index.candidates(part, po).tolist() if index else []:
                         got = _verify(index, part[po[r]:po[r + 1]], item, band)
                         if got is not None and got < best.get((r, item), (1 << 62, 0, 0)):
                             best[r, item] = got
                     for (r, item), got in sorted(best.items()):
                         at.append(i + r)
-                        found.append((int(index.ids[item]), *got))
+                        found.append((whole[item][0], *got))
                 if at:
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).take(pa.array(at))] + [pa.array([f[k] for f in found], pa.int64()) for k in range(4)],
