@@ -108,6 +108,12 @@ def test_keep_one_without_identities(spark):
     assert sorted((r.doc_id or 0, r.text[0]) for r in kept) == [(0, "b"), (0, "e"), (1, "c"), (1, "d"), (3, "a")]
 
 
+def test_open_entries_hold_a_set_once(spark):
+    held = spark.createDataFrame([(7, s, 5, 0) for s in (1, 2) for _ in range(50)] + [(8, 1, 5, 1)] * 50, "entry long, sid long, n int, place int")
+    got = ngram_join._open(held, spark.createDataFrame([], "node long, root long")).collect()
+    assert sorted((r.entry, r.sid, r.root) for r in got) == [(7, 1, 1), (7, 2, 2)]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = dict(ngram_join.components(links).collect())

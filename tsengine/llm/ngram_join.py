@@ -231,10 +231,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(held: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of the entries whose sets are not all of one component, with their root."""
+    """One row of each set of the entries whose sets are not all of one component, with its root."""
     named = held.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     open_ = materialize(named.groupBy("entry").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("entry"), "open")
-    return materialize(named.join(open_, "entry").select("root", *held.columns), "rest")
+    return materialize(named.join(open_, "entry").select("root", *held.columns).dropDuplicates(["entry", "sid"]), "rest")
 
 
 def _linked(held: DataFrame, star: DataFrame, rows: DataFrame, index: DataFrame, n: int, pct: int) -> DataFrame:
