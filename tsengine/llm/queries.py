@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsengine.llm import bpe, decontaminate, html, ngram_join, quality, sharding, suffix_array, suffix_tree, topk, warc
+from tsengine.llm import bpe, decontaminate, html, merkle, ngram_join, prefix_trie, quality, secret_scan, sharding, sql, suffix_array, suffix_tree, topk, warc
 from tsengine.llm.common import shared_dir, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,6 +59,24 @@ def op10_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(rows, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    done = merkle.audit(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    return done.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("witness")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"), bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    return found.select("doc_id", *[secret_scan.count(k).alias(f"n_{k}") for k in secret_scan.BASE],
+                        F.sha2(secret_scan.listing(secret_scan.BASE), 256).alias("base_sha256"),
+                        secret_scan.listing(secret_scan.KINDS).alias("spans"), secret_scan.count("random").alias("n_random"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), conv - conv % 5, F.crc32(conv.cast("string")) % 9, 8)
+
+
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
 SQL = {
@@ -94,8 +112,11 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) A
  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5""",
+    "op11_merkle_manifest": sql.merkle(),
+    "op13_prefix_trie": sql.trie(),
 }
 
 QUERIES = {f.__name__: f for f in (
     op1_extract_main_text, op2_decontaminate, op3_ngram_jaccard_join, op4_minimax_shards, op5_suffix_tree_dedup, op6_byte_bpe,
-    op7_suffix_array_dedup, op8_warc_segments, op9_pivot_top_k, op10_byte_cnn_quality)}
+    op7_suffix_array_dedup, op8_warc_segments, op9_pivot_top_k, op10_byte_cnn_quality,
+    op11_merkle_manifest, op12_secret_scan, op13_prefix_trie)}
