@@ -14,6 +14,7 @@ from tsengine.sources import ledger as LG
 from tsengine.sources import quotes as Q
 from tsengine.sources import results as RS
 from tsengine.streaming import jobs as T
+from tsengine.streaming import sinks
 
 BAR_EXACT = ["series", "dt", "volume"]
 
@@ -191,8 +192,9 @@ def q_tick_bars_stream(spark, d):
     ticks = src.select(F.col("event_type").alias("series"), "ts", F.col("value").alias("price"),
                        F.lit(1).cast("long").alias("size"), F.col("event_id").alias("seq"))
     bars = T.bars_from_ticks_stream(ticks, "1 hour", "10 minutes")
-    table = T.run_available_now(bars, "t05", "complete")
-    return spark.table(table).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
+    base = sinks.new_folder(spark, "t05")
+    sinks.batch_folders("complete")(bars, f"{base}/result", f"{base}/checkpoint")
+    return sinks.last_batch(spark, f"{base}/result").withColumn("dt", F.col("dt").cast("timestamp_ntz"))
 
 
 @register("t02b_latest_per_source_stream",
@@ -202,8 +204,9 @@ def q_latest_stream(spark, d):
     src = spark.readStream.schema(fixtures.table(spark, d, "events").schema).option(
         "pathGlobFilter", "events.parquet").parquet(d)
     q = src.select(F.col("event_type").alias("source"), "ts", F.col("value").alias("price"))
-    table = T.run_available_now(T.latest_per_source_stream(q), "t02", "complete")
-    return spark.table(table)
+    base = sinks.new_folder(spark, "t02")
+    sinks.batch_folders("complete")(T.latest_per_source_stream(q), f"{base}/result", f"{base}/checkpoint")
+    return sinks.last_batch(spark, f"{base}/result")
 
 
 @register("t03_windowed_summary",
@@ -229,13 +232,9 @@ def q_tick_change(spark, d):
 def q_quote_stream(spark, d):
     """Raw quotes landed as parquet files in the shared folder, read as a stream and
     normalised (AvailableNow)."""
-    import uuid
-    land = f"{ensure_checkpoint_dir(spark).rstrip('/')}/landing/quotes_{uuid.uuid4().hex[:8]}"
     raw = fixtures.raw_quotes(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    raw.repartition(4).write.mode("overwrite").parquet(land)
-    s = T.quote_stream(spark, land, "parquet")
-    table = T.run_available_now(s, "t01", "append")
-    return spark.table(table).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    path = sinks.run_landed(spark, "t01", [raw.repartition(4)], Q.normalise_all, sinks.append_files)
+    return spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @register("t04_enrich_messages_stream")
