@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsengine.frames import SeriesWindow
+from tsengine.operators import fits
 from tsengine.operators import linear as L
+from tsengine.operators import metrics as M
 from tsengine.session import cut_lineage
 
 
@@ -110,3 +112,51 @@ def walk_forward_ml(df: DataFrame, sw: SeriesWindow, features: Sequence[str], ta
     for o in outs[1:]:
         out = out.unionByName(o)
     return out
+
+
+def walk_forward_trees(df: DataFrame, sw: SeriesWindow, features: Sequence[str], target: str, models: dict, path: str,
+                       initial: int = 252, step: int = 21, horizon: int = 1, window_blocks: int | None = None,
+                       parallel: int = fits.PARALLEL) -> DataFrame:
+    """H10 for estimators that need a fit a fold: ``models`` maps names to estimator factories. All
+    folds of all models are fitted side by side over one written table; a fold's training rows are the
+    blocks before its own (the last ``window_blocks`` of them: rolling), pooled over series, its
+    predictions are written to ``path`` when its fit has ended. The rows of a fold whose fit fails
+    are there too, with a null ``pred`` and the reason in ``error``."""
+    spark = df.sparkSession
+    keys = [*sw.series_cols, sw.time_col, "row_idx"]
+    data = fits.fit_table(with_walk_forward_blocks(df, sw, initial, step, horizon), features, target, [*keys, "_blk", "fold"])
+    last = data.agg(F.max("fold")).first()[0]
+
+    def run(name: str, fold: int) -> None:
+        estimator = fits.ready(models[name]())
+        before = (F.col("_blk") <= fold) & (F.lit(True) if window_blocks is None else F.col("_blk") > fold - window_blocks)
+        test = data.where(F.col("fold") == fold)
+        try:
+            scored = estimator.fit(data.where(before)).transform(test).withColumn("error", F.lit(None).cast("string"))
+        except fits.FIT_ERRORS as e:
+            reason = str(getattr(e, "java_exception", e)).splitlines()[0]
+            scored = test.withColumns({"pred": F.lit(None).cast("double"), "error": F.lit(reason)})
+        scored.select(*keys, F.lit(name).alias("model"), F.lit(fold).cast("long").alias("fold"), "y", "pred", "error") \
+            .write.mode("overwrite").parquet(f"{path}/{name}/{fold}")
+
+    jobs = {(m, f): (lambda m=m, f=f: run(m, f)) for f in range(-1 if last is None else int(last), -1, -1) for m in models}
+    fits.together(spark, jobs, parallel)
+    return read_walk(spark, path, df, sw) if jobs else read_walk(spark, None, df, sw)
+
+
+def read_walk(spark, path: str | None, df: DataFrame, sw: SeriesWindow) -> DataFrame:
+    """What :func:`walk_forward_trees` wrote of ``df``; without a path, no rows."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields} | {"row_idx": "bigint"}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*sw.series_cols, sw.time_col, "row_idx")), "model string, fold long, y double, pred double, error string"])
+    if path is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def evaluation(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Metrics of every fold and, with a null fold, over all predicted rows of ``keys`` and model; the
+    latter with mean and deviation over folds, successful and total folds."""
+    folds = M.regression_metrics(preds, [*keys, "model", "fold"])
+    folds = folds.join(preds.groupBy(*keys, "model", "fold").agg(F.max("error").alias("error")), [*keys, "model", "fold"])
+    pooled = M.walk_forward_summary(preds, folds, [*keys, "model"]).withColumn("fold", F.lit(None).cast("long"))
+    return folds.unionByName(pooled, allowMissingColumns=True)

@@ -5,11 +5,14 @@ by row counts and by numpy property tests in ``tests/``."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tsengine.frames import SeriesWindow
+from tsengine.operators import fits
 from tsengine.operators import linear as L
 from tsengine.operators import metrics as M
 from tsengine.operators import models as MD
@@ -21,7 +24,7 @@ from tsengine.operators.joins import collect_model_predictions
 from tsengine.plans import bundles, fixtures
 from tsengine.plans.registry import register
 from tsengine.plans.sql_features import quick_features_sql
-from tsengine.session import cut_lineage
+from tsengine.session import cut_lineage, ensure_checkpoint_dir
 
 SW = SeriesWindow("series", "dt")
 QF = ["ma_5", "ma_10", "ma_20", "price_change", "price_change_5", "volatility", "price_lag_1", "price_lag_2", "price_lag_3"]
@@ -62,6 +65,52 @@ def q_wf_family(spark, d):
     return M.regression_metrics(preds, ["series", "model", "fold"])
 
 
+# fixed values: tree models of the reference's walk-forward analysis
+WALK_TREES = {
+    "random_forest": lambda: MD.random_forest(numTrees=100, maxDepth=10, minInstancesPerNode=1, featureSubsetStrategy="all"),
+    "gradient_boosting": lambda: MD.gradient_boosting(maxIter=100, maxDepth=6, stepSize=0.1, subsamplingRate=1.0),
+}
+WALK_STEP = 126  # half a year of trading days between two fits
+_walks: dict[tuple[str, str], str] = {}
+
+
+def _walk_trees(spark, d):
+    """Predictions of all folds of both tree models; the two queries on them share the fits of a session."""
+    key = (spark.sparkContext.applicationId, d)
+    path = _walks.get(key)
+    if path is None:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/walks/{uuid.uuid4().hex}"
+        V.walk_forward_trees(_quick(spark, d), SW, QF, "target", WALK_TREES, path, step=WALK_STEP)
+        _walks[key] = path
+    return V.read_walk(spark, path, _quick(spark, d), SW)
+
+
+@register("h10b_walk_forward_trees")
+def q_wf_trees(spark, d):
+    """H10 for trees: metrics of every (series, model, fold) and, with a null fold, over all folds."""
+    return V.evaluation(_walk_trees(spark, d), ["series"])
+
+
+H10C_SQL = f"""WITH q0 AS ({quick_features_sql()}),
+ q AS (SELECT series, dt, target AS y, row_number() OVER (PARTITION BY series ORDER BY dt) - 1 AS row_idx, count(*) OVER (PARTITION BY series) AS n FROM q0)
+SELECT series, dt, row_idx::BIGINT AS row_idx, ((row_idx - 252) // {WALK_STEP})::BIGINT AS fold, model, y, TRUE AS fitted,
+ CASE model WHEN 'random_forest' THEN TRUE END AS in_range
+FROM q, (SELECT unnest(['random_forest', 'gradient_boosting']) AS model) WHERE row_idx >= 252 AND row_idx < n - 1 AND y IS NOT NULL"""
+
+
+@register("h10c_walk_forward_tree_rows", H10C_SQL, exact=["series", "dt", "row_idx", "fold", "model", "fitted", "in_range"], ts=["dt"])
+def q_wf_tree_rows(spark, d):
+    """Invariants of the walk-forward predictions: every row after the first year is predicted once by each
+    model, in its fold, and a forest's value lies within the targets of its training rows (blocks up to the fold)."""
+    preds = _walk_trees(spark, d)
+    blocks = V.with_walk_forward_blocks(_quick(spark, d), SW, 252, WALK_STEP).groupBy("_blk").agg(F.min("target").alias("lo"), F.max("target").alias("hi"))
+    upto = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)  # one row a block
+    seen = blocks.select(F.col("_blk").cast("long").alias("fold"), F.min("lo").over(upto).alias("lo"), F.max("hi").over(upto).alias("hi"))
+    return preds.join(seen, "fold").select(
+        "series", "dt", "row_idx", "fold", "model", "y", F.col("pred").isNotNull().alias("fitted"),
+        F.when(F.col("model") == "random_forest", F.col("pred").between(F.col("lo"), F.col("hi"))).alias("in_range"))
+
+
 @register("m02_m05_holdout_linear")
 def q_holdout_linear(spark, d):
     """M01–M05 on an 80/20 temporal hold-out of every series (pooled Gram), hold-out metrics."""
@@ -71,51 +120,49 @@ def q_holdout_linear(spark, d):
     return M.regression_metrics(preds, ["model"])
 
 
-def _holdout_ml(spark, d, est, name):
-    from pyspark.ml.feature import VectorAssembler
-    q = _quick(spark, d)
-    q = q.select("*", SW.row_idx().alias("row_idx"), SW.n_rows().alias("_n"))
-    va = VectorAssembler(inputCols=QF, outputCol="features")
-    data = va.transform(q).withColumn("is_train", F.col("row_idx") < F.floor(F.col("_n") * 0.8))
-    model = est.setLabelCol("target").setPredictionCol("pred").fit(data.filter("is_train"))
-    test = model.transform(data.filter(~F.col("is_train")))
-    return test.select("series", "dt", F.lit(name).alias("model"), F.col("target").alias("y"), "pred"), model
+def _holdout_ml(spark, d, estimators):
+    """(predictions, models) of Spark ML estimators on an 80/20 hold-out of every series, fitted side by side."""
+    q = _quick(spark, d).select("*", SW.row_idx().alias("row_idx"), SW.n_rows().alias("_n"))
+    q = q.withColumn("is_train", F.col("row_idx") < F.floor(F.col("_n") * 0.8))
+    data = fits.fit_table(q, QF, "target", ["series", "dt", "is_train"])
+    models = fits.fit_all(data.where("is_train"), estimators)
+    out = None
+    for name, model in models.items():
+        p = model.transform(data.where("NOT is_train")).select("series", "dt", F.lit(name).alias("model"), "y", "pred")
+        out = p if out is None else out.unionByName(p)
+    return out, models
 
 
 @register("m06_huber")
 def q_huber(spark, d):
-    p, _ = _holdout_ml(spark, d, MD.huber(), "huber")
+    p, _ = _holdout_ml(spark, d, {"huber": MD.huber()})
     return M.regression_metrics(p, ["model"])
 
 
 @register("m07_random_forest")
 def q_rf(spark, d):
-    p, _ = _holdout_ml(spark, d, MD.random_forest(), "random_forest")
+    p, _ = _holdout_ml(spark, d, {"random_forest": MD.random_forest()})
     return M.regression_metrics(p, ["model"])
 
 
 @register("m08_gradient_boosting")
 def q_gbt(spark, d):
-    p, _ = _holdout_ml(spark, d, MD.gradient_boosting(), "gradient_boosting")
+    p, _ = _holdout_ml(spark, d, {"gradient_boosting": MD.gradient_boosting()})
     return M.regression_metrics(p, ["model"])
 
 
 @register("m09_boosted_presets")
 def q_presets(spark, d):
     """The three booster presets on the hold-out, with their full number of rounds."""
-    out = None
-    for name in MD.BOOSTED_PRESETS:
-        p, _ = _holdout_ml(spark, d, MD.boosted_preset(name), name)
-        m = M.regression_metrics(p, ["model"])
-        out = m if out is None else out.unionByName(m)
-    return out
+    p, _ = _holdout_ml(spark, d, {name: MD.boosted_preset(name) for name in MD.BOOSTED_PRESETS})
+    return M.regression_metrics(p, ["model"])
 
 
 @register("a20_model_importance")
 def q_importance(spark, d):
     """Impurity importances of the forest in full, sorted."""
-    _, model = _holdout_ml(spark, d, MD.random_forest(), "random_forest")
-    imp = model.featureImportances.toArray().tolist()
+    _, models = _holdout_ml(spark, d, {"random_forest": MD.random_forest()})
+    imp = models["random_forest"].featureImportances.toArray().tolist()
     return spark.createDataFrame([(f, float(v)) for f, v in zip(QF, imp)], "feature string, score double") \
         .orderBy(F.col("score").desc())
 
@@ -125,10 +172,10 @@ def q_mean_importance(spark, d):
     """|coefficient| of the linear models + forest importances, averaged per feature
     (mean, std ddof 0, count), top 20."""
     q = _quick(spark, d)
-    _, fits = V.holdout_linear(q, SW, QF, "target", MD.LINEAR_MODELS)
-    rows = [(name[0], f, float(abs(b))) for name, fit in fits.items() for f, b in zip(QF, fit.coef)]
-    _, rf = _holdout_ml(spark, d, MD.random_forest(), "random_forest")
-    rows += [("random_forest", f, float(v)) for f, v in zip(QF, rf.featureImportances.toArray())]
+    _, linear = V.holdout_linear(q, SW, QF, "target", MD.LINEAR_MODELS)
+    rows = [(name[0], f, float(abs(b))) for name, fit in linear.items() for f, b in zip(QF, fit.coef)]
+    _, models = _holdout_ml(spark, d, {"random_forest": MD.random_forest()})
+    rows += [("random_forest", f, float(v)) for f, v in zip(QF, models["random_forest"].featureImportances.toArray())]
     scores = spark.createDataFrame(rows, "model string, feature string, score double")
     return M.mean_importance(scores)
 
