@@ -93,6 +93,55 @@ def test_ngram_join(spark, rows, n, pct, frequent, monkeypatch):
     assert got == {i: w for (i, _), w in zip(more, brute.groups(more, n, pct), strict=True)}
 
 
+@pytest.mark.parametrize(("n", "pct", "frequent"), [(3, 90, 8), (2, 50, 4)])
+def test_ngram_join_of_families(spark, n, pct, frequent, monkeypatch):
+    """Families of near copies around the threshold, long and short, with passages that many share."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    rng = random.Random(n * pct)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 5)))
+    passage, docs = [word() for _ in range(60)], []
+    for size in (6, 30, 150, 900):
+        for _ in range(4):
+            first = [word() for _ in range(size)]
+            for _ in range(5):
+                w = list(first)
+                for _ in range(rng.randint(0, max(1, size // 12))):
+                    w[rng.randrange(size)] = word()
+                docs.append(" ".join(w if rng.random() < 0.6 else passage + w))
+    docs = list(enumerate(docs + docs[::7]))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(corpus(spark, docs), n, pct).collect()}
+    want = brute.groups(docs, n, pct)
+    assert got == {i: w for (i, _), w in zip(docs, want, strict=True)}
+    assert 8 < len({w[1] for w in want}) < len(docs)
+
+
+def thue_morse(size, a="a", b="b"):
+    """Two sequences that every polynomial hash modulo 2 ** 64 gives the same value, if long enough."""
+    bits = [bin(k).count("1") % 2 for k in range(size)]
+    return [a if x else b for x in bits], [b if x else a for x in bits]
+
+
+def test_words_that_polynomials_confuse(spark):
+    x, y = ("".join(w) for w in thue_morse(2048))
+    assert len(set(common.word_hashes(*(lambda d: (d, np.array([0, 2049]), np.array([2048, 4097])))(np.frombuffer(f"{x} {y}".encode(), np.uint8))).tolist())) == 2
+    shared = " ".join(f"w{k}" for k in range(34))
+    rows = [(1, f"{x} a b"), (2, f"{y} a b"), (3, f"{shared} {x}"), (4, f"{shared} {y}"), (5, f"{shared} {x}")]
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_components(corpus(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3, 5: 3}  # the last three share 32 of 34 shingles at least
+    got = {r.doc_id: r.n_removed for r in suffix_tree.dedup_words(corpus(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 35, 4: 0, 5: 35}
+
+
+@pytest.mark.parametrize("most", [1, 2048])
+def test_windows_that_polynomials_confuse(spark, most):
+    a, b = (" ".join(w) for w in thue_morse(512))
+    rows = [(1, a), (2, b), (3, "".join(thue_morse(4096)[0])), (4, "".join(thue_morse(4096)[1]))]
+    got = {r[0]: tuple(r)[1:] for r in suffix_tree.dedup_words(corpus(spark, rows), most=most).collect()}
+    assert got == {i: w for (i, _), w in zip(rows, brute.substring_words([t for _, t in rows], 35), strict=True)}
+    got = {r[0]: tuple(r)[1:] for r in suffix_array.dedup_bytes(corpus(spark, rows), most=most).collect()}
+    assert got == {i: w for (i, _), w in zip(rows, brute.substring_bytes(rows, 100), strict=True)}
+
+
 def test_keep_one(spark):
     t = " ".join(f"w{k}" for k in range(80))
     rows = [(3, t), (1, t), (1, t), (None, t + " end"), (4, ""), (5, None), (6, ""), (7, "other words here")]

@@ -41,3 +41,20 @@ def test_stages(spark, tmp_path):
     out = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(seen[3])
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen[3])
+
+
+def test_names_ties_and_empty_tables(spark, tmp_path):
+    """Columns named like the stages' own pass through them; equal rows, ties and empty tables work."""
+    good = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcdefgh"]
+    rows = [(k, t, "s", "p", 7, True, 0.5, "x", len(t)) for k, t in enumerate(good)] + [(3, good[3], "s", "p", 7, True, 0.5, "x", len(good[3]))] * 2
+    schema = "doc_id long, text string, score string, predicted string, _rid long, _null boolean, c1 double, row string, n_chars int"
+    spark.createDataFrame([(k, 1, 0) for k in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no such text in any of the documents here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, table in (("all", rows), ("none", [])):
+        df = spark.createDataFrame(table, schema)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            stage(spark, df, str(tmp_path)).write.parquet(f"{tmp_path}/{name}{k}")
+            df = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            assert df.columns == schema.replace(",", "").split()[::2]
+        assert sorted(map(tuple, df.collect())) == sorted(set(rows) if table else [])
+        assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() == len(set(table))

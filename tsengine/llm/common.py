@@ -137,6 +137,9 @@ class Rolling:
         return mix((self.sum[k:] - self.sum[:n]) * _pow(_PI, n))
 
 
+_LANE = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+
+
 def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
@@ -162,7 +165,22 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    return Rolling(byte_values(data)).ranges(s, e)
+    """64-bit hash of every word: eight bytes after the other are mixed into a state (splitmix64's
+    finaliser, no polynomial: words can be of any length and content)."""
+    size = e - s
+    state = mix(size.astype(np.uint64) + np.uint64(_P))
+    if not len(s):
+        return state
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    at, live = s.copy(), np.arange(len(s))
+    left = size.copy()
+    while len(live):
+        lane = eight[at] & _LANE[np.minimum(left, 8)]
+        state[live] = mix(state[live] ^ lane)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return state
 
 
 def sliding_min(h: np.ndarray, w: int, block: int = 1 << 23) -> np.ndarray:

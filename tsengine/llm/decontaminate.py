@@ -229,6 +229,6 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item."""
-    keyed = docs.withColumn("_rid", F.xxhash64("doc_id", "text"))
-    dirty = find_items(keyed.select(F.col("_rid").alias("doc_id"), "text"), benchmark, rate).select(F.col("doc_id").alias("_rid")).distinct()
-    return keyed.join(dirty, "_rid", "left_anti").select(*docs.columns)
+    whole = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    dirty = find_items(whole.select(F.col("rid").alias("doc_id"), F.col("row.text").alias("text")), benchmark, rate).select(F.col("doc_id").alias("rid")).distinct()
+    return whole.join(dirty, "rid", "left_anti").select("row.*")

@@ -5,7 +5,9 @@ sets with Jaccard similarity t or more share a token within their first n - ceil
 tokens of that prefix are indexed alone. Where the prefix reaches the class of frequent tokens it
 is extended to 2 D + 2 tokens, D = floor(n (1 - t) / t) being the most that two such sets differ
 by: of the first D + 2 shared tokens, all frequent then, at least two neighbours stand side by side
-in both sets, so pairs of neighbouring frequent tokens are indexed. Sets that share an entry are
+in both sets, so pairs of neighbouring frequent tokens are indexed. Low tokens, those rare ones below
+one bound for all texts, are indexed whether or not a prefix reaches them: a low token that only one set has is then
+known to be in no other, and sets with many such tokens cannot be similar to anything (``_may_link``). Sets that share an entry are
 compared, first by histograms of their tokens (a bound; within the join by their parity),
 then in full.
 
@@ -36,6 +38,7 @@ FREQUENT = 64
 CLASS = 65536
 PAIRS = 16         # a row of an open entry, above which further stars are asked before all pairs
 BINS = 512        # of a set's histogram: the L1 distance of two is at most the sets' symmetric difference
+ODD = [f"b{k}" for k in range(BINS // 64)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -72,8 +75,9 @@ def most_apart(n: np.ndarray, pct: int) -> np.ndarray:
 
 
 def entries(token: np.ndarray, size: np.ndarray, pct: int, frequent: np.ndarray):
-    """(entry, row, place in the row's order) of all rows: rare tokens of the prefix and pairs of
-    neighbouring frequent tokens of the extended prefix where the prefix reaches those."""
+    """(entry, row, place in the row's order, whether it is low) of all rows: rare tokens of the prefix,
+    all low ones (rare, below the same bound for every text), and pairs of neighbouring frequent tokens
+    of the extended prefix where the prefix reaches those; and the number of low tokens of each row."""
     row = np.repeat(np.arange(len(size)), size)
     often = np.zeros(len(token), bool)
     if len(frequent):
@@ -84,13 +88,15 @@ def entries(token: np.ndarray, size: np.ndarray, pct: int, frequent: np.ndarray)
     place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
     plain = place < prefix_size(size, pct)[row]
     reach = np.bincount(row[plain & often], minlength=len(size)) > 0
-    single = plain & ~often
+    low = ~often & (token < np.uint64((100 - pct) * 2**63 // 100))
+    single = (plain & ~often) | low
     pair = np.zeros(len(token), bool)
     if len(token) > 1:
         pair[:-1] = often[:-1] & (row[1:] == row[:-1]) & reach[row[:-1]] & (place[1:] < (2 * most_apart(size, pct) + 2)[row[:-1]])
     two = np.flatnonzero(pair)
     entry = np.concatenate([token[single], mix(token[two] * np.uint64(3) ^ mix(token[np.minimum(two + 1, max(len(token) - 1, 0))]))])
-    return entry.view(np.int64), np.concatenate([row[single], row[two]]), np.concatenate([place[single], place[two]])
+    return (entry.view(np.int64), np.concatenate([row[single], row[two]]), np.concatenate([place[single], place[two]]),
+            np.concatenate([low[single], np.zeros(len(two), bool)]), np.bincount(row[low], minlength=len(size)))
 
 
 def _plain_counts(docs: DataFrame, n: int, pct: int) -> np.ndarray:
@@ -100,7 +106,7 @@ def _plain_counts(docs: DataFrame, n: int, pct: int) -> np.ndarray:
             data, offs = utf8(b.column(0))
             for i, j in steps(offs):
                 token, size = token_sets(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i], n)
-                entry, _, _ = entries(token, size, pct, np.zeros(0, np.uint64))
+                entry = entries(token, size, pct, np.zeros(0, np.uint64))[0]
                 yield pa.RecordBatch.from_arrays([pa.array(entry)], names=["token"])
 
     top = (docs.select("text").mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") > FREQUENT)
@@ -109,8 +115,9 @@ def _plain_counts(docs: DataFrame, n: int, pct: int) -> np.ndarray:
 
 
 def _index(docs: DataFrame, n: int, pct: int, frequent: np.ndarray) -> DataFrame:
-    """rid, doc_id, sid, n, entries, places, hist (tokens by their high bits) and, of 128 wider
-    bins, whether each holds an odd number (bits of low and high) of every row."""
+    """rid, doc_id, sid, n, entries with their places and whether they are low, the number of low
+    tokens, hist (tokens by their high bits) and odd (whether each bin holds an odd number, as bits)
+    of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,34 +125,37 @@ def _index(docs: DataFrame, n: int, pct: int, frequent: np.ndarray) -> DataFrame
             data, offs = utf8(b.column(2))
             for i, j in steps(offs):
                 token, size = token_sets(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i], n)
-                entry, row, place = entries(token, size, pct, shared.value)
+                entry, row, place, low, lows = entries(token, size, pct, shared.value)
                 order = np.argsort(row, kind="stable")
                 at = np.repeat(np.arange(len(size)), size) * BINS + (token >> np.uint64(54)).astype(np.int64)
-                hist = np.minimum(np.bincount(at, minlength=len(size) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
-                odd = np.packbits((np.bincount(at // (BINS // 128), minlength=len(size) * 128) & 1).astype(np.uint8)).view(np.int64).reshape(-1, 2)
+                bins = np.bincount(at, minlength=len(size) * BINS)
+                hist = np.minimum(bins, 255).astype(np.uint8).reshape(-1, BINS)
+                odd = np.packbits((bins & 1).astype(np.uint8)).view(np.int64).reshape(-1, len(ODD))
                 lists = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(size)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(set_ids(token, size)), pa.array(size.astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(lists), pa.array(entry[order])),
                      pa.ListArray.from_arrays(pa.array(lists), pa.array(place[order].astype(np.int32))),
-                     pa.array([h.tobytes() for h in hist], pa.binary()), pa.array(odd[:, 0]), pa.array(odd[:, 1])],
-                    names=["rid", "doc_id", "sid", "n", "entries", "places", "hist", "low", "high"])
+                     pa.ListArray.from_arrays(pa.array(lists), pa.array(low[order])), pa.array(lows.astype(np.int32)),
+                     pa.array([h.tobytes() for h in hist], pa.binary()),
+                     pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(odd[:, k])) for k in range(len(ODD))], names=ODD)],
+                    names=["rid", "doc_id", "sid", "n", "entries", "places", "low", "lows", "hist", "odd"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"rid long, doc_id {kind}, sid long, n int, entries array<long>, places array<int>, hist binary, low long, high long")
+    return docs.mapInArrow(run, f"rid long, doc_id {kind}, sid long, n int, entries array<long>, places array<int>, low array<boolean>, lows int, "
+                           f"hist binary, odd struct<{', '.join(f'{c}:long' for c in ODD)}>")
 
 
 def _may_link(a: str, b: str, pct: int):
-    """Lengths, and places of a shared entry, that allow the similarity asked for."""
-    n, m, i, j = f"{a}.n", f"{b}.n", f"{a}.place", f"{b}.place"
+    """What a pair must fulfil to have the similarity asked for: lengths, places of a shared entry, low
+    tokens of its own (``own``: no other set has them) and parities. Sets differ by a token at least in
+    each bin whose parity differs, and linked ones differ by no more tokens than their sizes allow."""
+    n, m, i, j, u, v = f"{a}.n", f"{b}.n", f"{a}.place", f"{b}.place", f"{a}.own", f"{b}.own"
+    apart = " + ".join(f"bit_count({a}.odd.{c} ^ {b}.odd.{c})" for c in ODD)
     return F.expr(f"100L * least({n}, {m}) >= {pct}L * greatest({n}, {m}) AND "
-                  f"({100 + pct}L) * (least({i}, {j}) + least({n} - {i}, {m} - {j})) >= {pct}L * ({n} + {m})")
-
-
-def _parity(a: str, b: str, pct: int):
-    """A bound for the condition of a join: sets differ by a token at least in each bin whose parity
-    differs, and linked ones differ by no more tokens than their sizes allow."""
-    return F.expr(f"(bit_count({a}.low ^ {b}.low) + bit_count({a}.high ^ {b}.high)) * {100 + pct}L <= {100 - pct}L * ({a}.n + {b}.n)")
+                  f"100L * least({n} - {u}, {m} - {v}) >= {pct}L * greatest({n} + {v}, {m} + {u}) AND "
+                  f"({100 + pct}L) * (least({i}, {j}) + least({n} - {i}, {m} - {j})) >= {pct}L * ({n} + {m}) AND "
+                  f"({apart}) * {100 + pct}L <= {100 - pct}L * ({n} + {m})")
 
 
 def _near(pairs: DataFrame, index: DataFrame, pct: int) -> DataFrame:
@@ -241,8 +251,7 @@ def _linked(held: DataFrame, star: DataFrame, rows: DataFrame, index: DataFrame,
     """node, root of the sets that link, by what they share in ``held``; ``star`` is the first round."""
     links, seen = _verified(star, rows, index, n, pct), star
     roots = components(links)
-    bits = index.select("sid", "low", "high").dropDuplicates(["sid"])
-    rest = _open(held.join(bits, "sid"), roots)
+    rest = _open(held, roots)
     before = None
     while True:
         by_root = rest.groupBy("entry", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("entry").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
@@ -251,11 +260,11 @@ def _linked(held: DataFrame, star: DataFrame, rows: DataFrame, index: DataFrame,
         stars = (left.pairs or 0) > PAIRS * (left.rows or 0) and (before is None or 2 * left.pairs <= before)
         before = left.pairs
         if stars:
-            pick = F.min(F.struct(F.xxhash64("entry", "sid", F.lit(before)).alias("h"), "sid", "n", "place", "root", "low", "high"))
+            pick = F.min(F.struct(F.xxhash64("entry", "sid", F.lit(before)).alias("h"), "sid", "n", "place", "root", "own", "odd"))
             found = rest.alias("x").join(rest.groupBy("entry").agg(pick.alias("y")), "entry")
         else:
             found = rest.alias("x").join(rest.alias("y"), (F.col("x.entry") == F.col("y.entry")) & (F.col("x.sid") < F.col("y.sid")))
-        pairs = (found.where((F.col("x.root") != F.col("y.root")) & _may_link("x", "y", pct) & _parity("x", "y", pct))
+        pairs = (found.where((F.col("x.root") != F.col("y.root")) & _may_link("x", "y", pct))
                  .select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct())
         pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti"), "pairs", heavy=True)
         more = _verified(pairs, rows, index, n, pct)
@@ -274,21 +283,25 @@ def similar_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = docs.select(row_id("doc_id", "text").alias("rid"), "doc_id", "text")
     index = materialize(_index(rows, n, pct, _plain_counts(rows, n, pct)), "index", heavy=True)
-    flat = (index.where("n > 0").select("sid", "n", F.explode(F.arrays_zip("entries", "places")).alias("e"))
-            .select(F.col("e.entries").alias("entry"), "sid", "n", F.col("e.places").alias("place")))
-    # entries of one row alone drop out before anything else is asked of them
-    twice = materialize(flat.groupBy("entry").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("entry"), "shared-entries", heavy=True)
+    flat = (index.where("n > 0").select("sid", "n", F.explode(F.arrays_zip("entries", "places", "low")).alias("e"))
+            .select(F.col("e.entries").alias("entry"), "sid", "n", F.col("e.places").alias("place"), F.col("e.low").alias("low")))
+    # entries of one set alone (of copies, too) drop out before anything else is asked of them
+    twice = materialize(flat.groupBy("entry").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a != b").select("entry"), "shared-entries", heavy=True)
     held = materialize(flat.join(twice, "entry", "left_semi"), "entries", heavy=True)
-    # the least set of an entry is its star's centre; entries of copies of one set alone drop out
-    least = F.min(F.struct("sid", "n", "place"))
-    centre = materialize(held.groupBy("entry").agg(least.alias("c"), F.max("sid").alias("most")).where("c.sid != most").select("entry", "c"), "centres")
-    held = materialize(held.join(centre, "entry").select("entry", "sid", "n", "place", "c"), "entries")
-    star = materialize(held.alias("m").where("sid != c.sid").where(_may_link("m", "c", pct))
-                       .select(F.col("c.sid").alias("a"), F.col("sid").alias("b")).distinct(), "star")
+    held = materialize(held.groupBy("entry", "sid").agg(*[F.min(c).alias(c) for c in ("n", "place", "low")]), "entries")
+    # low tokens that a set shares with none: every set lists its low tokens, so no other set has them
+    shared = held.where("low").groupBy("sid").agg(F.count(F.lit(1)).alias("shared"))
+    sets = (index.groupBy("sid").agg(F.min("lows").alias("lows"), F.min("odd").alias("odd")).join(shared, "sid", "left")
+            .select("sid", (F.col("lows") - F.coalesce("shared", F.lit(0))).alias("own"), "odd"))
+    held = materialize(held.drop("low").join(sets, "sid"), "entries")
+    # the least set of an entry is its star's centre
+    centre = held.groupBy("entry").agg(F.min(F.struct("sid", "n", "place", "own", "odd")).alias("c"))
+    star = materialize(held.alias("m").join(centre, "entry").where("m.sid != c.sid").where(_may_link("m", "c", pct))
+                       .select(F.col("c.sid").alias("a"), F.col("m.sid").alias("b")).distinct(), "star")
     if held.isEmpty():
         roots = index.select(F.col("sid").alias("node"), F.col("sid").alias("root")).limit(0)
     else:
-        roots = _linked(held.drop("c"), star, rows, index, n, pct)
+        roots = _linked(held, star, rows, index, n, pct)
     named = index.select("rid", "doc_id", "sid", "n").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     named = materialize(named.withColumn("root", F.coalesce("root", "sid")).select("rid", "doc_id", "n", "root"), "named")
     first = materialize(named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "first")
@@ -300,11 +313,12 @@ def similar_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     """The rows of ``docs`` without those whose group has a row before them: of each component one
     row stays, the least doc_id's (of rows equal in that, one). Rows without tokens all stay."""
-    keyed = docs.withColumn("_rid", row_id("doc_id", "text"))
     found = similar_components(docs, n, pct).where("n_shingles > 0")
-    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("s")).select(F.col("s.rid").alias("_rid"))
-    gone = found.select(F.col("rid").alias("_rid")).join(stay, "_rid", "left_anti").distinct()
-    rest = keyed.join(gone, "_rid", "left_anti")
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("s")).select("s.rid")
+    gone = found.select("rid").join(stay, "rid", "left_anti").distinct()
+    # columns of the table may have any names: they travel as one
+    whole = docs.select(row_id("doc_id", "text").alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rest = whole.join(gone, "rid", "left_anti")
     # equal rows share their identity: one of them stays
-    tokens = F.coalesce(F.length(F.trim(F.translate(F.coalesce(F.col("text"), F.lit("")), "\t\n\x0b\x0c\r", "     "))), F.lit(0)) > 0
-    return rest.where(tokens).dropDuplicates(["_rid"]).unionByName(rest.where(~tokens)).select(*docs.columns)
+    tokens = F.coalesce(F.length(F.trim(F.translate(F.coalesce(F.col("row.text"), F.lit("")), "\t\n\x0b\x0c\r", "     "))), F.lit(0)) > 0
+    return rest.where(tokens).dropDuplicates(["rid"]).unionByName(rest.where(~tokens)).select("row.*")
