@@ -15,10 +15,17 @@ from tsengine.llm.common import materialize, table
 from tsengine.llm.queries import RANKS
 
 
+def _plain(docs: DataFrame) -> dict[str, str]:
+    """Names under which columns pass through a stage: those of a table may be any, the stage's own too."""
+    return {c: c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)}
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; labels come from the input folder."""
     model = quality.fit_from_tables(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    plain = _plain(docs)
+    scored = quality.score(docs.select(*[F.col(f"`{c}`").alias(p) for c, p in plain.items()]), model)
+    return scored.where("predicted = 1").select(*[F.col(p).alias(c) for c, p in plain.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +36,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat, over 100 bytes or more, what stands earlier; n_chars is
     that of the new text. A null text stays null, a text that repeats throughout becomes empty."""
-    marked = docs.withColumn("_null", F.col("text").isNull())
+    plain = _plain(docs)
+    marked = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in plain.items()], F.col("text").isNull().alias("none"))
     done = suffix_array.dedup_bytes(marked, texts=True)
-    text = F.when(~F.col("carry._null"), F.col("kept"))
-    columns = [text.alias(c) if c == "text" else
-               F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema[c].dataType)).otherwise(F.col("carry.n_chars")).alias(c) if c == "n_chars" else
-               F.col(f"carry.`{c}`").alias(c) for c in docs.columns]
-    return done.select(*columns)
+    changed = {"text": F.when(~F.col("carry.none"), F.col("kept"))}
+    if "n_chars" in plain:
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(f"carry.{plain['n_chars']}"))
+    return done.select(*[changed.get(c, F.col("doc_id") if c == "doc_id" else F.col(f"carry.{p}")).alias(c) for c, p in plain.items()])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
