@@ -6,6 +6,7 @@ by row counts and by numpy property tests in ``tests/``."""
 from __future__ import annotations
 
 import uuid
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Window
@@ -16,12 +17,14 @@ from tsengine.operators import fits
 from tsengine.operators import linear as L
 from tsengine.operators import metrics as M
 from tsengine.operators import models as MD
+from tsengine.operators import recursion as RC
 from tsengine.operators import reduce as R
 from tsengine.operators import select as SEL
 from tsengine.operators import stacking as ST
 from tsengine.operators import validate as V
 from tsengine.operators.joins import collect_model_predictions
 from tsengine.plans import bundles, fixtures
+from tsengine.plans.oracle import BARS
 from tsengine.plans.registry import register
 from tsengine.plans.sql_features import quick_features_sql
 from tsengine.session import cut_lineage, ensure_checkpoint_dir
@@ -320,6 +323,30 @@ def q_recursive(spark, d):
                                  fit.intercept, ST.quick_feature_row, 30, 30)
 
 
+def _e12_sql(steps: int = 30, n: int = 5, z: float = NormalDist().inv_cdf(0.975)) -> str:
+    fits = ", ".join(f"{{'r': regr_r2(target, {c}), 'f': '{c}', 'a': regr_intercept(target, {c}), 'b': regr_slope(target, {c}), 'k': {k + 1}}}" for k, c in enumerate(QF))
+    x = ("[list_avg(p[-5:]), list_avg(p[-10:]), list_avg(p[-20:]), p[-1] / p[-2] - 1, p[-1] / p[-6] - 1, list_aggregate(p[-10:], 'stddev_samp'), p[-2], p[-3], p[-4]]")
+    return f"""WITH RECURSIVE q AS ({quick_features_sql()}),
+ fits AS (SELECT series, unnest([{fits}]) AS m FROM q GROUP BY series),
+ tops AS (SELECT series, list({{'a': m.a, 'b': m.b, 'k': m.k}} ORDER BY m.r DESC, m.f) AS models
+   FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY m.r DESC, m.f) AS i FROM fits) WHERE i <= {n} GROUP BY series),
+ {BARS},
+ tail AS (SELECT series, max(dt) AS last, list(price ORDER BY dt)[-20:] AS p FROM bars GROUP BY series),
+ rec AS (SELECT series, last, models, 0 AS step, p, NULL::DOUBLE AS forecast, NULL::DOUBLE AS std FROM tail JOIN tops USING (series)
+   UNION ALL SELECT series, last, models, step, p[2:] || [list_avg(v)], list_avg(v), list_aggregate(v, 'stddev_pop')
+   FROM (SELECT series, last, models, step + 1 AS step, p, list_transform(models, lambda m: m.a + m.b * x[m.k]) AS v
+     FROM (SELECT *, {x} AS x FROM rec WHERE step < {steps})))
+SELECT series, step::BIGINT AS step, last + to_days(step::INTEGER) AS dt, forecast, std, forecast - {z!r} * std AS lower, forecast + {z!r} * std AS upper FROM rec WHERE step > 0"""
+
+
+@register("e12b_ensemble_forecast", _e12_sql(), exact=["series", "step", "dt"], ts=["dt"])
+def q_ensemble_forecast(spark, d):
+    """30 recursive steps of the mean of each series' five best single-feature models, with the normal
+    95 % band over the models."""
+    state = RC.tails(fixtures.bars(spark, d), ["series"], RC.QUICK_TAIL).join(RC.top_models(_quick(spark, d), ["series"], QF, "target"), "series")
+    return RC.ensemble_forecast(state, ["series"], RC.QUICK, 30)
+
+
 @register("m10_additive_forecast")
 def q_additive(spark, d):
     return MD.additive_forecast(fixtures.bars(spark, d), ["series"], "dt", "price", horizon=30)
