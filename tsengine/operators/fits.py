@@ -29,8 +29,10 @@ FIT_ERRORS = (Py4JJavaError, PySparkException)
 def fit_table(df: DataFrame, features: Sequence[str], target: str, keep: Sequence[str]) -> DataFrame:
     """``keep``, y and the feature vector ``x``, written to the shared checkpoint folder and read by
     all fits; rows without a target or with a missing feature are left out."""
-    rows = VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip").transform(df.where(F.col(target).isNotNull()))
-    data = cut_lineage(rows.select(*keep, F.col(target).cast("double").alias("y"), "x"))
+    inputs = {f"_f{i}": c for i, c in enumerate(features)}
+    named = df.where(F.col(target).isNotNull()).select(*keep, F.col(target).cast("double").alias("y"), *[F.col(c).alias(k) for k, c in inputs.items()])
+    rows = VectorAssembler(inputCols=list(inputs), outputCol="x", handleInvalid="skip").transform(named)
+    data = cut_lineage(rows.select(*keep, "y", "x"))
     n = data.count()
     return data.coalesce(max(1, math.ceil(n * len(features) / CELLS)))
 

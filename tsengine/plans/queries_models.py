@@ -9,6 +9,7 @@ import uuid
 from statistics import NormalDist
 
 import numpy as np
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -114,6 +115,24 @@ def q_wf_tree_rows(spark, d):
         F.when(F.col("model") == "random_forest", F.col("pred").between(F.col("lo"), F.col("hi"))).alias("in_range"))
 
 
+H04_SQL = f"""WITH q0 AS ({quick_features_sql()}),
+ n AS (SELECT series, dt, target AS y, price_lag_1 AS x, row_number() OVER (PARTITION BY series ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM q0),
+ b AS (SELECT *, CASE WHEN i < n - 5 * (n // 6) THEN 0 ELSE (i - (n - 5 * (n // 6))) // (n // 6) + 1 END AS blk FROM n),
+ f AS (SELECT unnest(range(5)) AS fold),
+ fits AS (SELECT fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, count(*) AS n_train FROM f JOIN b ON blk <= fold GROUP BY fold),
+ e AS (SELECT fold, n_train, count(*) AS n, avg((y - a - b * x) * (y - a - b * x)) AS mse, avg(abs(y - a - b * x)) AS mae,
+   1 - avg((y - a - b * x) * (y - a - b * x)) / var_pop(y) AS r2, sqrt(avg((y - a - b * x) * (y - a - b * x))) AS rmse
+   FROM fits JOIN b ON blk = fold + 1 GROUP BY fold, n_train)
+SELECT 'line' AS model, fold::BIGINT AS fold, n_train::BIGINT AS n_train, n::BIGINT AS n, mse, mae, r2, rmse FROM e
+UNION ALL SELECT 'line', NULL, sum(n_train)::BIGINT, sum(n)::BIGINT, avg(mse), avg(mae), avg(r2), avg(rmse) FROM e"""
+
+
+@register("h04_temporal_cv", H04_SQL, exact=["model", "fold", "n_train", "n"])
+def q_temporal_cv(spark, d):
+    """Five expanding folds with a scaler fitted on each; on one feature, least squares by SQL."""
+    return V.temporal_cv(_quick(spark, d), SW, ["price_lag_1"], "target", {"line": lambda: LinearRegression(regParam=0.0, solver="normal")}, 5)
+
+
 @register("m02_m05_holdout_linear")
 def q_holdout_linear(spark, d):
     """M01–M05 on an 80/20 temporal hold-out of every series (pooled Gram), hold-out metrics."""

@@ -6,10 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tsengine.frames import SeriesWindow
+from tsengine.operators import artefact
 from tsengine.operators import metrics as M
-from tsengine.plans import fixtures
+from tsengine.plans import bundles, fixtures
 from tsengine.plans.oracle import PREDS
 from tsengine.plans.registry import register
+from tsengine.plans.sql_features import quick_features_sql
 from tsengine.session import ensure_checkpoint_dir
 from tsengine.sources import reports
 
@@ -57,3 +60,26 @@ UNION ALL SELECT 'walk_forward_summary', 'rows', 'Traditional ML', model, r2, rm
 def q_explode_sets(spark, d):
     """Three layouts of reports in one table."""
     return reports.explode_result_sets(reports.read_result_sets(spark, _write_reports(spark, d)))
+
+
+SW = SeriesWindow("series", "dt")
+QF = ["ma_5", "ma_10", "ma_20", "price_change", "price_change_5", "volatility", "price_lag_1", "price_lag_2", "price_lag_3"]
+_EACH = ", ".join(f"{{'r': regr_r2(target, {c}), 'f': '{c}', 'a': regr_intercept(target, {c}), 'b': regr_slope(target, {c})}}" for c in QF)
+
+
+@register("s19_artefact_roundtrip", f"""WITH q0 AS ({quick_features_sql()}),
+ q AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM q0),
+ best AS (SELECT m FROM (SELECT unnest([{_EACH}]) AS m FROM q WHERE i < floor(n * 0.8)) ORDER BY m.r DESC, m.f LIMIT 1)
+SELECT series, dt, m.f AS feature, m.a + m.b * CASE m.f {' '.join(f"WHEN '{c}' THEN {c}" for c in QF)} END AS pred, TRUE AS same FROM q, best WHERE i >= floor(n * 0.8)""",
+          exact=["series", "dt", "feature", "same"], ts=["dt"])
+def q_artefact(spark, d):
+    """Scaler, selection of the best feature of nine and least squares, fitted on the older 80 % of each series,
+    saved and loaded; the loaded model's predictions, and whether they are the fitted one's to the bit."""
+    q = bundles.quick_features(fixtures.bars(spark, d), SW).select("*", SW.row_idx().alias("i"), SW.n_rows().alias("n"))
+    cut = F.floor(F.col("n") * 0.8)
+    fitted = artefact.LinearEstimator(featureCols=QF, labelCol="target", predictionCol="fitted", solver="linear_regression", k=1).fit(q.where(F.col("i") < cut))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
+    fitted.write().save(path)
+    loaded = artefact.LinearArtefact.load(path)
+    out = loaded.transform(fitted.transform(q.where(F.col("i") >= cut)), {loaded.predictionCol: "pred"})
+    return out.select("series", "dt", F.lit(loaded.selected()[0]).alias("feature"), "pred", F.col("pred").eqNullSafe(F.col("fitted")).alias("same"))
