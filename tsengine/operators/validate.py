@@ -172,29 +172,35 @@ def with_expanding_blocks(df: DataFrame, sw: SeriesWindow, k: int) -> DataFrame:
     return t.withColumn("_blk", blk.cast("int")).drop("_n")
 
 
+def cv_table(df: DataFrame, sw: SeriesWindow, features: Sequence[str], target: str, k: int) -> tuple[DataFrame, list[int], dict[int, int]]:
+    """(rows in blocks, as :func:`fits.fit_table` writes them; folds with training and test rows; training rows of each fold)."""
+    data = fits.fit_table(with_expanding_blocks(df, sw, k), features, target, [*sw.series_cols, "row_idx", "_blk"])
+    sizes = {r["_blk"]: r["n"] for r in data.groupBy("_blk").agg(F.count(F.lit(1)).alias("n")).collect()}  # k + 1 rows
+    before = {f: sum(n for b, n in sizes.items() if b <= f) for f in range(k)}
+    return data, [f for f in range(k) if sizes.get(f + 1) and before[f]], before
+
+
+def fold_score(data: DataFrame, estimator, fold: int) -> tuple:
+    """n, mse, mae, r2, rmse of one fold: scaler and estimator fitted on the blocks up to the fold's, scored on the next."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler
+    scaler = StandardScaler(inputCol="x", outputCol="scaled", withMean=True, withStd=True)
+    estimator = estimator.setFeaturesCol("scaled").setLabelCol("y").setPredictionCol("pred")
+    model = Pipeline(stages=[scaler, estimator]).fit(data.where(F.col("_blk") <= fold))
+    scored = model.transform(data.where(F.col("_blk") == fold + 1))
+    return tuple(M.regression_metrics(scored.withColumn("one", F.lit(1)), ["one"]).drop("one").first())
+
+
 def temporal_cv(df: DataFrame, sw: SeriesWindow, features: Sequence[str], target: str, estimators: dict, k: int = 5,
                 parallel: int = fits.PARALLEL) -> DataFrame:
     """Expanding-window cross-validation of any Spark ML estimators (name -> factory). For each fold a
     scaler (mean and deviation) is fitted on the training rows, pooled over series, and both sides go
     through it; all (fold, estimator) fits run side by side. model, fold, n_train, n, mse, mae, r2, rmse of every
     fold, and with a null fold the means over folds: the score of a search."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler
     spark = df.sparkSession
-    data = fits.fit_table(with_expanding_blocks(df, sw, k), features, target, [*sw.series_cols, "row_idx", "_blk"])
-    sizes = {r["_blk"]: r["n"] for r in data.groupBy("_blk").agg(F.count(F.lit(1)).alias("n")).collect()}  # k + 1 rows
-    folds = [f for f in range(k) if sizes.get(f + 1) and any(sizes.get(b) for b in range(f + 1))]
-
-    def run(name: str, fold: int) -> tuple:
-        estimator = estimators[name]().setFeaturesCol("scaled").setLabelCol("y").setPredictionCol("pred")
-        scaler = StandardScaler(inputCol="x", outputCol="scaled", withMean=True, withStd=True)
-        model = Pipeline(stages=[scaler, estimator]).fit(data.where(F.col("_blk") <= fold))
-        scored = model.transform(data.where(F.col("_blk") == fold + 1))
-        # one row: the fold's metrics
-        return tuple(M.regression_metrics(scored.withColumn("one", F.lit(1)), ["one"]).drop("one").first())
-
-    done = fits.together(spark, {(m, f): (lambda m=m, f=f: run(m, f)) for f in reversed(folds) for m in estimators}, parallel)
-    rows = [(m, f, sum(n for b, n in sizes.items() if b <= f), *v) for (m, f), v in done.items()]
+    data, folds, sizes = cv_table(df, sw, features, target, k)
+    jobs = {(m, f): (lambda m=m, f=f: fold_score(data, estimators[m](), f)) for f in reversed(folds) for m in estimators}
+    rows = [(m, f, sizes[f], *v) for (m, f), v in fits.together(spark, jobs, parallel).items()]
     each = spark.createDataFrame(rows, "model string, fold long, n_train long, n long, mse double, mae double, r2 double, rmse double")
     means = each.groupBy("model").agg(F.lit(None).cast("long").alias("fold"), F.sum("n_train").alias("n_train"), F.sum("n").alias("n"),
                                       *[F.avg(c).alias(c) for c in ("mse", "mae", "r2", "rmse")])

@@ -20,6 +20,7 @@ from tsengine.operators import metrics as M
 from tsengine.operators import models as MD
 from tsengine.operators import recursion as RC
 from tsengine.operators import reduce as R
+from tsengine.operators import search as SR
 from tsengine.operators import select as SEL
 from tsengine.operators import stacking as ST
 from tsengine.operators import validate as V
@@ -227,6 +228,18 @@ def q_search(spark, d):
     return spark.createDataFrame(rows, "trial string, solver string, alpha double, l1_ratio double, cv_mse double")
 
 
+#: The registered search draws small trees from the same kinds of ranges: the reference's own take a fit of minutes.
+SMALL = {"random_forest": {"numTrees": (10, 40), "maxDepth": (3, 8), "minInstancesPerNode": (1, 10), "featureSubsetStrategy": ["sqrt", "log2", "all"]},
+         "gradient_boosting": {"maxIter": (5, 20), "maxDepth": (2, 4), "stepSize": (0.01, 0.3), "subsamplingRate": (0.6, 1.0), "minInstancesPerNode": (1, 10)}}
+
+
+@register("m12b_tree_search")
+def q_tree_search(spark, d):
+    """M12 for trees and boosters: nine trials of each kind over three expanding folds; a third of them goes on after each."""
+    trials = {t: v for kind, ranges in SMALL.items() for t, v in SR.draw(kind, 9, 42, ranges).items()}
+    return SR.successive_halving(_quick(spark, d), SW, QF, "target", trials, 3)
+
+
 @register("f11_feature_count_search")
 def q_count_search(spark, d):
     """F-regression ranking once, then CV MSE of ridge on the top-k features for
