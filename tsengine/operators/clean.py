@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NumericType
 
 from tsengine.frames import SeriesWindow
+from tsengine.operators.rank import exact_quantiles
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -80,7 +81,7 @@ def series_stats(df: DataFrame, sw: SeriesWindow, aggs: dict[str, Column]) -> Da
 def fill_median(df: DataFrame, sw: SeriesWindow, cols: Sequence[str]) -> DataFrame:
     """NULLs take the series median (exact, linear interpolation) of their column."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    med = series_stats(df, sw, {f"_med_{c}": F.percentile(c, 0.5) for c in cols})
+    med = exact_quantiles(df, sw.series_cols, cols, [0.5]).select(*sw.series_cols, *[F.col(f"_q_{c}")[0].alias(f"_med_{c}") for c in cols])
     j = df.join(med, sw.series_cols, "left")
 
     def fill(c):

@@ -116,11 +116,18 @@ def random_split(df: DataFrame, key_cols: Sequence[str], test_frac: float = 0.2,
     return df.withColumn("is_test", h < int(test_frac * 10000))
 
 
+BUCKET = 64  # positions of a bucket, in which rows and folds meet
+
+
 def assign(df: DataFrame, folds: DataFrame, sw: SeriesWindow, role: str = "test", idx: str = "row_idx") -> DataFrame:
     """Rows of ``df`` (with a row position ``idx``) joined to the folds whose ``role`` range
-    holds them: equi join on the series key + range filter (a row meets only its series' folds)."""
+    holds them. A fold is listed in the buckets of positions that its range meets, and rows join on (series,
+    bucket): a row sees the one or two folds near it, not all of its series, and a long series is
+    dealt over as many keys as it has buckets."""
     lo, hi = f"{role}_from", f"{role}_to"
-    f = folds.select(*[F.col(c).alias(f"_f_{c}") for c in sw.series_cols], "fold", lo, hi)
+    f = folds.where(F.col(hi) > F.col(lo)).select(
+        *[F.col(c).alias(f"_f_{c}") for c in sw.series_cols], "fold", F.col(lo).alias("_f_lo"), F.col(hi).alias("_f_hi"),
+        F.explode(F.sequence(F.floor(F.col(lo) / BUCKET), F.floor((F.col(hi) - 1) / BUCKET))).alias("_f_bucket"))
     cond = [F.col(c) == F.col(f"_f_{c}") for c in sw.series_cols]
-    cond += [F.col(idx) >= F.col(lo), F.col(idx) < F.col(hi)]
-    return df.join(f, cond, "inner").drop(*[f"_f_{c}" for c in sw.series_cols], lo, hi)
+    cond += [F.floor(F.col(idx) / BUCKET) == F.col("_f_bucket"), F.col(idx) >= F.col("_f_lo"), F.col(idx) < F.col("_f_hi")]
+    return df.join(f, cond, "inner").drop(*[f"_f_{c}" for c in sw.series_cols], "_f_lo", "_f_hi", "_f_bucket")

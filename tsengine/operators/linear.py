@@ -1,11 +1,11 @@
 """Linear model family from Gram blocks (X3): OLS, ridge, lasso, elastic net, Bayesian ridge.
 
 One data pass: every task folds its rows into per-block Gram matrices of Z = [1, x, y]
-(``mapInPandas`` partial sums, numpy inside the task), a ``groupBy(block)`` adds the partial arrays
-element by element — the data never leaves the executors, only (blocks x (d+2)^2) numbers reach the driver.
-A fold's training Gram is a prefix sum (expanding) or a difference of prefix sums (rolling)
-over blocks; every alpha of every solver then costs a d x d solve on the driver. Scoring is one
-more pass: the coefficient table (folds x d numbers) joins back on the fold key.
+(``mapInPandas`` partial sums, numpy inside the task); the partial matrices of a block are added in two
+salted steps, so one pooled block of many tasks is not one task's. The Grams of series are a table: a fold's
+training Gram is a running sum (expanding) or that of the last blocks (rolling), solved where the series'
+blocks are, by ``mapInPandas``, for every model. Scoring is one more pass: the coefficient table (folds x d
+numbers) joins back on the fold key. Only pooled Grams, whose number is that of the folds, reach the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+SALTS = 32   # first step of adding the Grams of one block
+HELD = 64    # Grams of a task at a time
+
+
 @dataclass
 class Gram:
     """Sufficient statistics of [1, x_1..x_d, y] over a row set (G = Z'Z)."""
@@ -48,49 +52,86 @@ class Gram:
         return Sxx, sxy, syy, xbar, ybar
 
 
-def gram_blocks(df: DataFrame, features: Sequence[str], target: str, block_cols: Sequence[str],
-                center: dict[str, float] | None = None) -> dict[tuple, Gram]:
-    """Per-block Gram matrices of [1, x - c, y - c] (``center``: optional shift per column that
-    keeps the sums small; results are shift-invariant after centring)."""
+def _key(values: tuple) -> tuple:
+    """Key of a row as pandas gives it: a missing number is not equal to itself there."""
+    return tuple(None if v != v else v for v in values)
+
+
+def _added(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sum of the Grams of equal ``keys``, streamed in the tasks that the keys are dealt to."""
+    def run(it):
+        last = total = None
+        out: list = []
+        for pdf in it:
+            for row in pdf.itertuples(index=False, name=None):
+                k, g = _key(row[:-1]), np.frombuffer(row[-1])
+                if k != last:
+                    if last is not None:
+                        out.append((*last, total.tobytes()))
+                    last, total = k, g.copy()
+                else:
+                    total += g
+            if len(out) > 64:
+                yield pd.DataFrame(out, columns=[*keys, "_gram"])
+                out = []
+        if last is not None:
+            out.append((*last, total.tobytes()))
+        if out:
+            yield pd.DataFrame(out, columns=[*keys, "_gram"])
+
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("_gram", T.BinaryType())])
+    return rows.select(*keys, "_gram").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def gram_table(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str],
+               center: dict[str, float] | None = None) -> DataFrame:
+    """keys and ``_gram`` (the whole matrix of [1, x - c, y - c], row by row) of each block of rows;
+    rows with a missing value are left out. ``center``: optional shift per column that keeps the
+    sums small; results are shift-invariant after centring."""
     cols = [*features, target]
     center = center or {}
     d2 = len(cols) + 1
-    iu = np.triu_indices(d2)
-    keys = list(block_cols)
-    key_fields = [f for f in df.schema.fields if f.name in keys]
-    out_schema = T.StructType([*key_fields, T.StructField("_gram", T.ArrayType(T.DoubleType()))])
+    keys = list(keys)
+    fields = [df.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField("_salt", T.IntegerType()), T.StructField("_gram", T.BinaryType())])
     shifts = np.array([center.get(c, 0.0) for c in cols])
 
     def part(it):
+        from pyspark import TaskContext
+        salt = TaskContext.get().partitionId() % SALTS
         acc: dict[tuple, np.ndarray] = {}
         for pdf in it:
             pdf = pdf.dropna(subset=cols)
             if pdf.empty:
                 continue
-            for k, g in pdf.groupby(keys, sort=False):
+            for k, g in pdf.groupby(keys, sort=False, dropna=False):
                 k = k if isinstance(k, tuple) else (k,)
                 z = np.empty((len(g), d2))
                 z[:, 0] = 1.0
                 z[:, 1:] = g[cols].to_numpy(dtype=float) - shifts
                 m = z.T @ z
                 acc[k] = acc[k] + m if k in acc else m
+            if len(acc) > HELD:  # a task with many blocks does not gather them all
+                yield pd.DataFrame([(*k, salt, m.tobytes()) for k, m in acc.items()], columns=[*keys, "_salt", "_gram"])
+                acc = {}
         if acc:
-            yield pd.DataFrame([(*k, m[iu].tolist()) for k, m in acc.items()], columns=[*keys, "_gram"])
-
-    sel = df.select(*keys, *cols)
-    partial = sel.mapInPandas(part, out_schema)
-    # at most one partial array per (task, block): merge element-wise
-    size = len(iu[0])
-    zero = F.array_repeat(F.lit(0.0), size)
-    merged = partial.groupBy(*keys).agg(F.aggregate(F.collect_list("_gram"), zero,
-                                                    lambda a, x: F.zip_with(a, x, lambda p, q: p + q)).alias("_gram"))
-    blocks: dict[tuple, Gram] = {}
-    for r in merged.collect():  # one row per block: (d+2)(d+3)/2 numbers each, never data rows
-        m = np.zeros((d2, d2))
-        m[iu] = r["_gram"]
-        m = m + np.triu(m, 1).T
-        blocks[tuple(r[c] for c in keys)] = Gram(m)
-    return blocks
+            yield pd.DataFrame([(*k, salt, m.tobytes()) for k, m in acc.items()], columns=[*keys, "_salt", "_gram"])
+
+    partial = df.select(*keys, *cols).mapInPandas(part, schema)
+    return _added(_added(partial, [*keys, "_salt"]).drop("_salt"), keys)
+
+
+def as_gram(raw: bytes) -> Gram:
+    flat = np.frombuffer(raw)
+    d2 = int(round(len(flat) ** 0.5))
+    return Gram(flat.reshape(d2, d2).copy())
+
+
+def gram_blocks(df: DataFrame, features: Sequence[str], target: str, block_cols: Sequence[str],
+                center: dict[str, float] | None = None) -> dict[tuple, Gram]:
+    """:func:`gram_table` on the driver: for pooled blocks, whose number is that of the folds."""
+    keys = list(block_cols)
+    return {tuple(r[c] for c in keys): as_gram(r["_gram"]) for r in gram_table(df, features, target, keys, center).collect()}
 
 
 def column_means(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
@@ -103,10 +144,11 @@ def column_means(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
 class LinearFit:
     coef: np.ndarray
     intercept: float
+    converged: bool = True
 
     def shifted(self, center: np.ndarray, y_shift: float) -> LinearFit:
         """Coefficients for the original (unshifted) columns."""
-        return LinearFit(self.coef, self.intercept + y_shift - float(self.coef @ center))
+        return LinearFit(self.coef, self.intercept + y_shift - float(self.coef @ center), self.converged)
 
 
 def solve_ridge(g: Gram, alpha: float) -> LinearFit:
@@ -147,6 +189,8 @@ def solve_elastic_net(g: Gram, alpha: float, l1_ratio: float = 1.0, max_iter: in
             b[j] = new
         if delta <= tol * max(1.0, np.abs(b).max()):
             break
+    else:
+        return LinearFit(b, float(ybar - xbar @ b), False)
     return LinearFit(b, float(ybar - xbar @ b))
 
 
@@ -184,7 +228,7 @@ def solve_elastic_net_batch(gs: Sequence[Gram], alpha, l1_ratio=1.0, max_iter: i
         active = delta > tol * np.maximum(1.0, np.abs(B).max(axis=1))
         if not active.any():
             break
-    return [LinearFit(B[p], float(ybar[p] - xbar[p] @ B[p])) for p in range(P)]
+    return [LinearFit(B[p], float(ybar[p] - xbar[p] @ B[p]), not active[p]) for p in range(P)]
 
 
 def standardized(g: Gram) -> tuple[Gram, np.ndarray]:
@@ -208,7 +252,7 @@ def solve_many(solver: str, gs: Sequence[Gram], params, standardize: bool = Fals
         fits = solve_many(solver, [p[0] for p in pairs], params)
         out = []
         for (g, s), f in zip(pairs, fits):
-            out.append(LinearFit(f.coef / s, f.intercept))
+            out.append(LinearFit(f.coef / s, f.intercept, f.converged))
         return out
     plist = list(params) if isinstance(params, (list, tuple)) else [params] * len(gs)
     if solver == "lasso":
@@ -254,27 +298,97 @@ SOLVERS = {
 
 
 # ---- fold-blocked evaluation ------------------------------------------------------------------------
-def fold_grams(blocks: dict[tuple, Gram], group_keys: int, n_folds_of, expanding: bool = True,
-               window_blocks: int | None = None) -> dict[tuple, Gram]:
-    """Training Gram of fold f = blocks 0..f of its group (expanding) or the last
-    ``window_blocks`` of them (rolling), from prefix sums."""
-    by_group: dict[tuple, dict[int, Gram]] = {}
-    for k, g in blocks.items():
-        by_group.setdefault(k[:group_keys], {})[int(k[group_keys])] = g
-    out = {}
-    for grp, bl in by_group.items():
-        nb = max(bl) + 1
-        d2 = next(iter(bl.values())).G.shape[0]
-        prefix = [Gram(np.zeros((d2, d2)))]
-        for b in range(nb):
-            prefix.append(prefix[-1] + bl.get(b, Gram(np.zeros((d2, d2)))))
-        for f in range(n_folds_of(grp)):
-            hi = f + 1
-            lo = 0 if expanding or window_blocks is None else max(0, hi - window_blocks)
-            out[(*grp, f)] = prefix[hi] - prefix[lo]
+FITS = "model string, n long, intercept double, coef array<double>, converged boolean, error string"
+
+
+def _fit_rows(grams: Sequence[Gram], models: dict[str, tuple[str, dict]], shift: np.ndarray, y_shift: float) -> list[list[tuple]]:
+    """Rows of ``FITS`` for each Gram: a model that cannot be fitted has a reason instead of numbers."""
+    out: list[list[tuple]] = [[] for _ in grams]
+    good = [i for i, g in enumerate(grams) if g.n >= 2]
+    for name, (solver, params) in models.items():
+        for i, g in enumerate(grams):
+            if g.n < 2:
+                out[i].append((name, int(g.n), None, None, False, "fewer than two training rows"))
+        try:
+            fits = solve_many(solver, [grams[i] for i in good], params)
+        except np.linalg.LinAlgError:
+            fits = []
+            for i in good:  # one by one: only the folds at fault fail
+                try:
+                    fits.append(solve_many(solver, [grams[i]], params)[0])
+                except np.linalg.LinAlgError as e:
+                    fits.append(f"LinAlgError: {e}")
+        for i, fit in zip(good, fits, strict=True):
+            if isinstance(fit, str):
+                out[i].append((name, int(grams[i].n), None, None, False, fit))
+            else:
+                fit = fit.shifted(shift, y_shift)
+                out[i].append((name, int(grams[i].n), fit.intercept, fit.coef.tolist(), bool(fit.converged), None))
     return out
 
 
+def fold_fits(grams: DataFrame, group: Sequence[str], block: str, last_fold: str, models: dict[str, tuple[str, dict]], features: Sequence[str],
+              target: str, center: dict[str, float], window_blocks: int | None = None) -> DataFrame:
+    """group, fold and ``FITS`` of every fold 0 .. ``last_fold`` (a column of ``grams``, constant in a group) of every
+    group. Fold f trains on the blocks 0 .. f, or on the last ``window_blocks`` of them. Blocks arrive in order, so the
+    state of a group is one running sum (or the blocks of the window) and the ``HELD`` folds solved together."""
+    shift, y_shift = np.array([center[c] for c in features]), center[target]
+    d2 = len(features) + 2
+    group = list(group)
+    names = [*group, "fold", *[c.split()[0] for c in FITS.split(", ")]]
+
+    def run(it):
+        key = end = None
+        total, window, fold, held, out = np.zeros((d2, d2)), [], 0, [], []
+
+        def solve():
+            for (f, _), rows in zip(held, _fit_rows([Gram(g) for _, g in held], models, shift, y_shift), strict=True):
+                out.extend((*key, f, *r) for r in rows)
+            held.clear()
+
+        def upto(f):
+            """Folds before ``f`` have all their blocks."""
+            nonlocal fold
+            while fold < f and fold <= end:
+                train = total if window_blocks is None else sum((g for b, g in window if b > fold - window_blocks), np.zeros((d2, d2)))
+                held.append((fold, np.array(train)))
+                fold += 1
+                if len(held) >= HELD:
+                    solve()
+
+        for pdf in it:
+            for row in pdf.itertuples(index=False, name=None):
+                k, blk, last, g = _key(row[:len(group)]), int(row[-3]), row[-2], np.frombuffer(row[-1]).reshape(d2, d2)
+                if k != key:
+                    if key is not None:
+                        upto(end + 1)
+                        solve()
+                    key, end, fold, window, total = k, -1 if pd.isna(last) else int(last), 0, [], np.zeros((d2, d2))
+                upto(blk)
+                if window_blocks is None:
+                    total = total + g
+                else:
+                    window = [(b, w) for b, w in window if b > blk - window_blocks] + [(blk, g)]
+            if out:
+                yield pd.DataFrame(out, columns=names)
+                out.clear()
+        if key is not None:
+            upto(end + 1)
+            solve()
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    schema = ", ".join([*(f"`{k}` {grams.schema[k].dataType.simpleString()}" for k in group), "fold long", FITS])
+    return grams.select(*group, block, last_fold, "_gram").repartition(*group).sortWithinPartitions(*group, block).mapInPandas(run, schema)
+
+
+def group_fits(grams: DataFrame, group: Sequence[str], models: dict[str, tuple[str, dict]], features: Sequence[str], target: str,
+               center: dict[str, float]) -> DataFrame:
+    """group and ``FITS`` of each group's one Gram."""
+    one = grams.withColumns({"_blk": F.lit(0), "_last": F.lit(0).cast("long")})
+    return fold_fits(one, group, "_blk", "_last", models, features, target, center).drop("fold")
+
+
 def coefficient_table(spark, fits: dict[tuple, LinearFit], key_names: Sequence[str], features: Sequence[str]) -> DataFrame:
     """(keys..., intercept, coef array) — folds x models rows (small: never data rows). The
     coefficients stay one array column so the scoring join stays narrow."""
@@ -294,10 +408,10 @@ def coefficient_table(spark, fits: dict[tuple, LinearFit], key_names: Sequence[s
 
 
 def score(df: DataFrame, coefs: DataFrame, join_keys: Sequence[str], features: Sequence[str],
-          out: str = "pred") -> DataFrame:
+          out: str = "pred", how: str = "inner") -> DataFrame:
     """One pass: join rows to their fold's coefficients (a table of folds x models rows) and
     evaluate intercept + sum b_j x_j (``zip_with`` of the coefficient array and the features)."""
-    j = df.join(coefs, list(join_keys), "inner")
+    j = df.join(coefs, list(join_keys), how)
     x = F.array(*[F.col(c).cast("double") for c in features])
     dot = F.aggregate(F.zip_with(F.col("coef"), x, lambda b, v: b * v), F.lit(0.0), lambda acc, t: acc + t)
     extra = [c for c in coefs.columns if c not in join_keys and c not in ("intercept", "coef")]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsengine.operators import linear as L
+from tsengine.session import cut_lineage
 
 # fixed values: the reference's model configurations
 RF_PARAMS = {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt", "seed": 42}
@@ -124,16 +125,12 @@ def additive_forecast(df: DataFrame, keys: Sequence[str], time_col: str = "dt",
     t0 = float((np.datetime64(rng["a"]) - epoch) / np.timedelta64(1, "D"))
     t1 = float((np.datetime64(rng["b"]) - epoch) / np.timedelta64(1, "D"))
     X, feats = additive_design(df, time_col, t0=t0, t1=t1)
-    blocks = L.gram_blocks(X, feats, y, list(keys))
-    fits = {k: L.solve_ridge(g, alpha) for k, g in blocks.items()}
-    resid = {}
-    for k, g in blocks.items():
-        fit = fits[k]
-        Sxx, sxy, syy, _, _ = g.centered()
-        rss = syy - 2 * fit.coef @ sxy + fit.coef @ Sxx @ fit.coef
-        resid[k] = float(np.sqrt(max(rss, 0.0) / max(g.n - 1, 1.0)))
-    coefs = L.coefficient_table(df.sparkSession, fits, list(keys), feats)
-    sd = df.sparkSession.createDataFrame([(*k, v) for k, v in resid.items()], [*keys, "resid_std"])
+    zero = dict.fromkeys([*feats, y], 0.0)
+    coefs = cut_lineage(L.group_fits(L.gram_table(X, feats, y, list(keys)), keys, {"trend": ("ridge", {"alpha": alpha})}, feats, y, zero)
+                        .select(*keys, "intercept", "coef"))
+    e = F.col(y) - F.col("yhat")
+    sd = L.score(X, coefs, list(keys), feats, "yhat").groupBy(*keys).agg(
+        F.sqrt(F.sum(e * e) / F.greatest(F.count(e) - 1, F.lit(1))).alias("resid_std"))
     last = df.groupBy(*keys).agg(F.max(time_col).alias("_last"))
     fut = last.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"), "_last") \
         .select(*keys, (F.col("_last") + F.make_interval(days=F.col("step"))).alias(time_col))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsengine.functions.core import safe_div
+from tsengine.operators.rank import exact_quantiles
 
 
 def _fit(df: DataFrame, by: Sequence[str], aggs: dict) -> DataFrame:
@@ -65,8 +66,7 @@ def apply_minmax(df: DataFrame, stats: DataFrame, cols: Sequence[str], by: Seque
 
 def fit_robust(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """F05 fit: exact quartiles and median (linear interpolation, as numpy)."""
-    aggs = {f"_q_{c}": F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in cols}
-    return _fit(df, by, aggs)
+    return exact_quantiles(df, by, cols, [0.25, 0.5, 0.75])
 
 
 def apply_robust(df: DataFrame, stats: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

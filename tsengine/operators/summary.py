@@ -1,47 +1,58 @@
 """Per-series summaries.
 
-Each summary is ONE window stage (positions from the end of the series as row frames / lags)
-followed by ONE ``groupBy(series)`` whose ``max_by(..., time)`` picks the last row — partial
-aggregation map-side, no second sort.
+What a summary needs of the end of a series is found by a rank limit, which drops the rows before it
+in every task ahead of the shuffle; lags and frames then see a few rows a series, and ONE ``groupBy(series)``
+whose ``max_by(..., time)`` picks the last row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsengine.frames import SeriesWindow
 from tsengine.functions.core import safe_div
+from tsengine.operators.rank import exact_quantiles
 
 
 def _last(sw: SeriesWindow, c: str):
     return F.max_by(F.col(c), F.col(sw.time_col))
 
 
+def _newest(df: DataFrame, sw: SeriesWindow, k: int) -> DataFrame:
+    """The last ``k`` rows of each series."""
+    back = Window.partitionBy(*sw.series_cols).orderBy(*[F.col(c).desc() for c in sw.order_cols])
+    return df.withColumn("_newest", F.row_number().over(back)).where(F.col("_newest") <= k).drop("_newest")
+
+
 def price_summary(df: DataFrame, sw: SeriesWindow, price: str = "price") -> DataFrame:
     """Rows, valid rows, first/last time, current, mean, median, std (ddof 1), min, max,
     volatility % = 100 std / mean (over the non-null prices)."""
     valid = F.col(price).isNotNull()
-    return df.groupBy(*sw.series_cols).agg(
+    median = exact_quantiles(df, sw.series_cols, [price], [0.5])
+    stats = df.groupBy(*sw.series_cols).agg(
         F.count(F.lit(1)).alias("total_records"),
         F.count(price).alias("valid_price_records"),
         F.min(sw.time_col).alias("start_dt"), F.max(sw.time_col).alias("end_dt"),
         F.max_by(F.col(price), F.when(valid, F.col(sw.time_col))).alias("current"),
-        F.avg(price).alias("mean"), F.percentile(price, 0.5).alias("median"),
+        F.avg(price).alias("mean"),
         F.stddev_samp(price).alias("std"), F.min(price).alias("min"), F.max(price).alias("max"),
         (F.lit(100.0) * safe_div(F.stddev_samp(price), F.avg(price))).alias("volatility_percent"))
+    return stats.join(median, list(sw.series_cols)).select(
+        *sw.series_cols, "total_records", "valid_price_records", "start_dt", "end_dt", "current", "mean", F.col(f"_q_{price}")[0].alias("median"),
+        "std", "min", "max", "volatility_percent")
 
 
-def _valid_positions(df: DataFrame, sw: SeriesWindow, price: str, cols: dict) -> DataFrame:
-    v = df.filter(F.col(price).isNotNull())
+def _valid_positions(df: DataFrame, sw: SeriesWindow, price: str, cols: dict, k: int) -> DataFrame:
+    v = _newest(df.filter(F.col(price).isNotNull()), sw, k)
     return v.select(*sw.series_cols, sw.time_col, price, *[c.alias(n) for n, c in cols.items()])
 
 
 def recent_change(df: DataFrame, sw: SeriesWindow, price: str = "price", periods: Sequence[int] = (7, 30)) -> DataFrame:
     """Last - value k rows back (needs k + 1 valid rows) and the change in %."""
-    st = _valid_positions(df, sw, price, {f"_lag{k}": F.lag(price, k).over(sw.w) for k in periods})
+    st = _valid_positions(df, sw, price, {f"_lag{k}": F.lag(price, k).over(sw.w) for k in periods}, max(periods) + 1)
     aggs = []
     for k in periods:
         last = F.max_by(F.struct(F.col(price).alias("p"), F.col(f"_lag{k}").alias("b")), F.col(sw.time_col))
@@ -58,7 +69,7 @@ def recent_change(df: DataFrame, sw: SeriesWindow, price: str = "price", periods
 def tail_averages(df: DataFrame, sw: SeriesWindow, price: str = "price", ks: Sequence[int] = (5, 10, 20)) -> DataFrame:
     """Mean of the last k valid prices; NULL when the series has fewer than k (all NULL
     below the first k)."""
-    st = _valid_positions(df, sw, price, {f"_m{k}": F.avg(price).over(sw.incl(k)) for k in ks})
+    st = _valid_positions(df, sw, price, {f"_m{k}": F.avg(price).over(sw.incl(k)) for k in ks}, max(ks))
     g = st.groupBy(*sw.series_cols).agg(F.count(F.lit(1)).alias("_n"),
                                         *[_last(sw, f"_m{k}").alias(f"_t{k}") for k in ks])
     return g.select(*sw.series_cols, *[F.when(F.col("_n") >= max(k, ks[0]), F.col(f"_t{k}")).alias(f"sma_{k}")
@@ -68,7 +79,7 @@ def tail_averages(df: DataFrame, sw: SeriesWindow, price: str = "price", ks: Seq
 def latest_with_change(df: DataFrame, sw: SeriesWindow, price: str = "price") -> DataFrame:
     """Last row (OHLCV) with change and % vs the previous row (0 for a single row or a
     previous price of 0)."""
-    st = df.select("*", F.lag(price, 1).over(sw.w).alias("_prev"))
+    st = _newest(df, sw, 2).select("*", F.lag(price, 1).over(sw.w).alias("_prev"))
     cols = [c for c in df.columns if c not in sw.series_cols]
     last = F.max_by(F.struct(*[F.col(c) for c in cols + ["_prev"]]), F.col(sw.time_col)).alias("_l")
     g = st.groupBy(*sw.series_cols).agg(last)
@@ -82,7 +93,7 @@ def latest_with_change(df: DataFrame, sw: SeriesWindow, price: str = "price") ->
 def weekly_change_trend(df: DataFrame, sw: SeriesWindow, price: str = "price", back: int = 6) -> DataFrame:
     """100 (last - row 7th from the end) / that row, rounded to 2; trend up/down. With fewer
     than 7 rows the reference compares with itself (change 0, 'down')."""
-    st = df.select(*sw.series_cols, sw.time_col, price, F.lag(price, back).over(sw.w).alias("_b"))
+    st = _newest(df, sw, back + 1).select(*sw.series_cols, sw.time_col, price, F.lag(price, back).over(sw.w).alias("_b"))
     g = st.groupBy(*sw.series_cols).agg(
         F.max_by(F.struct(F.col(price).alias("p"), F.col("_b").alias("b")), F.col(sw.time_col)).alias("_l"))
     p, b = F.col("_l.p"), F.coalesce(F.col("_l.b"), F.col("_l.p"))

@@ -34,28 +34,34 @@ def with_walk_forward_blocks(df: DataFrame, sw: SeriesWindow, initial: int, step
 def walk_forward_linear(df: DataFrame, sw: SeriesWindow, features: Sequence[str], target: str,
                         models: dict[str, tuple[str, dict]], initial: int = 252, step: int = 21,
                         horizon: int = 1, expanding: bool = True, window_blocks: int | None = None) -> DataFrame:
-    """Predictions (keys, dt, row_idx, fold, model, y, pred) of every linear model on every
-    walk-forward test row. ``models``: name -> (solver, params) with solver in
-    :data:`linear.SOLVERS`."""
-    spark = df.sparkSession
+    """Predictions (keys, dt, row_idx, fold, model, y, pred, error, converged) of every linear model on
+    every walk-forward test row. ``models``: name -> (solver, params) with solver in
+    :data:`linear.SOLVERS`. Folds are fitted where their series' Grams are. The rows of a fold without a fit stay,
+    with a null ``pred`` and the reason in ``error``; ``converged`` is false where an iteration reached its limit."""
     # the feature table is read by several jobs (means, Grams, scoring): cut its lineage once into
     # the shared checkpoint folder (reliable: survives executor loss; later plans stay small)
     b = cut_lineage(with_walk_forward_blocks(df, sw, initial, step, horizon))
     means = L.column_means(b, [*features, target])
-    blocks = L.gram_blocks(b, features, target, [*sw.series_cols, "_blk"], means)
-    nf = {tuple(r[c] for c in sw.series_cols): int(r["nf"] or 0) for r in
-          b.groupBy(*sw.series_cols).agg((F.max("fold") + 1).alias("nf")).collect()}  # one row per series
-    grams = L.fold_grams(blocks, len(sw.series_cols), lambda g: nf.get(g, 0), expanding, window_blocks)
-    shift = np.array([means[c] for c in features])
-    fits = {}
-    keys = [k for k in sorted(grams) if grams[k].n >= 2]
-    for name, (solver, params) in models.items():
-        for key, raw in zip(keys, L.solve_many(solver, [grams[k] for k in keys], params)):
-            fits[(*key, name)] = raw.shifted(shift, means[target])
-    coefs = L.coefficient_table(spark, fits, [*sw.series_cols, "fold", "model"], features)
+    last = b.groupBy(*sw.series_cols).agg(F.max("fold").alias("_last"))
+    grams = L.gram_table(b, features, target, [*sw.series_cols, "_blk"], means).join(last, list(sw.series_cols))
+    coefs = L.fold_fits(grams, sw.series_cols, "_blk", "_last", models, features, target, means, None if expanding else window_blocks)
     test = b.filter(F.col("fold").isNotNull()).select(*sw.series_cols, sw.time_col, "row_idx", "fold",
                                                       F.col(target).alias("y"), *features)
-    scored = L.score(test, coefs, [*sw.series_cols, "fold"], features)
+    test = test.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    scored = L.score(test, cut_lineage(coefs), [*sw.series_cols, "fold", "model"], features, how="left")
+    error = F.when(F.col("n").isNull(), F.lit("no training rows")).otherwise(F.col("error"))
+    return scored.select(*sw.series_cols, sw.time_col, "row_idx", "fold", "model", "y", "pred", error.alias("error"), "converged")
+
+
+def expanding_linear(df: DataFrame, sw: SeriesWindow, features: Sequence[str], target: str, models: dict[str, tuple[str, dict]], k: int = 5) -> DataFrame:
+    """Out-of-fold predictions (keys, dt, row_idx, fold, model, y, pred) of the linear family on the k expanding folds
+    of H03, pooled over series; rows before the first test block have none."""
+    b = cut_lineage(with_expanding_blocks(df, sw, k))
+    means = L.column_means(b, [*features, target])
+    grams = L.gram_table(b.withColumns({"_all": F.lit(0), "_last": F.lit(k - 1).cast("long")}), features, target, ["_all", "_last", "_blk"], means)
+    coefs = cut_lineage(L.fold_fits(grams, ["_all"], "_blk", "_last", models, features, target, means).drop("_all"))
+    test = b.where(F.col("_blk") > 0).select(*sw.series_cols, sw.time_col, "row_idx", (F.col("_blk") - 1).cast("long").alias("fold"), F.col(target).alias("y"), *features)
+    scored = L.score(test.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]))), coefs, ["fold", "model"], features, how="left")
     return scored.select(*sw.series_cols, sw.time_col, "row_idx", "fold", "model", "y", "pred")
 
 

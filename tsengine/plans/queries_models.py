@@ -57,7 +57,24 @@ JOIN fits ON fits.series = f.series AND fits.fold = f.fold"""
 @register("m01_ols_walk_forward_d1", M01_SQL, exact=["series", "dt", "row_idx", "fold", "model"], ts=["dt"])
 def q_ols(spark, d):
     """Gram-blocked expanding walk-forward OLS on one feature == per-fold regr_slope/intercept."""
-    return V.walk_forward_linear(_quick(spark, d), SW, ["price_lag_1"], "target", {"ols": ("linear_regression", {})})
+    return V.walk_forward_linear(_quick(spark, d), SW, ["price_lag_1"], "target", {"ols": ("linear_regression", {})}).drop("error", "converged")
+
+
+D2_SQL = M01_SQL[:M01_SQL.index(" fits AS")] + """ s AS (SELECT f.series, f.fold, count(*) AS m, avg(price_lag_1) AS mu, avg(ma_5) AS mv, avg(target) AS my,
+   var_pop(price_lag_1) * count(*) AS uu, var_pop(ma_5) * count(*) AS vv, covar_pop(price_lag_1, ma_5) * count(*) AS uv,
+   covar_pop(price_lag_1, target) * count(*) AS uy, covar_pop(ma_5, target) * count(*) AS vy
+   FROM folds f JOIN q ON q.series = f.series AND q.row_idx < f.cut GROUP BY f.series, f.fold),
+ r AS (SELECT series, fold, mu, mv, my, model, uu + alpha AS uu, vv + alpha AS vv, uv, uy, vy FROM s, (VALUES ('ols', 0.0::DOUBLE), ('ridge', 1e9::DOUBLE)) AS p(model, alpha)),
+ fits AS (SELECT *, (vv * uy - uv * vy) / (uu * vv - uv * uv) AS b, (uu * vy - uv * uy) / (uu * vv - uv * uv) AS c FROM r)
+SELECT q.series, q.dt, q.row_idx::BIGINT AS row_idx, f.fold::BIGINT AS fold, model, q.target AS y,
+ my + b * (q.price_lag_1 - mu) + c * (q.ma_5 - mv) AS pred, NULL::VARCHAR AS error, TRUE AS converged
+FROM q JOIN folds f ON q.series = f.series AND q.row_idx >= f.cut AND q.row_idx < f.test_to JOIN fits ON fits.series = f.series AND fits.fold = f.fold"""
+
+
+@register("m01_m02_walk_forward_d2", D2_SQL, exact=["series", "dt", "row_idx", "fold", "model", "error", "converged"], ts=["dt"])
+def q_two_features(spark, d):
+    """Expanding walk-forward least squares and ridge on two features, solved per series and fold in tasks."""
+    return V.walk_forward_linear(_quick(spark, d), SW, ["price_lag_1", "ma_5"], "target", {"ols": ("linear_regression", {}), "ridge": ("ridge", {"alpha": 1e9})})
 
 
 @register("h10_walk_forward_linear_family")
@@ -323,14 +340,21 @@ def q_kstack(spark, d):
 
 @register("e05_oof_stacking")
 def q_oof(spark, d):
-    """Expanding-fold OOF predictions (0 where a row was never validated), ridge meta
-    model on all rows."""
-    q = _quick(spark, d)
-    preds = V.walk_forward_linear(q, SW, QF, "target", {k: MD.LINEAR_MODELS[k] for k in BASE})
-    wide = collect_model_predictions(preds, ["series", "dt", "y"], BASE)
-    allrows = q.select("series", "dt", F.col("target").alias("y")).join(wide.drop("y"), ["series", "dt"], "left")
-    fit = ST.stack_meta(allrows, BASE, "y", fill_zero=True)
-    return ST.apply_meta(allrows, fit, BASE).select("series", "dt", "y", "stack_pred")
+    """On the older 80 % of each series, out-of-fold predictions of five expanding folds (0 where a row
+    was never validated) and a ridge meta model on them; the bases, fitted again on all those rows, predict the
+    rest, and the meta model their predictions."""
+    q = _quick(spark, d).select("*", SW.row_idx().alias("i"), SW.n_rows().alias("n"))
+    old = F.col("i") < F.floor(F.col("n") * 0.8)
+    train = cut_lineage(q.where(old).drop("i", "n"))
+    models = {k: MD.LINEAR_MODELS[k] for k in BASE}
+    oof = collect_model_predictions(V.expanding_linear(train, SW, QF, "target", models, 5), ["series", "dt", "y"], BASE)
+    rows = train.select("series", "dt", F.col("target").alias("y")).join(oof.drop("y"), ["series", "dt"], "left")
+    meta = ST.stack_meta(rows, BASE, "y", fill_zero=True)
+    fitted = L.group_fits(L.gram_table(train.withColumn("_all", F.lit(0)), QF, "target", ["_all"], means := L.column_means(train, [*QF, "target"])),
+                          ["_all"], models, QF, "target", means)
+    test = q.where(~old).select("series", "dt", F.col("target").alias("y"), *QF).withColumn("_all", F.lit(0))
+    preds = L.score(test, cut_lineage(fitted.select("_all", "model", "intercept", "coef")), ["_all"], QF).select("series", "dt", "model", "y", "pred")
+    return ST.apply_meta(collect_model_predictions(preds, ["series", "dt", "y"], BASE), meta, BASE).select("series", "dt", "y", "stack_pred")
 
 
 @register("e11_bootstrap_interval")
