@@ -111,3 +111,36 @@ def test_no_collect_of_series(spark, table, monkeypatch):
     monkeypatch.setattr(DataFrame, "toPandas", lambda self: seen.append(self))
     V.walk_forward_linear(table, SW, X, "target", {"ols": MD.LINEAR_MODELS["linear_regression"]}, 20, 5)
     assert not seen or all("avg(" in str(df.columns) or len(df.columns) == 4 for df in seen)
+
+
+def test_bootstrap_draws_from_all_residuals(spark):
+    from tsengine.operators import stacking as ST
+    rng = np.random.default_rng(4)
+    res = [("a", float(v)) for v in rng.normal(0, 3, 5000)] + [("b", float(v)) for v in (-1, 0, 2)] + [("a", None)]
+    residuals = spark.createDataFrame(res, "g string, resid double").repartition(4)
+    table = {r.g: r._resid for r in ST.residual_ranks(residuals, ["g"]).collect()}
+    every = sorted(v for g, v in res if g == "a" and v is not None)
+    assert table["b"] == [-1.0, 0.0, 2.0] and table["a"] == [every[i * 4999 // 1023] for i in range(1024)]
+    preds = spark.createDataFrame([(g, k, 10.0) for g in ("a", "b") for k in range(200)], "g string, k int, pred double")
+    got = ST.bootstrap_interval(preds, residuals, ["g", "k"], ["g"], B=400).collect()
+    assert len(got) == 400 and {(r.lower, r.upper) for r in got if r.g == "b"} == {(9.0, 12.0)}
+    a = np.array([(r.lower, r.upper) for r in got if r.g == "a"])
+    assert np.abs(a.mean(0) - 10 - np.quantile(every, [0.025, 0.975])).max() < 0.25
+    assert a.std(0).max() > 0  # rows draw for themselves
+
+
+def test_fill_over_ranges(spark):
+    from tsengine.plans.halo import ffill_global, global_row_index
+    rng = random.Random(3)
+    rows = [(k, None if rng.random() < 0.9 else float(k), None if k < 400 else 1) for k in range(1000)]
+    df = spark.createDataFrame(rows, "t int, a double, b int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.t: (r.a, r.b) for r in ffill_global(df, "t", ["a", "b"]).collect()}
+        index = {r.t: r._pos for r in global_row_index(df.withColumn("s", F.lit("x")), SeriesWindow("s", "t")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    last = None
+    for k, a, b in rows:
+        last = a if a is not None else last
+        assert got[k] == (last, b) and index[k] == k

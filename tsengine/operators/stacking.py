@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tsengine.operators import linear as L
+from tsengine.operators.rank import positions
 
 
 def normal_matrix(df: DataFrame, cols: Sequence[str], y: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -137,26 +138,38 @@ def temporal_stack(wide: DataFrame, models: Sequence[str], features: Sequence[st
     return apply_meta(scaled.where(~meta_rows), fit, inputs, out).select(*wide.columns, out)
 
 
+RANKS = 1024  # residuals of a group that a draw chooses from; a group with fewer is drawn from whole
+
+
+def residual_ranks(residuals: DataFrame, group: Sequence[str], resid: str = "resid", ranks: int = RANKS) -> DataFrame:
+    """group and ``_resid``: all residuals of a group in ascending order, or ``ranks`` of them at even steps of
+    rank, the least and the largest included."""
+    placed = positions(residuals.where(F.col(resid).isNotNull()).select(*group, F.col(resid).cast("double").alias("_v")), group, ["_v"])
+    n, last = F.col("_total"), F.lit(ranks - 1)
+    # rank p is the i-th step where floor(i (n - 1) / (ranks - 1)) = p for some i
+    step = F.ceil(F.col("_pos") * last / (n - 1))
+    kept = placed.where((n <= ranks) | (F.floor(step * (n - 1) / last) == F.col("_pos")))
+    return kept.groupBy(*group).agg(F.sort_array(F.collect_list("_v")).alias("_resid"))
+
+
 def bootstrap_interval(preds: DataFrame, residuals: DataFrame, keys: Sequence[str], group: Sequence[str],
                        B: int = 100, level: float = 0.95, seed: int = 42, pred: str = "pred",
                        resid: str = "resid") -> DataFrame:
-    """E11 (re-aimed): residual bootstrap. Every prediction row draws B residuals of its group
-    by hashing (row key, b) into the group's residual index; interval = percentiles of
-    pred + residual. Work is rows x B; residuals join on (group, index)."""
-    from tsengine.frames import SeriesWindow
-    from tsengine.plans.halo import global_row_index
-    sw = SeriesWindow(list(group), "_ord")
-    r = residuals.withColumn("_ord", F.col("_rid")) if "_rid" in residuals.columns else residuals
-    ridx = global_row_index(r, sw, bucket=lambda c: F.floor(c / 100000)).select(*group, F.col("_pos").alias("_k"), resid)
-    m = ridx.groupBy(*group).agg(F.count(F.lit(1)).alias("_m"))
-    p = preds.join(m, list(group)).select("*", F.explode(F.sequence(F.lit(1), F.lit(B))).alias("_b"))
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col("_b"), *[F.col(k) for k in keys]), F.col("_m"))
-    p = p.withColumn("_k", h)
-    j = p.join(ridx, [*group, "_k"])
+    """E11 (re-aimed): residual bootstrap. Every prediction row draws B residuals of its group by hashes of (seed, b,
+    row key) from the group's table of ranks, inside the row; interval = percentiles of pred + residual (linear
+    interpolation). Rows are neither multiplied nor shuffled beyond the join with one row a group."""
+    p = preds.join(residual_ranks(residuals, group, resid), list(group))
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(B)), lambda b: F.get("_resid", F.pmod(
+        F.xxhash64(F.lit(seed), b, *[F.col(k) for k in keys]), F.size("_resid").cast("long")).cast("int")))
+    rows = p.select(*keys, F.col(pred), F.sort_array(F.transform(drawn, lambda r: F.col(pred) + r)).alias("_d"))
+
+    def quantile(q: float) -> Column:
+        at = (B - 1) * q
+        lo, hi = F.get("_d", F.lit(int(at))), F.get("_d", F.lit(min(int(at) + 1, B - 1)))
+        return lo + (hi - lo) * F.lit(at - int(at))
+
     a = (1 - level) / 2
-    return j.groupBy(*keys).agg(F.first(pred).alias(pred),
-                                F.percentile(F.col(pred) + F.col(resid), a).alias("lower"),
-                                F.percentile(F.col(pred) + F.col(resid), 1 - a).alias("upper"))
+    return rows.select(*keys, pred, quantile(a).alias("lower"), quantile(1 - a).alias("upper"))
 
 
 def recursive_forecast(bars: DataFrame, keys: Sequence[str], coef: dict[str, float], intercept: float,

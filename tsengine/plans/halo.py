@@ -3,9 +3,9 @@
 A window without ``partitionBy`` runs in ONE task (``SinglePartition`` exchange). The helpers
 here keep the work distributed:
 
-* carry-style operators (forward fill): pass 1 is a per-bucket aggregate (last non-null value
-  of each bucket, partial aggregation map-side), pass 2 a window partitioned by bucket; the carry
-  between buckets comes from the bucket table (one row per bucket).
+* carry-style operators (forward fill): rows are dealt by ranges of time and written; pass 1 is an aggregate
+  by range (its last non-null value), pass 2 a window by range; the carry between ranges comes from
+  the table of ranges (one row per partition). Ranges follow the rows, not the calendar.
 * bounded-frame operators on one long series: *halo blocks* — every block also receives the
   last ``halo`` rows of the previous block, the window runs per (series, block), halo rows are
   dropped. Exact for frames reaching at most ``halo`` rows back.
@@ -13,30 +13,27 @@ here keep the work distributed:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsengine.frames import SeriesWindow
+from tsengine.operators.rank import positions
+from tsengine.session import cut_lineage
 
 
-def ffill_global(df: DataFrame, time_col: str, cols: Sequence[str],
-                 bucket: Callable[[Column], Column] = F.year, order_extra: Sequence[str] = ()) -> DataFrame:
-    """Forward fill ``cols`` along the global order of ``time_col`` (then ``order_extra``),
-    parallel over time buckets (default: calendar year)."""
+def ffill_global(df: DataFrame, time_col: str, cols: Sequence[str], order_extra: Sequence[str] = ()) -> DataFrame:
+    """Forward fill ``cols`` along the global order of ``time_col`` (then ``order_extra``), in parallel over
+    ranges of that order."""
     order = [time_col, *order_extra]
-    b = df.withColumn("_bkt", bucket(F.col(time_col)))
-    # ordering key as one struct so max_by picks the last non-null row of the bucket
-    key = F.struct(*[F.col(c) for c in order])
-    last_per_bucket = b.groupBy("_bkt").agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"_last_{c}") for c in cols])
-    wb = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    carry = last_per_bucket.select(
-        "_bkt", *[F.last(f"_last_{c}", ignorenulls=True).over(wb).alias(f"_carry_{c}") for c in cols])
-    w = Window.partitionBy("_bkt").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    filled = b.join(carry, "_bkt", "left")
-    return filled.select(
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = cut_lineage(ranged).withColumn("_part", F.shiftright("_at", 33))
+    last = rows.groupBy("_part").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"_last_{c}") for c in cols])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    carry = last.select("_part", *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in cols])
+    w = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(carry, "_part", "left").select(
         *[F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"_carry_{c}")).alias(c) if c in cols
           else F.col(c) for c in df.columns])
 
@@ -61,18 +58,9 @@ def drop_halo(df: DataFrame, keep_pos: bool = False) -> DataFrame:
     return out if keep_pos else out.drop("_pos")
 
 
-def global_row_index(df: DataFrame, sw: SeriesWindow, bucket: Callable[[Column], Column] = F.year) -> DataFrame:
-    """0-based position inside each series without a single-task window: per (series, bucket)
-    counts -> prefix sums over the small bucket table -> local row_number + offset."""
-    b = df.withColumn("_tb", bucket(F.col(sw.time_col)))
-    counts = b.groupBy(*sw.series_cols, "_tb").agg(F.count(F.lit(1)).alias("_cnt"))
-    wc = (Window.partitionBy(*sw.series_cols) if sw.series_cols else Window.partitionBy()).orderBy("_tb")
-    offs = counts.select(*sw.series_cols, "_tb",
-                         (F.sum("_cnt").over(wc.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_cnt"))
-                         .alias("_off"))
-    wl = Window.partitionBy(*sw.series_cols, "_tb").orderBy(*sw.order_cols)
-    j = b.join(offs, [*sw.series_cols, "_tb"], "left")
-    return j.withColumn("_pos", (F.row_number().over(wl) - 1 + F.col("_off")).cast("long")).drop("_tb", "_off")
+def global_row_index(df: DataFrame, sw: SeriesWindow) -> DataFrame:
+    """0-based position inside each series without a single-task window (see :func:`rank.positions`)."""
+    return positions(df, sw.series_cols, sw.order_cols).drop("_total").withColumn("_pos", F.col("_pos").cast("long"))
 
 
 def blocked_features(df: DataFrame, sw: SeriesWindow, stages_fn, halo: int,
