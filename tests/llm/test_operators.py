@@ -121,6 +121,14 @@ def thue_morse(size, a="a", b="b"):
     return [a if x else b for x in bits], [b if x else a for x in bits]
 
 
+def test_decoding_up_the_tree():
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    one = bpe.Bpe(ranks, public_tokenizers.PATTERN)
+    for n in (0, 1, 2, 3, 7, 8, 9, 1000):
+        ids = [k * 37 % len(ranks) for k in range(n)]
+        assert one.decode_text(" ".join(map(str, ids))) == b"".join(one.bytes_of[i] for i in ids)
+
+
 def test_words_that_polynomials_confuse(spark):
     x, y = ("".join(w) for w in thue_morse(2048))
     assert len(set(common.word_hashes(*(lambda d: (d, np.array([0, 2049]), np.array([2048, 4097])))(np.frombuffer(f"{x} {y}".encode(), np.uint8))).tolist())) == 2

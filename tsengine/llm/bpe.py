@@ -16,6 +16,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -190,7 +191,12 @@ class Bpe:
         return " ".join(map(self.ids_text.__getitem__, self.find(text)))
 
     def decode_text(self, ids: str) -> bytes:
-        return b"".join(map(self.bytes_by_text.__getitem__, ids.split(" "))) if ids else b""
+        """Bytes of the tokens, neighbours joined level by level up the tree."""
+        parts = list(map(self.bytes_by_text.__getitem__, ids.split(" "))) if ids else [b""]
+        while len(parts) > 1:
+            odd = parts[-1:] if len(parts) % 2 else []
+            parts = list(map(add, parts[::2], parts[1::2])) + odd
+        return parts[0]
 
 
 class _Kept(dict):
