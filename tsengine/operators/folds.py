@@ -111,8 +111,10 @@ def reverse_holdout(counts: DataFrame, keys: Sequence[str], test_frac: float = 0
 
 
 def random_split(df: DataFrame, key_cols: Sequence[str], test_frac: float = 0.2, seed: int = 42) -> DataFrame:
-    """Repeatable hash split on the row key (shuffled, leaky; a baseline only)."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in key_cols]), F.lit(10000))
+    """Repeatable split by a hash of the row key (shuffled, leaky; a baseline only). The hash, the first 32 bits
+    of an MD5 over seed and key, is one that any engine has."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols])
+    h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 10000
     return df.withColumn("is_test", h < int(test_frac * 10000))
 
 

@@ -65,7 +65,9 @@ _fold_reg("h08_reverse_holdout", "SELECT series, 0 AS fold, floor(n * 0.2) AS tr
           lambda c: H.reverse_holdout(c, ["series"]))
 
 
-@register("h09_random_split")
+@register("h09_random_split",
+          f"WITH {BARS}\nSELECT *, ('0x' || substr(md5('42|' || series || '|' || CAST(dt AS VARCHAR)), 1, 8))::BIGINT % 10000 < 2000 AS is_test FROM bars",
+          exact=["series", "dt", "volume", "is_test"], ts=["dt"])
 def q_random(spark, d):
     return H.random_split(fixtures.bars(spark, d), ["series", "dt"], 0.2, 42)
 

@@ -35,7 +35,7 @@ def register(name: str, sql: str | None = None, exact=(), ts=(), all_exact: bool
 
 def load_all() -> dict[str, Entry]:
     # importing the query modules fills REGISTRY
-    from tsengine.plans import queries_eval, queries_features, queries_io, queries_models, queries_reports, queries_streams, queries_tables  # noqa: F401
+    from tsengine.plans import queries_eval, queries_features, queries_io, queries_models, queries_more, queries_reports, queries_streams, queries_tables  # noqa: F401
     t04, j04 = REGISTRY.get("t04_enrich_messages_stream"), REGISTRY.get("j04_message_price_context")
     if t04 is not None and j04 is not None and t04.sql is None:  # the stream equals its batch twin
         t04.sql, t04.exact, t04.ts = j04.sql, list(j04.exact), list(j04.ts)
