@@ -5,6 +5,7 @@ Parameters that equal the reference's configuration are fixed values below.
 
 from __future__ import annotations
 
+import importlib
 import random
 from collections.abc import Sequence
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsengine.operators import linear as L
+from tsengine.operators.artefact import LinearEstimator
 from tsengine.session import cut_lineage
 
 # fixed values: the reference's model configurations
@@ -64,9 +66,35 @@ REGISTRY = {
 }
 
 
+def _linear(name: str, **kw):
+    solver, params = LINEAR_MODELS[name]
+    p = {**params, **kw}
+    renamed = {"l1_ratio": "l1Ratio"}
+    return LinearEstimator(solver=solver, **{renamed.get(k, k): v for k, v in p.items()})
+
+
 def estimator(name: str, **kw):
-    """Name -> Spark ML estimator factory (linear family: see ``LINEAR_MODELS``)."""
-    return REGISTRY[name](**kw)
+    """Name -> estimator with the registry's parameters, ``kw`` on top of them. The linear family are
+    :class:`~tsengine.operators.artefact.LinearEstimator`, the rest Spark ML's."""
+    return _linear(name, **kw) if name in LINEAR_MODELS else REGISTRY[name](**kw)
+
+
+def save_models(models: dict, metrics: DataFrame, path: str, metric: str = "r2", model: str = "model") -> None:
+    """Every fitted model under its name, and the pointer to the best: of ``metrics`` (a row a model), the largest
+    ``metric``, of equals the last by name."""
+    for name, fitted in models.items():
+        fitted.write().overwrite().save(f"{path}/models/{name}")
+    best = metrics.where(F.col(metric).isNotNull()).orderBy(F.col(metric).desc(), F.col(model).desc()).limit(1)
+    kinds = {name: f"{type(m).__module__}.{type(m).__qualname__}" for name, m in models.items()}
+    kind = F.coalesce(*[F.when(F.col(model) == n, F.lit(k)) for n, k in kinds.items()])
+    best.select(F.col(model).alias("model"), kind.alias("kind"), F.lit(metric).alias("metric"), F.col(metric).cast("double").alias("value")).write.mode("overwrite").json(f"{path}/best")
+
+
+def load_best(spark, path: str):
+    """(name, model) that the pointer of :func:`save_models` names."""
+    row = spark.read.schema("model string, kind string, metric string, value double").json(f"{path}/best").first()
+    module, kind = row["kind"].rsplit(".", 1)
+    return row["model"], getattr(importlib.import_module(module), kind).load(f"{path}/models/{row['model']}")
 
 
 def spark_ridge(alpha: float, n: int, y_std_pop: float):

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from tsengine.frames import SeriesWindow
 from tsengine.operators import artefact
 from tsengine.operators import metrics as M
+from tsengine.operators import models as MD
 from tsengine.plans import bundles, fixtures
 from tsengine.plans.oracle import PREDS
 from tsengine.plans.registry import register
 from tsengine.plans.sql_features import quick_features_sql
-from tsengine.session import ensure_checkpoint_dir
+from tsengine.session import cut_lineage, ensure_checkpoint_dir
 from tsengine.sources import reports
 
 
@@ -83,3 +84,31 @@ def q_artefact(spark, d):
     loaded = artefact.LinearArtefact.load(path)
     out = loaded.transform(fitted.transform(q.where(F.col("i") >= cut)), {loaded.predictionCol: "pred"})
     return out.select("series", "dt", F.lit(loaded.selected()[0]).alias("feature"), "pred", F.col("pred").eqNullSafe(F.col("fitted")).alias("same"))
+
+
+M13_SQL = f"""WITH q0 AS ({quick_features_sql()}),
+ q AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM q0),
+ t AS (SELECT avg(price_lag_1) AS mx, avg(target) AS my, regr_slope(target, price_lag_1) AS b, count(*) AS k FROM q WHERE i < floor(n * 0.8)),
+ p AS (SELECT model, series, dt, target AS y, my + f * b * (price_lag_1 - mx) AS pred FROM q, t,
+   (VALUES ('linear_regression', 1.0::DOUBLE), ('ridge', 0.5::DOUBLE)) AS m(model, f) WHERE i >= floor(n * 0.8)),
+ s AS (SELECT model, 1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)) AS r2 FROM p GROUP BY model)
+SELECT series, dt, model, pred FROM p WHERE model = (SELECT model FROM s ORDER BY r2 DESC, model DESC LIMIT 1)"""
+
+
+@register("m13_best_model_pointer", M13_SQL, exact=["series", "dt", "model"], ts=["dt"])
+def q_registry(spark, d):
+    """Two models of the registry, least squares and a ridge whose penalty is the number of training rows (which halves
+    the slope), fitted on the older 80 %, saved, and the better one on the rest loaded by its pointer."""
+    q = bundles.quick_features(fixtures.bars(spark, d), SW).select("*", SW.row_idx().alias("i"), SW.n_rows().alias("n"))
+    cut = F.floor(F.col("n") * 0.8)
+    train, test = cut_lineage(q.where(F.col("i") < cut)), q.where(F.col("i") >= cut)
+    own = {"linear_regression": {}, "ridge": {"alpha": float(train.count())}}
+    fitted = {name: MD.estimator(name, featureCols=["price_lag_1"], labelCol="target", predictionCol="pred", **kw).fit(train) for name, kw in own.items()}
+    scored = None
+    for name, model in fitted.items():
+        one = model.transform(test).select(F.lit(name).alias("model"), F.col("target").alias("y"), "pred")
+        scored = one if scored is None else scored.unionByName(one)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/registry/{uuid.uuid4().hex}"
+    MD.save_models(fitted, M.regression_metrics(scored, ["model"]), path)
+    name, best = MD.load_best(spark, path)
+    return best.transform(test).select("series", "dt", F.lit(name).alias("model"), "pred")
