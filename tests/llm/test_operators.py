@@ -109,7 +109,7 @@ def test_ngram_join_of_families(spark, n, pct, frequent, monkeypatch):
                     w[rng.randrange(size)] = word()
                 docs.append(" ".join(w if rng.random() < 0.6 else passage + w))
     docs = list(enumerate(docs + docs[::7]))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(corpus(spark, docs), n, pct).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(corpus(spark, docs), n, pct, 2.0).collect()}
     want = brute.groups(docs, n, pct)
     assert got == {i: w for (i, _), w in zip(docs, want, strict=True)}
     assert 8 < len({w[1] for w in want}) < len(docs)

@@ -74,7 +74,7 @@ def most_apart(n: np.ndarray, pct: int) -> np.ndarray:
     return n * (100 - pct) // pct
 
 
-def entries(token: np.ndarray, size: np.ndarray, pct: int, frequent: np.ndarray):
+def entries(token: np.ndarray, size: np.ndarray, pct: int, frequent: np.ndarray, low_share: float = 1.0):
     """(entry, row, place in the row's order, whether it is low) of all rows: rare tokens of the prefix,
     all low ones (rare, below the same bound for every text), and pairs of neighbouring frequent tokens
     of the extended prefix where the prefix reaches those; and the number of low tokens of each row."""
@@ -88,7 +88,7 @@ def entries(token: np.ndarray, size: np.ndarray, pct: int, frequent: np.ndarray)
     place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
     plain = place < prefix_size(size, pct)[row]
     reach = np.bincount(row[plain & often], minlength=len(size)) > 0
-    low = ~often & (token < np.uint64((100 - pct) * 2**63 // 100))
+    low = ~often & (token < np.uint64(min(1.0, low_share * (100 - pct) / 100) * 2**63))
     single = (plain & ~often) | low
     pair = np.zeros(len(token), bool)
     if len(token) > 1:
@@ -114,7 +114,7 @@ def _plain_counts(docs: DataFrame, n: int, pct: int) -> np.ndarray:
     return np.sort(np.array([r.token for r in top.collect()], np.int64).view(np.uint64))
 
 
-def _index(docs: DataFrame, n: int, pct: int, frequent: np.ndarray) -> DataFrame:
+def _index(docs: DataFrame, n: int, pct: int, frequent: np.ndarray, low_share: float) -> DataFrame:
     """rid, doc_id, sid, n, entries with their places and whether they are low, the number of low
     tokens, hist (tokens by their high bits) and odd (whether each bin holds an odd number, as bits)
     of every row."""
@@ -125,7 +125,7 @@ def _index(docs: DataFrame, n: int, pct: int, frequent: np.ndarray) -> DataFrame
             data, offs = utf8(b.column(2))
             for i, j in steps(offs):
                 token, size = token_sets(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i], n)
-                entry, row, place, low, lows = entries(token, size, pct, shared.value)
+                entry, row, place, low, lows = entries(token, size, pct, shared.value, low_share)
                 order = np.argsort(row, kind="stable")
                 at = np.repeat(np.arange(len(size)), size) * BINS + (token >> np.uint64(54)).astype(np.int64)
                 bins = np.bincount(at, minlength=len(size) * BINS)
@@ -277,12 +277,14 @@ def _linked(held: DataFrame, star: DataFrame, rows: DataFrame, index: DataFrame,
         rest = _open(rest.drop("root"), roots)
 
 
-def similar_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
+def similar_components(docs: DataFrame, n: int = 3, pct: int = 90, low_share: float = 1.0) -> DataFrame:
     """rid, doc_id, n_shingles, component_id (least doc_id reachable by links) and root (the
-    component's identity, also where doc_ids are null or repeat) of every row."""
+    component's identity, also where doc_ids are null or repeat) of every row. ``low_share``: low tokens
+    as a multiple of what linked sets may differ by; more of them rule out more sets and cost entries,
+    the links are the same."""
     small_batches(docs.sparkSession)
     rows = docs.select(row_id("doc_id", "text").alias("rid"), "doc_id", "text")
-    index = materialize(_index(rows, n, pct, _plain_counts(rows, n, pct)), "index", heavy=True)
+    index = materialize(_index(rows, n, pct, _plain_counts(rows, n, pct), low_share), "index", heavy=True)
     flat = (index.where("n > 0").select("sid", "n", F.explode(F.arrays_zip("entries", "places", "low")).alias("e"))
             .select(F.col("e.entries").alias("entry"), "sid", "n", F.col("e.places").alias("place"), F.col("e.low").alias("low")))
     # entries of one set alone (of copies, too) drop out before anything else is asked of them
@@ -291,8 +293,10 @@ def similar_components(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     held = materialize(held.groupBy("entry", "sid").agg(*[F.min(c).alias(c) for c in ("n", "place", "low")]), "entries")
     # low tokens that a set shares with none: every set lists its low tokens, so no other set has them
     shared = held.where("low").groupBy("sid").agg(F.count(F.lit(1)).alias("shared"))
-    sets = (index.groupBy("sid").agg(F.min("lows").alias("lows"), F.min("odd").alias("odd")).join(shared, "sid", "left")
-            .select("sid", (F.col("lows") - F.coalesce("shared", F.lit(0))).alias("own"), "odd"))
+    sets = (index.groupBy("sid").agg(*[F.min(c).alias(c) for c in ("n", "lows", "odd")]).join(shared, "sid", "left")
+            .select("sid", "n", (F.col("lows") - F.coalesce("shared", F.lit(0))).alias("own"), "odd"))
+    # a set with more of its own than linked sets differ by links with nothing
+    sets = sets.where(f"100L * (n - own) >= {pct}L * n").drop("n")
     held = materialize(held.drop("low").join(sets, "sid"), "entries")
     # the least set of an entry is its star's centre
     centre = held.groupBy("entry").agg(F.min(F.struct("sid", "n", "place", "own", "odd")).alias("c"))

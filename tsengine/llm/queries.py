@@ -22,7 +22,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"), low_share=2.0).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
