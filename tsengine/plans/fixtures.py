@@ -7,7 +7,7 @@ table. Every view is a lazy DataFrame over the whole table, so its work grows wi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -82,6 +82,12 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "ts", pr.alias("priority"), "user_id")
 
 
+def _ratio_text(a: Column, b: Column, scale: float) -> Column:
+    """scale * a / b as text with 4 digits; over zero inf, -inf or nan, as IEEE division gives them."""
+    over_zero = F.when(a > 0, "inf").when(a < 0, "-inf").otherwise("nan")
+    return F.when(b == 0, over_zero).otherwise(F.format_string("%.4f", F.try_divide(a, b) * scale))
+
+
 def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes landed as JSON text in four vendor layouts (layout = event_id mod 4):
     0 exchange feed (close, previousClose, high, low, open, volume), 1 per-gram feed
@@ -100,7 +106,7 @@ def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.lit(', "rates": {"XAU": '), F.format_string("%.6f", v / 31.1035 - 0.05),
                   F.lit("}}"))
     j2 = F.concat(F.lit('{"Global Quote": {"05. price": "'), s(v), F.lit('", "09. change": "'),
-                  s(v - pc), F.lit('", "10. change percent": "'), F.format_string("%.4f", (v - pc) / pc * 100.0),
+                  s(v - pc), F.lit('", "10. change percent": "'), _ratio_text(v - pc, pc, 100.0),
                   F.lit('%"}}'))
     hlo = F.when(F.col("user_id") % 3 == 0, F.lit("")).otherwise(
         F.concat(F.lit(', "h": '), s(v + 2.0), F.lit(', "l": '), s(v - 2.0), F.lit(', "o": '), s(pc)))
