@@ -38,3 +38,7 @@ def check(spark, folder, name):
 
 def test_to_numeric_keeps_prices_beside_a_zero_close(spark, folder):
     check(spark, folder, "p17_to_numeric")
+
+
+def test_string_keyed_over_a_zero_close(spark, folder):
+    check(spark, folder, "s08_normalise_string_keyed")

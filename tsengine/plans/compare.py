@@ -22,11 +22,12 @@ TS_FMT_SQL = "%Y-%m-%d %H:%M:%S"
 def sig_round(c):
     """Round to SIG_BITS significant *binary* digits: scaling by a power of two, floor(z + 0.5)
     and the inverse scaling are exact in IEEE arithmetic, so equal inputs give equal outputs in
-    both engines, and decimal inputs never sit on a binary half-way point (no tie flips)."""
+    both engines, and decimal inputs never sit on a binary half-way point (no tie flips). Infinities
+    become NaN, as the same steps make of them in SQL."""
     a = F.abs(c)
     p = F.pow(F.lit(2.0), F.lit(SIG_BITS) - F.floor(F.log2(a)))
     r = F.floor(a * p + F.lit(0.5)).cast("double") / p
-    return F.when(a < F.lit(TINY), F.lit(0.0)).otherwise(F.signum(c) * r)
+    return F.when(a < F.lit(TINY), F.lit(0.0)).when(a == F.lit(float("inf")), F.lit(float("nan"))).otherwise(F.signum(c) * r)
 
 
 def finish(df: DataFrame) -> DataFrame:

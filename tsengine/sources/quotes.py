@@ -19,6 +19,12 @@ def _num(path: str, col: str = "payload") -> Column:
     return F.get_json_object(F.col(col), path).try_cast("double")
 
 
+def _round2(c: Column) -> Column:
+    """Two digits as SQL's round on doubles: hundredths to the nearest whole, ties away from zero. Spark's
+    round takes the shortest decimal text for the value and moves 9.245 (9.24499...) up."""
+    return F.round(c * 100.0, 0) / 100.0
+
+
 def _pct(price: Column, prev: Column) -> Column:
     change = price - prev
     return F.when(prev > 0, change / prev * 100.0).otherwise(F.lit(0.0))
@@ -28,10 +34,10 @@ def normalise_exchange(raw: DataFrame) -> DataFrame:
     """price = last close; change = price - previous close; % = 100 change / prev (0 when
     prev <= 0); all rounded to 2 digits."""
     p, prev = _num("$.close"), F.coalesce(_num("$.previousClose"), _num("$.close"))
-    return raw.select("event_id", "ts", F.lit("exchange").alias("source"), F.round(p, 2).alias("price"),
-                      F.round(p - prev, 2).alias("change"), F.round(_pct(p, prev), 2).alias("change_percent"),
-                      F.round(_num("$.high"), 2).alias("high"), F.round(_num("$.low"), 2).alias("low"),
-                      F.round(_num("$.open"), 2).alias("open"), _num("$.volume").cast("long").alias("volume"))
+    return raw.select("event_id", "ts", F.lit("exchange").alias("source"), _round2(p).alias("price"),
+                      _round2(p - prev).alias("change"), _round2(_pct(p, prev)).alias("change_percent"),
+                      _round2(_num("$.high")).alias("high"), _round2(_num("$.low")).alias("low"),
+                      _round2(_num("$.open")).alias("open"), _num("$.volume").cast("long").alias("volume"))
 
 
 def normalise_per_gram(raw: DataFrame) -> DataFrame:
@@ -39,7 +45,7 @@ def normalise_per_gram(raw: DataFrame) -> DataFrame:
     ok = F.get_json_object(F.col("payload"), "$.success") == "true"
     rate = F.coalesce(_num("$.rates.XAU"), F.lit(0.0))
     price = F.when(rate > 0, rate * GRAMS_PER_OUNCE).otherwise(F.lit(0.0))
-    return raw.filter(ok).select("event_id", "ts", F.lit("per_gram").alias("source"), F.round(price, 2).alias("price"))
+    return raw.filter(ok).select("event_id", "ts", F.lit("per_gram").alias("source"), _round2(price).alias("price"))
 
 
 def strip_percent(c: Column) -> Column:
@@ -53,8 +59,8 @@ def normalise_string_keyed(raw: DataFrame) -> DataFrame:
     price = F.coalesce(_num(f"{g}['05. price']"), F.lit(0.0))
     change = F.coalesce(_num(f"{g}['09. change']"), F.lit(0.0))
     pct = F.coalesce(strip_percent(F.get_json_object(F.col("payload"), f"{g}['10. change percent']")), F.lit(0.0))
-    return raw.select("event_id", "ts", F.lit("string_keyed").alias("source"), F.round(price, 2).alias("price"),
-                      F.round(change, 2).alias("change"), F.round(pct, 2).alias("change_percent"))
+    return raw.select("event_id", "ts", F.lit("string_keyed").alias("source"), _round2(price).alias("price"),
+                      _round2(change).alias("change"), _round2(pct).alias("change_percent"))
 
 
 def normalise_short_key(raw: DataFrame) -> DataFrame:
@@ -62,10 +68,10 @@ def normalise_short_key(raw: DataFrame) -> DataFrame:
     c = _num("$.c")
     pc = F.coalesce(_num("$.pc"), c)
     return raw.filter(c.isNotNull()).select(
-        "event_id", "ts", F.lit("short_key").alias("source"), F.round(c, 2).alias("price"),
-        F.round(c - pc, 2).alias("change"), F.round(_pct(c, pc), 2).alias("change_percent"),
-        F.round(F.coalesce(_num("$.h"), c), 2).alias("high"), F.round(F.coalesce(_num("$.l"), c), 2).alias("low"),
-        F.round(F.coalesce(_num("$.o"), c), 2).alias("open"))
+        "event_id", "ts", F.lit("short_key").alias("source"), _round2(c).alias("price"),
+        _round2(c - pc).alias("change"), _round2(_pct(c, pc)).alias("change_percent"),
+        _round2(F.coalesce(_num("$.h"), c)).alias("high"), _round2(F.coalesce(_num("$.l"), c)).alias("low"),
+        _round2(F.coalesce(_num("$.o"), c)).alias("open"))
 
 
 def normalise_all(raw: DataFrame, vendor_col: str = "vendor") -> DataFrame:
