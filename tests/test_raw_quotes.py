@@ -42,3 +42,7 @@ def test_to_numeric_keeps_prices_beside_a_zero_close(spark, folder):
 
 def test_string_keyed_over_a_zero_close(spark, folder):
     check(spark, folder, "s08_normalise_string_keyed")
+
+
+def test_all_layouts_over_a_zero_close(spark, folder):
+    check(spark, folder, "s06_s09_normalise_all")
