@@ -46,3 +46,7 @@ def test_string_keyed_over_a_zero_close(spark, folder):
 
 def test_all_layouts_over_a_zero_close(spark, folder):
     check(spark, folder, "s06_s09_normalise_all")
+
+
+def test_defaults_over_a_zero_close(spark, folder):
+    check(spark, folder, "p19_project_quote_defaults")
