@@ -50,3 +50,7 @@ def test_all_layouts_over_a_zero_close(spark, folder):
 
 def test_defaults_over_a_zero_close(spark, folder):
     check(spark, folder, "p19_project_quote_defaults")
+
+
+def test_quote_stream_over_a_zero_close(spark, folder):
+    check(spark, folder, "t01_quote_stream")
