@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``table`` as a stream, be it one file or a folder of files. A streaming source wants a folder or a
+    pattern: the pattern here matches the table's own path only."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series, dt, open, high, low, close, volume, price — one row per (priority, order date)."""
     o = table(spark, sf_dir, "orders").select(

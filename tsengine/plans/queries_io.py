@@ -186,9 +186,8 @@ def q_tick_bars(spark, d):
 
 @register("t05b_bars_from_ticks_stream", TICK_BARS_SQL, exact=BAR_EXACT, ts=["dt"])
 def q_tick_bars_stream(spark, d):
-    """T05 as a Structured Streaming job over the events file (AvailableNow, complete mode)."""
-    src = spark.readStream.schema(fixtures.table(spark, d, "events").schema).option(
-        "pathGlobFilter", "events.parquet").parquet(d)
+    """T05 as a Structured Streaming job over the events table (AvailableNow, complete mode)."""
+    src = fixtures.stream(spark, d, "events")
     ticks = src.select(F.col("event_type").alias("series"), "ts", F.col("value").alias("price"),
                        F.lit(1).cast("long").alias("size"), F.col("event_id").alias("seq"))
     bars = T.bars_from_ticks_stream(ticks, "1 hour", "10 minutes")
@@ -201,8 +200,7 @@ def q_tick_bars_stream(spark, d):
           "SELECT event_type AS source, max(ts) AS ts, arg_max(value, ts) AS price FROM events GROUP BY event_type",
           exact=["source", "ts"], ts=["ts"])
 def q_latest_stream(spark, d):
-    src = spark.readStream.schema(fixtures.table(spark, d, "events").schema).option(
-        "pathGlobFilter", "events.parquet").parquet(d)
+    src = fixtures.stream(spark, d, "events")
     q = src.select(F.col("event_type").alias("source"), "ts", F.col("value").alias("price"))
     base = sinks.new_folder(spark, "t02")
     sinks.batch_folders("complete")(T.latest_per_source_stream(q), f"{base}/result", f"{base}/checkpoint")
@@ -248,8 +246,7 @@ def q_enrich_stream(spark, d):
     from tsengine.plans.queries_tables import KEYWORDS
     out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/t04_{uuid.uuid4().hex[:8]}"
     latest = S.latest_per_source(fixtures.quotes(spark, d), "source", "ts", ["price"])
-    schema = fixtures.table(spark, d, "conversations").schema
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    src = fixtures.stream(spark, d, "conversations")
     msgs = src.select(F.col("role").alias("user"), F.col("conv_id").alias("room"), "turn", F.col("text").alias("message"))
 
     def sink(batch, epoch):
