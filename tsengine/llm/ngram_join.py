@@ -241,10 +241,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(held: DataFrame, roots: DataFrame) -> DataFrame:
-    """One row of each set of the entries whose sets are not all of one component, with its root."""
+    """The rows of the entries whose sets are not all of one component, with their roots; ``held`` has one row a
+    set and entry."""
     named = held.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     open_ = materialize(named.groupBy("entry").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("entry"), "open")
-    return materialize(named.join(open_, "entry").select("root", *held.columns).dropDuplicates(["entry", "sid"]), "rest")
+    return materialize(named.join(open_, "entry").select("root", *held.columns), "rest", heavy=True)
 
 
 def _linked(held: DataFrame, star: DataFrame, rows: DataFrame, index: DataFrame, n: int, pct: int) -> DataFrame:
@@ -289,19 +290,19 @@ def similar_components(docs: DataFrame, n: int = 3, pct: int = 90, low_share: fl
             .select(F.col("e.entries").alias("entry"), "sid", "n", F.col("e.places").alias("place"), F.col("e.low").alias("low")))
     # entries of one set alone (of copies, too) drop out before anything else is asked of them
     twice = materialize(flat.groupBy("entry").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a != b").select("entry"), "shared-entries", heavy=True)
-    held = materialize(flat.join(twice, "entry", "left_semi"), "entries", heavy=True)
-    held = materialize(held.groupBy("entry", "sid").agg(*[F.min(c).alias(c) for c in ("n", "place", "low")]), "entries")
+    # one row a set and entry: where the join deals rows by entry, they need not travel again
+    held = materialize(flat.join(twice, "entry", "left_semi").groupBy("entry", "sid").agg(*[F.min(c).alias(c) for c in ("n", "place", "low")]), "entries", heavy=True)
     # low tokens that a set shares with none: every set lists its low tokens, so no other set has them
     shared = held.where("low").groupBy("sid").agg(F.count(F.lit(1)).alias("shared"))
     sets = (index.groupBy("sid").agg(*[F.min(c).alias(c) for c in ("n", "lows", "odd")]).join(shared, "sid", "left")
             .select("sid", "n", (F.col("lows") - F.coalesce("shared", F.lit(0))).alias("own"), "odd"))
     # a set with more of its own than linked sets differ by links with nothing
     sets = sets.where(f"100L * (n - own) >= {pct}L * n").drop("n")
-    held = materialize(held.drop("low").join(sets, "sid"), "entries")
+    held = materialize(held.drop("low").join(sets, "sid"), "entries", heavy=True)
     # the least set of an entry is its star's centre
     centre = held.groupBy("entry").agg(F.min(F.struct("sid", "n", "place", "own", "odd")).alias("c"))
     star = materialize(held.alias("m").join(centre, "entry").where("m.sid != c.sid").where(_may_link("m", "c", pct))
-                       .select(F.col("c.sid").alias("a"), F.col("m.sid").alias("b")).distinct(), "star")
+                       .select(F.col("c.sid").alias("a"), F.col("m.sid").alias("b")).distinct(), "star", heavy=True)
     if held.isEmpty():
         roots = index.select(F.col("sid").alias("node"), F.col("sid").alias("root")).limit(0)
     else:
