@@ -8,8 +8,8 @@ by: of the first D + 2 shared tokens, all frequent then, at least two neighbours
 in both sets, so pairs of neighbouring frequent tokens are indexed. Low tokens, those rare ones below
 one bound for all texts, are indexed whether or not a prefix reaches them: a low token that only one set has is then
 known to be in no other, and sets with many such tokens cannot be similar to anything (``_may_link``). Sets that share an entry are
-compared, first by histograms of their tokens (a bound; within the join by their parity),
-then in full.
+compared, first by histograms of their tokens (a bound; where all pairs of an entry are joined, by their parity
+within the join), then in full.
 
 The class of frequent tokens is the ``CLASS`` most counted tokens in the plain prefixes, above
 ``FREQUENT`` texts each; it decides how much is compared, never what is found.
@@ -147,15 +147,19 @@ def _index(docs: DataFrame, n: int, pct: int, frequent: np.ndarray, low_share: f
 
 
 def _may_link(a: str, b: str, pct: int):
-    """What a pair must fulfil to have the similarity asked for: lengths, places of a shared entry, low
-    tokens of its own (``own``: no other set has them) and parities. Sets differ by a token at least in
-    each bin whose parity differs, and linked ones differ by no more tokens than their sizes allow."""
+    """What a pair must fulfil to have the similarity asked for: lengths, places of a shared entry and low
+    tokens of its own (``own``: no other set has them)."""
     n, m, i, j, u, v = f"{a}.n", f"{b}.n", f"{a}.place", f"{b}.place", f"{a}.own", f"{b}.own"
-    apart = " + ".join(f"bit_count({a}.odd.{c} ^ {b}.odd.{c})" for c in ODD)
     return F.expr(f"100L * least({n}, {m}) >= {pct}L * greatest({n}, {m}) AND "
                   f"100L * least({n} - {u}, {m} - {v}) >= {pct}L * greatest({n} + {v}, {m} + {u}) AND "
-                  f"({100 + pct}L) * (least({i}, {j}) + least({n} - {i}, {m} - {j})) >= {pct}L * ({n} + {m}) AND "
-                  f"({apart}) * {100 + pct}L <= {100 - pct}L * ({n} + {m})")
+                  f"({100 + pct}L) * (least({i}, {j}) + least({n} - {i}, {m} - {j})) >= {pct}L * ({n} + {m})")
+
+
+def _parity(a: str, b: str, pct: int):
+    """The same by parities. Sets differ by a token at least in each bin whose parity differs, and linked ones differ
+    by no more tokens than their sizes allow."""
+    apart = " + ".join(f"bit_count({a}.odd.{c} ^ {b}.odd.{c})" for c in ODD)
+    return F.expr(f"({apart}) * {100 + pct}L <= {100 - pct}L * ({a}.n + {b}.n)")
 
 
 def _near(pairs: DataFrame, index: DataFrame, pct: int) -> DataFrame:
@@ -261,10 +265,14 @@ def _linked(held: DataFrame, star: DataFrame, rows: DataFrame, index: DataFrame,
         stars = (left.pairs or 0) > PAIRS * (left.rows or 0) and (before is None or 2 * left.pairs <= before)
         before = left.pairs
         if stars:
-            pick = F.min(F.struct(F.xxhash64("entry", "sid", F.lit(before)).alias("h"), "sid", "n", "place", "root", "own", "odd"))
+            pick = F.min(F.struct(F.xxhash64("entry", "sid", F.lit(before)).alias("h"), "sid", "n", "place", "root", "own"))
             found = rest.alias("x").join(rest.groupBy("entry").agg(pick.alias("y")), "entry")
         else:
-            found = rest.alias("x").join(rest.alias("y"), (F.col("x.entry") == F.col("y.entry")) & (F.col("x.sid") < F.col("y.sid")))
+            # all pairs of an entry: here alone are parities worth their way. Rows come set by set out of a merge join,
+            # so that equal parities lie side by side in the shuffle and hardly add to it
+            odd = index.groupBy("sid").agg(F.min("odd").alias("odd"))
+            full = rest.join(odd.hint("merge"), "sid")
+            found = full.alias("x").join(full.alias("y"), (F.col("x.entry") == F.col("y.entry")) & (F.col("x.sid") < F.col("y.sid"))).where(_parity("x", "y", pct))
         pairs = (found.where((F.col("x.root") != F.col("y.root")) & _may_link("x", "y", pct))
                  .select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct())
         pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti"), "pairs", heavy=True)
@@ -286,21 +294,21 @@ def similar_components(docs: DataFrame, n: int = 3, pct: int = 90, low_share: fl
     small_batches(docs.sparkSession)
     rows = docs.select(row_id("doc_id", "text").alias("rid"), "doc_id", "text")
     index = materialize(_index(rows, n, pct, _plain_counts(rows, n, pct), low_share), "index", heavy=True)
-    flat = (index.where("n > 0").select("sid", "n", F.explode(F.arrays_zip("entries", "places", "low")).alias("e"))
-            .select(F.col("e.entries").alias("entry"), "sid", "n", F.col("e.places").alias("place"), F.col("e.low").alias("low")))
+    flat = (index.where("n > 0").select("sid", F.explode(F.arrays_zip("entries", "places", "low")).alias("e"))
+            .select(F.col("e.entries").alias("entry"), "sid", F.col("e.places").alias("place"), F.col("e.low").alias("low")))
     # entries of one set alone (of copies, too) drop out before anything else is asked of them
     twice = materialize(flat.groupBy("entry").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a != b").select("entry"), "shared-entries", heavy=True)
     # one row a set and entry: where the join deals rows by entry, they need not travel again
-    held = materialize(flat.join(twice, "entry", "left_semi").groupBy("entry", "sid").agg(*[F.min(c).alias(c) for c in ("n", "place", "low")]), "entries", heavy=True)
+    held = materialize(flat.join(twice, "entry", "left_semi").groupBy("entry", "sid").agg(*[F.min(c).alias(c) for c in ("place", "low")]), "entries", heavy=True)
     # low tokens that a set shares with none: every set lists its low tokens, so no other set has them
     shared = held.where("low").groupBy("sid").agg(F.count(F.lit(1)).alias("shared"))
-    sets = (index.groupBy("sid").agg(*[F.min(c).alias(c) for c in ("n", "lows", "odd")]).join(shared, "sid", "left")
-            .select("sid", "n", (F.col("lows") - F.coalesce("shared", F.lit(0))).alias("own"), "odd"))
+    sets = (index.groupBy("sid").agg(*[F.min(c).alias(c) for c in ("n", "lows")]).join(shared, "sid", "left")
+            .select("sid", "n", (F.col("lows") - F.coalesce("shared", F.lit(0))).alias("own")))
     # a set with more of its own than linked sets differ by links with nothing
-    sets = sets.where(f"100L * (n - own) >= {pct}L * n").drop("n")
+    sets = sets.where(f"100L * (n - own) >= {pct}L * n")
     held = materialize(held.drop("low").join(sets, "sid"), "entries", heavy=True)
     # the least set of an entry is its star's centre
-    centre = held.groupBy("entry").agg(F.min(F.struct("sid", "n", "place", "own", "odd")).alias("c"))
+    centre = held.groupBy("entry").agg(F.min(F.struct("sid", "n", "place", "own")).alias("c"))
     star = materialize(held.alias("m").join(centre, "entry").where("m.sid != c.sid").where(_may_link("m", "c", pct))
                        .select(F.col("c.sid").alias("a"), F.col("m.sid").alias("b")).distinct(), "star", heavy=True)
     if held.isEmpty():
