@@ -64,3 +64,18 @@ def test_errors_of_the_caller_are_raised(table, tmp_path):
 
 def test_no_folds(table, tmp_path):
     assert walk(table, {"x": lambda: DecisionTreeRegressor()}, tmp_path / "n", initial=500).count() == 0
+
+
+def test_registered_walk_reads_its_input_once(spark, monkeypatch):
+    from tests.conftest import SF01
+    from tsengine.plans import queries_models as Q
+    tables = []
+    monkeypatch.setattr(Q, "_walks", {})
+    monkeypatch.setattr(Q, "WALK_TREES", {"random_forest": lambda: DecisionTreeRegressor(maxDepth=2, seed=1), "gradient_boosting": lambda: DecisionTreeRegressor(maxDepth=1, seed=1)})
+    quick = Q._quick
+    monkeypatch.setattr(Q, "_quick", lambda *a: tables.append(quick(*a)) or tables[-1])
+    rows, metrics = Q.q_wf_tree_rows(spark, SF01), Q.q_wf_trees(spark, SF01)
+    assert len(tables) == 1 and not any("orders.parquet" in f for d in (rows, metrics) for f in d.inputFiles())
+    n = tables[0].count()
+    assert 0 < rows.count() == 2 * (n - 5 * 253) and rows.where("NOT fitted OR NOT in_range").count() == 0  # first year, last row
+    assert metrics.where("fold IS NULL").count() == 10

@@ -10,7 +10,7 @@ from statistics import NormalDist
 
 import numpy as np
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsengine.frames import SeriesWindow
@@ -93,24 +93,24 @@ WALK_TREES = {
     "gradient_boosting": lambda: MD.gradient_boosting(maxIter=100, maxDepth=6, stepSize=0.1, subsamplingRate=1.0),
 }
 WALK_STEP = 126  # half a year of trading days between two fits
-_walks: dict[tuple[str, str], str] = {}
+_walks: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def _walk_trees(spark, d):
-    """Predictions of all folds of both tree models; the two queries on them share the fits of a session."""
+    """(feature table, predictions of all folds of both tree models); the two queries on them share the fits of a
+    session. The feature table, a row a series and day, is written once: the input is read for it alone."""
     key = (spark.sparkContext.applicationId, d)
-    path = _walks.get(key)
-    if path is None:
+    if key not in _walks:
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/walks/{uuid.uuid4().hex}"
-        V.walk_forward_trees(_quick(spark, d), SW, QF, "target", WALK_TREES, path, step=WALK_STEP)
-        _walks[key] = path
-    return V.read_walk(spark, path, _quick(spark, d), SW)
+        quick = cut_lineage(_quick(spark, d))
+        _walks[key] = quick, V.walk_forward_trees(quick, SW, QF, "target", WALK_TREES, path, step=WALK_STEP)
+    return _walks[key]
 
 
 @register("h10b_walk_forward_trees")
 def q_wf_trees(spark, d):
     """H10 for trees: metrics of every (series, model, fold) and, with a null fold, over all folds."""
-    return V.evaluation(_walk_trees(spark, d), ["series"])
+    return V.evaluation(_walk_trees(spark, d)[1], ["series"])
 
 
 H10C_SQL = f"""WITH q0 AS ({quick_features_sql()}),
@@ -125,8 +125,8 @@ def q_wf_tree_rows(spark, d):
     """Invariants of the walk-forward predictions: every row after the first year is predicted once by each
     model, in its fold, and a forest's value lies within the targets of its training rows (blocks up to the fold;
     a booster's need not, and counts as within)."""
-    preds = _walk_trees(spark, d)
-    blocks = V.with_walk_forward_blocks(_quick(spark, d), SW, 252, WALK_STEP).groupBy("_blk").agg(F.min("target").alias("lo"), F.max("target").alias("hi"))
+    quick, preds = _walk_trees(spark, d)
+    blocks = V.with_walk_forward_blocks(quick, SW, 252, WALK_STEP).groupBy("_blk").agg(F.min("target").alias("lo"), F.max("target").alias("hi"))
     upto = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)  # one row a block
     seen = blocks.select(F.col("_blk").cast("long").alias("fold"), F.min("lo").over(upto).alias("lo"), F.max("hi").over(upto).alias("hi"))
     return preds.join(seen, "fold").select(
